@@ -222,34 +222,33 @@ def page_languages(parsed: DataFrame, model: LanguageModel) -> DataFrame:
     blank, so its trigrams are those of the paragraphs plus one across each joint; that one is taken
     with the paragraph before the joint and left out of the paragraph's own sum.
     """
-    indexed = F.transform(
-        F.col("paragraphs"),
-        lambda p, i: F.struct(i.alias("idx"), letters_only(p["content"]).alias("letters")),
+    indexed = parsed.select(
+        "page_id",
+        F.transform(
+            "paragraphs",
+            lambda p, i: F.struct(i.alias("idx"), letters_only(p["content"]).alias("letters")),
+        ).alias("_all"),
     )
-    lettered = F.filter(indexed, lambda u: F.length(u["letters"]) > 2)
-    silent = F.filter(indexed, lambda u: F.length(u["letters"]) <= 2)
-    following = F.concat(
-        F.slice(F.transform(lettered, lambda u: F.substring(u["letters"], 2, 1)), F.lit(2), F.size(lettered)),
-        F.array(F.lit("")),
+    split = indexed.select(
+        "page_id",
+        F.filter("_all", lambda u: F.length(u["letters"]) > 2).alias("_lettered"),
+        F.filter("_all", lambda u: F.length(u["letters"]) <= 2).alias("_silent"),
     )
-    units = F.concat(
-        F.zip_with(
-            lettered,
-            following,
-            lambda u, head: F.struct(
-                u["idx"].alias("idx"),
-                F.concat(u["letters"], F.coalesce(head, F.lit(""))).alias("letters"),
-                F.length(u["letters"]).alias("n"),
-            ),
-        ),
-        F.transform(
-            silent,
-            lambda u: F.struct(
-                u["idx"].alias("idx"), u["letters"].alias("letters"), F.lit(2).alias("n")
-            ),
+    heads = F.transform("_lettered", lambda u: F.substring(u["letters"], 2, 1))
+    joints = F.zip_with(
+        "_lettered",
+        F.slice(heads, F.lit(2), F.size("_lettered")),
+        lambda u, head: F.struct(
+            u["idx"].alias("idx"),
+            F.concat(u["letters"], F.coalesce(head, F.lit(""))).alias("letters"),
+            F.length(u["letters"]).alias("n"),
         ),
     )
-    exploded = parsed.filter(F.size("paragraphs") > 0).select("page_id", F.inline(units))
+    silent = F.transform(
+        "_silent",
+        lambda u: F.struct(u["idx"].alias("idx"), u["letters"].alias("letters"), F.lit(2).alias("n")),
+    )
+    exploded = split.select("page_id", F.inline(F.concat(joints, silent)))
     grams = exploded.select(
         "page_id",
         "idx",
@@ -320,7 +319,7 @@ def parse_with_languages(
         return page_language_filter(rows, allowed).withColumn(
             "par_language", F.lit(None).cast("string")
         )
-    scored = parsed.filter(F.size("paragraphs") > 0).join(page_languages(parsed, model), "page_id")
+    scored = parsed.join(page_languages(parsed, model), "page_id")
     selected = page_language_filter(scored, allowed, keep_errors)
     pairs = F.zip_with(
         "paragraphs",

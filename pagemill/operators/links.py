@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.html import base_href, link_array, strip_hidden
+from pagemill.operators.paragraphs import explode_structs
 from pagemill.functions.urls import (
     host_in_domains,
     host_suffixes,
@@ -66,7 +67,7 @@ def extract_links(pages: DataFrame, html: str = "html", unique: bool = True) ->
         ).alias("_links"),
     )
     if not unique:
-        return absolute.select("page_id", "src_url", F.inline("_links")).select(
+        return explode_structs(absolute, ("page_id", "src_url"), "_links", "pos").select(
             "page_id", "src_url", "pos", "url", "text"
         )
     before = F.concat(

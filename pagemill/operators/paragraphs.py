@@ -30,6 +30,15 @@ def content_type_allow(responses: DataFrame, types: Sequence[str] = DEFAULT_RAW_
     return responses.filter(matched_type(F.col("content_type"), types).isNotNull())
 
 
+def explode_structs(df: DataFrame, kept: Sequence[str], array: str, present: str) -> DataFrame:
+    """Explode an array of structs; ``present`` is a field that is never NULL.
+
+    The outer form and a filter, because for the plain form the optimizer adds a test of the array's
+    size and pushes it below the projection that computes the array, which then runs twice.
+    """
+    return df.select(*kept, F.inline_outer(array)).filter(F.col(present).isNotNull())
+
+
 def parse_pages(
     pages: DataFrame, xpaths: Sequence[str] = DEFAULT_XPATHS, html: str = "html"
 ) -> DataFrame:
@@ -45,7 +54,7 @@ def parse_pages(
 def paragraph_rows(parsed: DataFrame) -> DataFrame:
     """One row per entry of ``paragraphs``: xp_idx, pos, origin, content."""
     kept = [c for c in parsed.columns if c != "paragraphs"]
-    return parsed.select(*kept, F.inline("paragraphs"))
+    return explode_structs(parsed, kept, "paragraphs", "pos")
 
 
 def extract_paragraphs(

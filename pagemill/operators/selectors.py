@@ -6,10 +6,12 @@ The standard library's tokenizer runs inside ``mapInPandas``, one page at a time
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -130,4 +132,6 @@ def html_elements(
                             rows.append((page, idx, pos, paths[idx], content))
             yield pd.DataFrame(rows, columns=schema.names)
 
+    # The helper travels with the plan, so workers need not have the package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return pages.select(key, html).mapInPandas(collect, schema)

@@ -10,7 +10,8 @@ from pagemill.functions.urls import url2filename, url_netloc
 
 def seed_urls(specs: DataFrame) -> DataFrame:
     """Distinct start URLs per crawl: spec, url, domain, spider."""
-    urls = specs.select(F.col("name").alias("spec"), F.explode("urls").alias("url")).distinct()
+    urls = specs.select(F.col("name").alias("spec"), F.explode_outer("urls").alias("url"))
+    urls = urls.filter(F.col("url").isNotNull()).distinct()
     return urls.select(
         "spec",
         "url",
@@ -20,7 +21,8 @@ def seed_urls(specs: DataFrame) -> DataFrame:
 
 
 def distinct_urls(specs: DataFrame) -> DataFrame:
-    return specs.select(F.explode("urls").alias("url")).distinct()
+    urls = specs.select(F.explode_outer("urls").alias("url"))
+    return urls.filter(F.col("url").isNotNull()).distinct()
 
 
 def pages_to_spiders(pages: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -643,7 +643,7 @@ def new_minus_seen(spark, sf_dir):
 @query
 def crawl_frontier(spark, sf_dir):
     return frontier.crawl_frontier(fx.crawl_seeds(spark, sf_dir), fx.edges(spark, sf_dir)).select(
-        "spider", "url", "depth"
+        "spider", "key", "depth"
     )
 
 
