@@ -13,10 +13,14 @@ def letters_only(text: Column) -> Column:
     return F.concat(F.lit(" "), words, F.lit(" "))
 
 
-def trigram_parts(letters: Column) -> Column:
-    """Array of (c1, c2, c3): the text split to characters once and zipped with itself shifted, so
-    the work is linear in its length. The last two entries lack c3."""
-    chars = F.split(letters, "")
+def characters(letters: Column) -> Column:
+    return F.split(letters, "")
+
+
+def trigram_parts(chars: Column) -> Column:
+    """Array of (c1, c2, c3): a character array zipped with itself shifted, so the work is linear in
+    its length. The last two entries lack c3. ``chars`` should be a column of its own projection;
+    as an expression it would be computed for each of its uses here."""
     return F.arrays_zip(
         chars.alias("c1"),
         F.slice(chars, F.lit(2), F.size(chars)).alias("c2"),
@@ -26,9 +30,9 @@ def trigram_parts(letters: Column) -> Column:
 
 def explode_grams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """One row (keys, gram) per trigram of ``text``; texts without letters give none."""
-    letters = df.select(*keys, letters_only(F.col(text)).alias("_letters"))
+    chars = df.select(*keys, characters(letters_only(F.col(text))).alias("_chars"))
     return (
-        letters.select(*keys, F.inline(trigram_parts(F.col("_letters"))).alias("c1", "c2", "c3"))
+        chars.select(*keys, F.inline(trigram_parts(F.col("_chars"))).alias("c1", "c2", "c3"))
         .filter(F.col("c3").isNotNull())
         .select(*keys, F.concat("c1", "c2", "c3").alias("gram"))
     )

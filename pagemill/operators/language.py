@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.functions.grams import explode_grams, letters_only, trigram_parts
+from pagemill.functions.grams import characters, explode_grams, letters_only, trigram_parts
 from pagemill.session import materialize
 
 # The two special entries of allowed_languages, and the defaults.
@@ -248,12 +248,13 @@ def page_languages(parsed: DataFrame, model: LanguageModel) -> DataFrame:
         "_silent",
         lambda u: F.struct(u["idx"].alias("idx"), u["letters"].alias("letters"), F.lit(2).alias("n")),
     )
-    exploded = split.select("page_id", F.inline(F.concat(joints, silent)))
+    units = split.select("page_id", F.inline(F.concat(joints, silent)))
+    exploded = units.select("page_id", "idx", "n", characters(F.col("letters")).alias("_chars"))
     grams = exploded.select(
         "page_id",
         "idx",
         "n",
-        F.posexplode(trigram_parts(F.col("letters"))).alias("at", "part"),
+        F.posexplode(trigram_parts(F.col("_chars"))).alias("at", "part"),
     ).filter(F.col("part.c3").isNotNull() | (F.col("at") == 0))
     grams = grams.select(
         "page_id",

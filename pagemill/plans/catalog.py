@@ -56,7 +56,7 @@ def model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
     """The trigram profile of the documents table, trained once and stored."""
 
     def make() -> language.LanguageModel:
-        trained = language.train(fx.table(spark, sf_dir, "documents"), fx.MODEL_LANGUAGES)
+        trained = language.train(fx.documents(spark, sf_dir), fx.MODEL_LANGUAGES)
         stored = materialize(trained.profile, "profile")
         return language.LanguageModel(stored, trained.languages, trained.top_k)
 
@@ -302,7 +302,7 @@ def element_text(spark, sf_dir):
 
 @query
 def split_lines(spark, sf_dir):
-    documents = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = fx.documents(spark, sf_dir).select("doc_id", "text")
     return paragraphs.line_paragraphs(documents, "text")
 
 
@@ -619,7 +619,7 @@ def langs_by_prob(spark, sf_dir):
 
 @query
 def top_ngrams(spark, sf_dir):
-    counts = language.gram_counts(fx.table(spark, sf_dir, "documents"))
+    counts = language.gram_counts(fx.documents(spark, sf_dir))
     return language.top_grams(counts).select("lang", "gram", "cnt")
 
 
@@ -652,7 +652,7 @@ def crawl_frontier(spark, sf_dir):
 
 @query
 def ngram_profiles(spark, sf_dir):
-    trained = language.train(fx.table(spark, sf_dir, "documents"), fx.MODEL_LANGUAGES)
+    trained = language.train(fx.documents(spark, sf_dir), fx.MODEL_LANGUAGES)
     return language.profile_rows(trained)
 
 
@@ -671,7 +671,7 @@ def detect_paragraph_lang(spark, sf_dir):
 @query
 def detect_page_langs(spark, sf_dir):
     trained = model(spark, sf_dir)
-    texts = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = fx.documents(spark, sf_dir).select("doc_id", "text")
     scored = language.score_texts(texts, ["doc_id"], "text", trained)
     return scored.select("doc_id", F.inline(language.language_list(trained)))
 

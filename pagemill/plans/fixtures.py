@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url2filename, url_netloc, url_scheme
-from pagemill.sources.pages import scan_pages
+from pagemill.sources.pages import scan_pages, spread
 
 MODEL_LANGUAGES = ("de", "en", "es", "fr")
 # Link forms tried against every page URL.
@@ -42,6 +42,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a content type header, a depth and, now and then, a request failure."""
     kind = F.col("page_id") % 10

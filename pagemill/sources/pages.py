@@ -14,9 +14,19 @@ PAGES_SCHEMA = T.StructType(
 )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash an input with fewer splits than the session has cores over all of them by ``key``.
+
+    Parsing costs far more than reading, and a small file is one split. An input that already has
+    enough splits, as any large one has, is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """The table of captured pages; ``page_id`` identifies one capture."""
-    return spark.read.schema(PAGES_SCHEMA).parquet(path)
+    return spread(spark.read.schema(PAGES_SCHEMA).parquet(path), "page_id")
 
 
 def bucket_pages(pages: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
