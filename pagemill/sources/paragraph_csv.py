@@ -16,7 +16,15 @@ PARAGRAPH_CSV_SCHEMA = T.StructType(
         T.StructField("depth", T.IntegerType()),
     ]
 )
-CSV_OPTIONS = {"sep": ";", "quote": '"', "escape": '"', "header": "true", "encoding": "UTF-8"}
+CSV_OPTIONS = {
+    "sep": ";",
+    "quote": '"',
+    "escape": '"',
+    "header": "true",
+    "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def scan_paragraph_csv(spark: SparkSession, path: str) -> DataFrame:

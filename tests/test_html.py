@@ -48,7 +48,7 @@ def test_entities_are_decoded_once(spark):
     ]
 
 
-BLANKS = ["", " ", "\t\n\x0b\x0c\r", " ", "\x1c\x1d\x1e\x1f", "\u0085", "　  ", "a", " . ", "​"]
+BLANKS = ["", " ", "\t\n\x0b\x0c\r", " ", "\x1c\x1d\x1e\x1f", "\u0085", " 　", "a", " . ", "​"]
 
 
 def test_blank_means_what_strip_means(spark):
@@ -58,7 +58,7 @@ def test_blank_means_what_strip_means(spark):
 
 
 def test_lines_agree_with_splitlines(spark):
-    text = "a\r\nb\rc\n\nd\x0be\x0cf\u0085g h\x1ci\n"
+    text = "a\r\nb\rc\n\nd\x0be\x0cf\u0085g h\x1ci j\n"
     rows = line_paragraphs(spark.createDataFrame([(1, text)], "k int, text string"), "text")
     assert [r.content for r in rows.orderBy("pos").collect()] == [x for x in text.splitlines() if x]
 
