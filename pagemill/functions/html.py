@@ -90,25 +90,36 @@ def _entity_value(name: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Replace character references once, left to right; unknown ones stay as they are."""
-    pieces = F.split(text, "&", -1)
+    """Replace character references once, left to right; unknown ones stay as they are.
+
+    Lambdas are evaluated as written, so what is used twice is first put into an array: the pieces
+    between ampersands, then each piece with its entity name.
+    """
+    named = F.transform(
+        F.split(text, "&", -1),
+        lambda p, i: F.struct(
+            p.alias("p"), F.when(i > 0, F.regexp_extract(p, ENTITY_PATTERN, 1)).alias("name")
+        ),
+    )
 
-    def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, ENTITY_PATTERN, 1)
+    def piece(q: Column) -> Column:
+        name, p = q["name"], q["p"]
         value = F.when(name != "", _entity_value(name))
         rest = F.substr(p, F.length(name) + F.lit(2))
-        return F.when(value.isNotNull(), F.concat(value, rest)).otherwise(F.concat(F.lit("&"), p))
+        return F.when(name.isNull(), p).otherwise(
+            F.coalesce(F.concat(value, rest), F.concat(F.lit("&"), p))
+        )
+
+    return F.when(text.contains("&"), F.array_join(F.transform(named, piece), "")).otherwise(text)
 
-    decoded = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""),
-    )
-    return F.when(text.contains("&"), decoded).otherwise(text)
+
+def strip_tags(fragment: Column) -> Column:
+    return F.regexp_replace(fragment, TAG_PATTERN, "")
 
 
 def element_text(fragment: Column) -> Column:
     """All descendant text of a fragment, joined and not trimmed."""
-    return decode_entities(F.regexp_replace(fragment, TAG_PATTERN, ""))
+    return decode_entities(strip_tags(fragment))
 
 
 def element_texts(visible: Column, tag: str) -> Column:
@@ -116,7 +127,10 @@ def element_texts(visible: Column, tag: str) -> Column:
     :func:`strip_hidden`."""
     pieces = F.split(visible, open_pattern(tag), -1)
     bodies = F.slice(pieces, F.lit(2), F.size(pieces))
-    return F.transform(bodies, lambda b: element_text(F.regexp_replace(b, close_pattern(tag), "")))
+    stripped = F.transform(
+        bodies, lambda b: strip_tags(F.regexp_replace(b, close_pattern(tag), ""))
+    )
+    return F.transform(stripped, decode_entities)
 
 
 def paragraph_array(visible: Column, xpaths: list[str]) -> Column:
@@ -152,19 +166,30 @@ def link_array(visible: Column) -> Column:
     pieces = F.split(visible, LINK_OPEN_PATTERN, -1)
     bodies = F.slice(pieces, F.lit(2), F.size(pieces))
 
-    def link(body: Column, pos: Column) -> Column:
-        raw = F.concat(*[F.regexp_extract(body, HREF_PATTERN, g) for g in (1, 2, 3)])
+    def parts(body: Column, pos: Column) -> Column:
         inner = F.regexp_replace(
             F.regexp_replace(body, r"(?s)^[^>]*(?:>|\z)", ""), r"(?is)</a(?:[\s>].*|\z)", ""
         )
         return F.struct(
             pos.alias("pos"),
-            F.regexp_replace(decode_entities(raw), r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "").alias("href"),
-            element_text(inner).alias("text"),
-            body.rlike(HREF_PATTERN).alias("has_href"),
+            F.when(
+                body.rlike(HREF_PATTERN),
+                F.concat(*[F.regexp_extract(body, HREF_PATTERN, g) for g in (1, 2, 3)]),
+            ).alias("raw"),
+            strip_tags(inner).alias("inner"),
         )
 
-    return F.filter(F.transform(bodies, link), lambda a: a["has_href"])
+    with_href = F.filter(F.transform(bodies, parts), lambda a: a["raw"].isNotNull())
+    return F.transform(
+        with_href,
+        lambda a: F.struct(
+            a["pos"].alias("pos"),
+            F.regexp_replace(
+                decode_entities(a["raw"]), r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""
+            ).alias("href"),
+            decode_entities(a["inner"]).alias("text"),
+        ),
+    )
 
 
 BASE_PATTERN = (

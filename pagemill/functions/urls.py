@@ -155,6 +155,7 @@ def resolve_from(base: Column, ref: Column) -> Column:
         F.when(ref == "", base["url"])
         .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
         .when(ref.startswith("//"), F.concat(base["scheme"], F.lit(":"), ref))
+        .when(ref.startswith("/") & ~ref.contains("/."), F.concat(base["origin"], ref))
         .when(ref.startswith("/"), F.concat(base["origin"], _without_dots(path), rest))
         .when(ref.startswith("#"), F.concat(base["no_fragment"], ref))
         .when(ref.startswith("?"), F.concat(base["no_query"], ref))
