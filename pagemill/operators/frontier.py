@@ -17,7 +17,7 @@ DEPTH_LIMIT = 5
 def anti_visited(links: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
     """Links whose canonical URL is not among the ``key`` values of ``visited``."""
     keyed = links.withColumn("key", canonical_url(F.col(url)))
-    return keyed.join(visited.select("key").distinct(), "key", "left_anti")
+    return keyed.join(visited.select("key"), "key", "left_anti")
 
 
 def new_minus_seen(found: DataFrame, seen: DataFrame) -> DataFrame:
@@ -26,16 +26,13 @@ def new_minus_seen(found: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def link_edges(links: DataFrame) -> DataFrame:
-    """Links (src_url, url) as thin edges (src, key, url, host); parallel edges become one."""
+    """Links (src_url, url) as thin distinct edges (src, key, host) of canonical URLs."""
     return (
         links.select(
-            canonical_url(F.col("src_url")).alias("src"),
-            canonical_url(F.col("url")).alias("key"),
-            "url",
+            canonical_url(F.col("src_url")).alias("src"), canonical_url(F.col("url")).alias("key")
         )
-        .groupBy("src", "key")
-        .agg(F.min("url").alias("url"))
-        .withColumn("host", url_netloc(F.col("url")))
+        .distinct()
+        .withColumn("host", url_netloc(F.col("key")))
     )
 
 
@@ -45,19 +42,19 @@ def crawl_frontier(
     max_depth: int = DEPTH_LIMIT,
     robots: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows (spider, domain, key, url, depth): every page a spider reaches, at its least depth.
+    """Rows (spider, domain, key, depth): every canonical URL a spider reaches, at its least depth.
 
     ``seeds`` has spider, domain, url; ``links`` src_url and url. A spider stays on its domain and
-    the domains below it. Each round is one join of the last layer with the edges, one distinct and
-    one anti-join with what was visited; a reliable checkpoint ends the round, so plans stay short.
-    Only the question whether a layer is empty comes back to the driver.
+    the domains below it, and asks nothing that ``robots`` forbids. Each round is one join of the
+    last layer with the edges, one distinct and one anti-join with what was visited; a reliable
+    checkpoint ends the round, so plans stay short. A page that a third of all edges leave is split
+    by the skew join, one they lead to melts in the partial distinct. Only the question whether a
+    layer is empty comes back to the driver.
     """
-    edges = link_edges(links)
     if robots is not None:
-        edges = robots_filter(edges, robots)
-    edges = materialize(edges, "edges")
-    start = seeds.select("spider", "domain", canonical_url(F.col("url")).alias("key"), "url")
-    start = start.groupBy("spider", "domain", "key").agg(F.min("url").alias("url"))
+        seeds, links = robots_filter(seeds, robots), robots_filter(links, robots)
+    edges = materialize(link_edges(links), "edges")
+    start = seeds.select("spider", "domain", canonical_url(F.col("url")).alias("key")).distinct()
     layers = [cut_lineage(start.withColumn("depth", F.lit(0)))]
     for depth in range(1, max_depth + 1):
         visited = reduce(DataFrame.unionByName, layers).select("spider", "key")
@@ -66,13 +63,13 @@ def crawl_frontier(
             .select("spider", "domain", F.col("key").alias("src"))
             .join(edges, "src")
             .filter(host_in_domains(F.col("host"), F.array("domain")))
-            .groupBy("spider", "domain", "key")
-            .agg(F.min("url").alias("url"))
+            .select("spider", "domain", "key")
+            .distinct()
         )
         layer = cut_lineage(
             found.join(visited, ["spider", "key"], "left_anti")
+            .select("spider", "domain", "key")
             .withColumn("depth", F.lit(depth))
-            .select("spider", "domain", "key", "url", "depth")
         )
         if layer.isEmpty():
             break

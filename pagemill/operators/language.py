@@ -7,6 +7,7 @@ and summed by key; the sums combine before the shuffle, so what moves is one sma
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -116,10 +117,11 @@ def save_model(model: LanguageModel, path: str) -> None:
     model.profile.write.mode("overwrite").parquet(path)
 
 
-def load_model(spark, path: str, top_k: int = TOP_GRAMS) -> LanguageModel:
+def load_model(spark, path: str) -> LanguageModel:
+    """A stored profile; its rows are counted, since they decide whether it may be broadcast."""
     profile = spark.read.parquet(path)
     languages = tuple(c[2:] for c in profile.columns if c.startswith("w_"))
-    return LanguageModel(profile, languages, top_k)
+    return LanguageModel(profile, languages, math.ceil(profile.count() / len(languages)))
 
 
 def profile_rows(model: LanguageModel) -> DataFrame:

@@ -175,7 +175,7 @@ def restrict_domains(
     hosted = links.withColumn("_host", host)
     hosts = hosted.select("_host").filter(F.col("_host") != "").distinct()
     suffixes = hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
-    verdict = suffixes.join(wanted, "_suffix", "left_semi").select("_host").distinct()
+    verdict = suffixes.join(wanted, "_suffix", "left_semi").select("_host")
     return hosted.join(verdict, "_host", "left_semi" if keep else "left_anti").drop("_host")
 
 

@@ -38,4 +38,4 @@ def pages_to_spiders(pages: DataFrame, seeds: DataFrame) -> DataFrame:
 def semi_in_domain(pages: DataFrame, seeds: DataFrame) -> DataFrame:
     """Pages that have any spider, each once."""
     keyed = pages.withColumn("domain", url_netloc(F.col("url")))
-    return keyed.join(seeds.select("domain").distinct(), "domain", "left_semi").drop("domain")
+    return keyed.join(seeds.select("domain"), "domain", "left_semi").drop("domain")

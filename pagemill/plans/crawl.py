@@ -81,7 +81,7 @@ def visit_pages(
         .agg(F.max(F.struct("page_id", "url")).alias("c"))
         .select("key", "c.page_id", "c.url")
     )
-    return reached.drop("url").join(captures, "key").drop("key")
+    return reached.join(captures, "key").drop("key")
 
 
 def run_crawl(

@@ -52,7 +52,12 @@ def stream_results(
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        send_results(to_messages(batch), f"{path}/batch={batch_id}", mode="overwrite")
+        # Numbering and sizes read the batch more than once; parse it once.
+        kept = batch.persist()
+        try:
+            send_results(to_messages(kept), f"{path}/batch={batch_id}", mode="overwrite")
+        finally:
+            kept.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(publish)

@@ -72,3 +72,16 @@ def test_frontier_equals_breadth_first_search(spark):
     got = {(r.spider, r.key, r.depth) for r in crawl_frontier(seeds, links).collect()}
     assert got == want
     assert crawl_frontier(seeds, links, 1).agg(F.max("depth")).first()[0] == 1
+
+
+def test_frontier_obeys_robots(spark):
+    links = spark.createDataFrame(
+        [("http://h/", "http://h/a"), ("http://h/a", "http://h/b"), ("http://h/", "http://h/d/x")],
+        "src_url string, url string",
+    )
+    seeds = spark.createDataFrame(
+        [("p", "h", "http://h/"), ("q", "h", "http://h/d/")], "spider string, domain string, url string"
+    )
+    rules = spark.createDataFrame([("h", False, "/d/")], "host string, allow boolean, prefix string")
+    got = sorted((r.spider, r.key, r.depth) for r in crawl_frontier(seeds, links, robots=rules).collect())
+    assert got == [("p", "http://h/", 0), ("p", "http://h/a", 1), ("p", "http://h/b", 2)]
