@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pagemill.functions.html import ELEMENT_CLOSERS, PARAGRAPH_CLOSERS
+from pagemill.functions.html import ELEMENT_CLOSERS, ENTITIES, PARAGRAPH_CLOSERS
 
 _STEP = re.compile(r"(//?)([A-Za-z][\w-]*|\*)((?:\[@[\w-]+(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"))?\])*)")
 _TEST = re.compile(r"\[@([\w-]+)(?:\s*=\s*(?:'([^']*)'|\"([^\"]*)\"))?\]")
@@ -55,6 +55,24 @@ def _matches(steps, stack) -> bool:
     return bool(above) and _matches(rest, above)
 
 
+_REFERENCE = re.compile(
+    r"&(?:#([0-9]{1,7});|#[xX]([0-9a-fA-F]{1,6});|([A-Za-z][A-Za-z0-9]{1,31});)?"
+)
+
+
+def _plain_reference(found: re.Match) -> str:
+    """Leave to the tokenizer only the references that the column functions know as well."""
+    decimal, hexadecimal, name = found.groups()
+    if name:
+        return found.group() if name in ENTITIES else "&amp;" + found.group()[1:]
+    if not (decimal or hexadecimal):
+        return "&amp;"
+    cp = int(decimal or hexadecimal, 10 if decimal else 16)
+    if not 0 < cp < 0xD800 and not 0xDFFF < cp <= 0x10FFFF:
+        return "\ufffd"
+    return {38: "&amp;", 60: "&lt;"}.get(cp, chr(cp))
+
+
 class _Collector(HTMLParser):
     """Texts of the elements that match each selector, in document order."""
 
@@ -123,7 +141,7 @@ def html_elements(
             rows = []
             for page, text in zip(batch[key], batch[html]):
                 collector = _Collector(selectors)
-                collector.feed(text or "")
+                collector.feed(_REFERENCE.sub(_plain_reference, text or ""))
                 collector.close()
                 for idx, elements in enumerate(collector.found):
                     for pos, parts in enumerate(elements):

@@ -112,6 +112,14 @@ def test_selectors(spark):
     assert got["//*[@class='box']"] == ["a123", "b & c"]
 
 
+def test_both_ways_decode_the_same_references(spark):
+    html = "<p>&amp &amp;&amp x&copy; &copy &bogus; &notit; &#38;lt; &#60;b> &#x80; &#0; &#11; &check; & &</p>"
+    df = pages(spark, html)
+    native = extract_paragraphs(df, ["//p"]).select("content").first().content
+    assert html_elements(df, ["//p"]).select("content").first().content == native
+    assert native.startswith("&amp &&amp x© &copy &bogus; &notit; &lt; <b>")
+
+
 def test_selector_grammar():
     assert parse_selector("//a[@b]/c") == [(True, "a", [("b", None)]), (False, "c", [])]
     for bad in ("p", "//p[1]", "//p/text()", ""):
