@@ -1,8 +1,9 @@
 """Token ids in Arrow files of fixed-size lists.
 
 Documents are dealt by range of their ids and sorted; each partition writes one pair of files into the
-shared folder: ``shard-N.arrow`` with batches of equal-length sequences (``input_ids``: lists of unsigned 32-bit
-ids; ``mask``: 1 for ids of documents, 0 for the filling of the last sequence) and ``shard-N.docs.arrow`` with
+shared folder: ``shard-N.arrow`` with batches of equal-length sequences (``input_ids``: lists of unsigned ids, of
+16 bits if the vocabulary fits, else 32; ``mask``: true for ids of documents, false for the filling of the last
+sequence) and ``shard-N.docs.arrow`` with
 (doc_id, start, n_tokens) of its documents. All batches but the last have the same number of sequences, so
 any sequence or document is found by arithmetic and read from a memory map without a copy. A task writes
 under a name of its own and renames at the end, so a task that runs again leaves the same files.
@@ -19,6 +20,7 @@ from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -30,6 +32,7 @@ from pagemill.llm.words import WHITE, run_hashes
 from pagemill.session import materialize, scratch_path
 
 GROUP_BYTES = 4 << 20
+JOINED = 50
 
 
 class Layout(NamedTuple):
@@ -70,10 +73,33 @@ class Encoder:
             and not told.get("normalizer")
         )
         self.known: dict[int, tuple[int, ...]] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        top = max(max(vocabulary.values()), layout.end_id)
+        self.kind = pa.uint16() if top < 1 << 16 else pa.uint32()
+        self.n_bytes = np.zeros(top + 1, np.int64)  # a character of a byte-level token is a byte
+        for token, k in vocabulary.items():
+            self.n_bytes[k] = len(token)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of a text, and how many each has. Up to ``JOINED`` parts go to the library as one text,
+        since cuts hold there too; a part that begins a row has no cut before it and begins a text. The
+        bytes of the ids tell where each part ends."""
+        size = end - start
+        parts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        first = np.frombuffer(raw, np.uint8)[start] if len(start) else np.empty(0, np.uint8)
+        heads = np.flatnonzero((np.arange(len(start)) % JOINED == 0) | ~WHITE[first]).tolist()
+        joined = [b"".join(parts[a:b]).decode() for a, b in zip(heads, [*heads[1:], len(parts)], strict=True)]
+        ids = [np.array(x, np.uint32) for x in self._encode(joined)]
+        flat = np.concatenate([np.empty(0, np.uint32), *ids])
+        upto = np.concatenate([[0], np.cumsum(self.n_bytes[flat])])
+        ends = np.searchsorted(upto, np.cumsum(size))
+        if not np.array_equal(upto[ends], np.cumsum(size)):
+            raise ValueError("the tokenizer joins what this encoder cuts")
+        return flat, np.diff(ends, prepend=0)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, the end id behind each, and how many each row has."""
         n = len(offsets) - 1
@@ -91,17 +117,22 @@ class Encoder:
             cut[offsets[full]] = True
             start = np.flatnonzero(cut)
             end = np.append(start[1:], len(data))
-            h, first, part = np.unique(run_hashes(data, start, end), return_index=True, return_inverse=True)
+            part, h = pd.factorize(run_hashes(data, start, end))
+            first = np.empty(len(h), np.int64)
+            first[part[::-1]] = np.arange(len(part) - 1, -1, -1)
             keys = h.tolist()
             found = [self.known.get(k) for k in keys]
             missing = [k for k, x in enumerate(found) if x is None]
             raw = data.tobytes()
-            bounds = zip(start[first[missing]].tolist(), end[first[missing]].tolist(), strict=True)
-            fresh = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in bounds])
-            for k, x in zip(missing, fresh, strict=True):
-                found[k] = x
-                if len(self.known) < self.layout.cached:
-                    self.known[keys[k]] = tuple(x)
+            fresh, count = self._encode_parts(raw, start[first[missing]], end[first[missing]])
+            ids, a = fresh.tolist(), 0
+            room = self.layout.cached - len(self.known)
+            for k, b in zip(missing, np.cumsum(count).tolist(), strict=True):
+                found[k] = ids[a:b]
+                if room > 0:
+                    self.known[keys[k]] = tuple(ids[a:b])
+                    room -= 1
+                a = b
             each = np.array([len(x) for x in found], np.int64)
             vocabulary = np.fromiter(chain.from_iterable(found), np.uint32, each.sum())
             at = np.cumsum(each) - each
@@ -134,7 +165,7 @@ def _files(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _sequence_schema(layout: Layout) -> pa.Schema:
-    kinds = [("input_ids", pa.list_(pa.uint32(), layout.length)), ("mask", pa.list_(pa.uint8(), layout.length))]
+    kinds = [("input_ids", pa.list_(encoder(layout).kind, layout.length)), ("mask", pa.list_(pa.bool_(), layout.length))]
     told = {"sequence_length": str(layout.length), "sequences_per_batch": str(layout.batch), "tokenizer": os.path.basename(layout.tokenizer)}
     return pa.schema(kinds, metadata=told)
 
@@ -147,6 +178,7 @@ class _Sequences:
 
     def __init__(self, sink, layout: Layout):
         self.layout, self.schema = layout, _sequence_schema(layout)
+        self.kind = encoder(layout).kind.to_pandas_dtype()
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.held: list[np.ndarray] = []
         self.n_held = self.n_all = 0
@@ -164,8 +196,8 @@ class _Sequences:
             self.held, self.n_held = [ids[whole:].copy()], len(ids) - whole
 
     def _write(self, ids: np.ndarray, used: int) -> None:
-        mask = (np.arange(len(ids)) < used).astype(np.uint8)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.layout.length) for x in (ids, mask)]
+        values = (pa.array(ids.astype(self.kind)), pa.array(np.arange(len(ids)) < used))
+        columns = [pa.FixedSizeListArray.from_arrays(x, self.layout.length) for x in values]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -233,9 +265,10 @@ class Shard:
         self.length, self.batch = int(told[b"sequence_length"]), int(told[b"sequences_per_batch"])
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the k-th sequence."""
+        """Ids (a view of the file) and mask of the k-th sequence."""
         batch, row = self.sequences.get_batch(k // self.batch), k % self.batch
-        return tuple(c.values.to_numpy()[row * self.length : (row + 1) * self.length] for c in batch.columns)
+        ids, mask = (c.values.slice(row * self.length, self.length) for c in batch.columns)
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, in portions, one for each batch."""
