@@ -51,12 +51,29 @@ def grouped(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield first, last, data[start : offsets[last]], offsets[first : last + 1] - start
 
 
+#: What tasks of one kind keep in a worker process for the next task of that kind.
+_kept: dict[object, object] = {}
+
+
+def remembered(key: object, make: Callable[[], object]) -> object:
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """A worker process outlives its tasks: a task of another kind drops what earlier ones kept."""
+    _kept.clear()
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` with a function of one batch; empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.arrow import row_groups, text_bytes
+from pagemill.llm.arrow import forget, remembered, row_groups, text_bytes
 from pagemill.llm.words import WHITE, run_hashes
 from pagemill.session import materialize, scratch_path
 
@@ -42,7 +42,7 @@ class Layout(NamedTuple):
     end_id: int = 2
     length: int = 2048
     batch: int = 64
-    cached: int = 400_000
+    cached: int = 250_000
 
 
 class Encoder:
@@ -150,14 +150,9 @@ class Encoder:
         return out, sizes + 1
 
 
-_encoders: dict[Layout, Encoder] = {}
-
-
 def encoder(layout: Layout) -> Encoder:
     """One encoder for each worker process and layout: it remembers parts from task to task."""
-    if layout not in _encoders:
-        _encoders[layout] = Encoder(layout)
-    return _encoders[layout]
+    return remembered(layout, lambda: Encoder(layout))
 
 
 def _files(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -282,6 +277,7 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for shard, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 files = Shard(folder, shard)
