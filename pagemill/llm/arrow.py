@@ -63,8 +63,10 @@ def remembered(key: object, make: Callable[[], object]) -> object:
 
 
 def forget() -> None:
-    """A worker process outlives its tasks: a task of another kind drops what earlier ones kept."""
+    """A worker process outlives its tasks: a task of another kind drops what earlier ones kept, and gives
+    the memory of their batches back."""
     _kept.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def map_batches(

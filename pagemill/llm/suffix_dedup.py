@@ -267,7 +267,7 @@ def _batch(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.
 def _slices(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of a sorted array."""
     heads = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)], strict=True):
+    for a, b in zip(heads.tolist(), np.append(heads[1:], len(bucket)).tolist(), strict=False):
         yield int(bucket[a]), a, b
 
 
