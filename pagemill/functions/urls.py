@@ -170,7 +170,8 @@ def resolve_url(base: Column, ref: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Key under which a URL counts as visited: host in lower case, query arguments in order of
-    name and value, no fragment, ``/`` for an empty path."""
+    name and value, no fragment, ``/`` for an empty path;
+    ``//`` only before a host."""
     arguments = F.transform(
         F.filter(F.split(url_query(url), "&"), lambda a: a != ""),
         lambda a: F.struct(
@@ -184,8 +185,7 @@ def canonical_url(url: Column) -> Column:
     path = _part(url, 3)
     return F.concat(
         url_scheme(url),
-        F.lit("://"),
-        F.lower(url_netloc(url)),
+        F.when(url_netloc(url) == "", F.lit(":")).otherwise(F.concat(F.lit("://"), F.lower(url_netloc(url)))),
         F.when(path == "", F.lit("/")).otherwise(path),
         F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
     )

@@ -7,7 +7,6 @@ and summed by key; the sums combine before the shuffle, so what moves is one sma
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,20 +34,20 @@ BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``profile``: gram and one ``w_<language>`` bigint column per language."""
+    """``profile``: gram and one ``w_<language>`` bigint column per language; ``grams``: its counted rows."""
 
     profile: DataFrame
     languages: tuple[str, ...]
-    top_k: int = TOP_GRAMS
+    grams: int
     broadcast_limit: int = BROADCAST_LIMIT_BYTES
 
     def weight_columns(self) -> list[str]:
         return [f"w_{lang}" for lang in self.languages]
 
     def broadcastable(self) -> bool:
-        """The profile has at most top_k grams per language; is that bound small enough?"""
+        """Are the counted rows few enough to send to every task?"""
         row = 64 + 8 * len(self.languages)
-        return self.top_k * len(self.languages) * row <= self.broadcast_limit
+        return self.grams * row <= self.broadcast_limit
 
 
 def top_grams(counts: DataFrame, k: int = TOP_GRAMS, salts: int = TOP_GRAM_SALTS) -> DataFrame:
@@ -79,22 +78,20 @@ def train(
     languages: Sequence[str],
     text: str = "text",
     lang: str = "lang",
-    top_k: int = TOP_GRAMS,
+    top_k: int | None = None,
     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
 ) -> LanguageModel:
-    """Count, keep the top grams, weigh them. The counts are written once to the shared folder and
-    read three times; only one total per language reaches the driver."""
+    """Count all grams and weigh them; with ``top_k``, only those among the most frequent of a
+    language. The counts are written once to the shared folder; only one total per language reaches
+    the driver."""
     languages = tuple(sorted(languages))
     known = documents.filter(F.col(lang).isin(*languages))
     counts = materialize(gram_counts(known, text, lang), "gram-counts")
     totals = dict(counts.groupBy("lang").agg(F.sum("cnt")).collect())
-    kept = top_grams(counts, top_k).select("gram").distinct()
-    dense = (
-        counts.join(kept, "gram", "left_semi")
-        .groupBy("gram")
-        .pivot("lang", list(languages))
-        .agg(F.sum("cnt"))
-    )
+    used = counts
+    if top_k is not None:
+        used = counts.join(top_grams(counts, top_k).select("gram").distinct(), "gram", "left_semi")
+    dense = used.groupBy("gram").pivot("lang", list(languages)).agg(F.sum("cnt"))
     profile_counts = materialize(dense, "profile-counts")
     vocabulary = profile_counts.count()
     weights = [
@@ -110,7 +107,7 @@ def train(
         for language in languages
     ]
     profile = profile_counts.select("gram", *weights)
-    return LanguageModel(profile, languages, top_k, broadcast_limit)
+    return LanguageModel(profile, languages, vocabulary, broadcast_limit)
 
 
 def save_model(model: LanguageModel, path: str) -> None:
@@ -121,7 +118,7 @@ def load_model(spark, path: str) -> LanguageModel:
     """A stored profile; its rows are counted, since they decide whether it may be broadcast."""
     profile = spark.read.parquet(path)
     languages = tuple(c[2:] for c in profile.columns if c.startswith("w_"))
-    return LanguageModel(profile, languages, math.ceil(profile.count() / len(languages)))
+    return LanguageModel(profile, languages, profile.count())
 
 
 def profile_rows(model: LanguageModel) -> DataFrame:

@@ -154,28 +154,18 @@ def restrict_text(links: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return links.filter(matches_any(F.col("text"), patterns)) if patterns else links
 
 
-LISTED_DOMAINS = 10_000
-
-
-def restrict_domains(
-    links: DataFrame, domains: DataFrame, keep: bool, listed: int = LISTED_DOMAINS
-) -> DataFrame:
+def restrict_domains(links: DataFrame, domains: DataFrame, keep: bool) -> DataFrame:
     """Keep (or drop) links whose host is in a table of domains or below one of them.
 
-    Up to ``listed`` domains become a literal set that is tested inside the row. Of a longer table,
-    each distinct host is looked up once by its suffixes, and links meet the verdict by host; no
-    side of that join is forced to broadcast, and a hot host is split by the skew join.
+    Each distinct host is looked up once by its suffixes, and links meet the verdict by host; no side
+    is forced to broadcast, and a hot host is split by the skew join. A NULL domain lists nothing; a
+    link with a NULL URL or without a host is below no domain, so a deny table keeps it.
     """
-    wanted = domains.select(F.lower("domain").alias("_suffix")).distinct()
-    host = F.lower(url_netloc(F.col("url")))
-    first = [row[0] for row in wanted.limit(listed + 1).collect()]
-    if len(first) <= listed:
-        inside = (host != "") & F.exists(host_suffixes(host), lambda s: s.isin(first))
-        return links.filter(inside if keep else ~inside)
-    hosted = links.withColumn("_host", host)
+    wanted = domains.select(F.lower("domain").alias("_suffix")).where("_suffix is not null").distinct()
+    hosted = links.withColumn("_host", F.lower(url_netloc(F.col("url"))))
     hosts = hosted.select("_host").filter(F.col("_host") != "").distinct()
     suffixes = hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
-    verdict = suffixes.join(wanted, "_suffix", "left_semi").select("_host")
+    verdict = suffixes.join(wanted, "_suffix", "left_semi").select("_host").distinct()
     return hosted.join(verdict, "_host", "left_semi" if keep else "left_anti").drop("_host")
 
 
@@ -202,11 +192,11 @@ def regex_rule_join(links: DataFrame, specs: DataFrame, spec: str = "spec") -> D
 def robots_filter(rows: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
     """Drop URLs that the robots rules (host, allow, prefix) of their host forbid.
 
-    The longest matching prefix decides, allow wins a tie, no match allows. The rules of a host are
+    Hosts are compared in lower case. The longest matching prefix decides, allow wins a tie, no match allows. The rules of a host are
     one small robots file, so they are gathered per host and tested inside the row: the join does
     not multiply rows and nothing is grouped after it.
     """
-    rules = robots.groupBy(F.col("host").alias("_host")).agg(
+    rules = robots.groupBy(F.lower("host").alias("_host")).agg(
         F.collect_set(
             F.struct(F.length("prefix").alias("size"), F.col("allow"), F.col("prefix"))
         ).alias("_rules")
@@ -215,7 +205,7 @@ def robots_filter(rows: DataFrame, robots: DataFrame, url: str = "url") -> DataF
     place = F.when(place.startswith("/"), place).otherwise(F.concat(F.lit("/"), place))
     deciding = F.array_max(F.filter("_rules", lambda r: place.startswith(r["prefix"])))
     return (
-        rows.withColumn("_host", url_netloc(F.col(url)))
+        rows.withColumn("_host", F.lower(url_netloc(F.col(url))))
         .join(rules, "_host", "left")
         .filter(F.coalesce(deciding["allow"], F.lit(True)))
         .drop("_host", "_rules")

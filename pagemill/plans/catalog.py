@@ -58,7 +58,7 @@ def model(spark: SparkSession, sf_dir: str) -> language.LanguageModel:
     def make() -> language.LanguageModel:
         trained = language.train(fx.documents(spark, sf_dir), fx.MODEL_LANGUAGES)
         stored = materialize(trained.profile, "profile")
-        return language.LanguageModel(stored, trained.languages, trained.top_k)
+        return language.LanguageModel(stored, trained.languages, trained.grams)
 
     return _stage(spark, sf_dir, "model", make)
 
@@ -91,9 +91,8 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed_rows(spark, sf_dir, allowed, keep_errors) -> DataFrame:
-    return language.parse_with_languages(
-        _parsed(spark, sf_dir), model(spark, sf_dir), allowed, keep_errors
-    )
+    stored = materialize(_parsed(spark, sf_dir), "parsed")  # html is read and parsed once
+    return language.parse_with_languages(stored, model(spark, sf_dir), allowed, keep_errors)
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -709,9 +708,8 @@ def stream_tasks(spark, sf_dir):
 
 @query
 def drop_redelivered(spark, sf_dir):
-    # The replayed files span a year of event time in no order, so the horizon covers it.
     tasks = stream_in.stream_tasks(spark, _task_files(spark, sf_dir))
-    once = stream_in.drop_redelivered(tasks, "400 days")
+    once = stream_in.drop_redelivered(tasks)
     return _drain(once, "stream-once").select("msg_id", "body")
 
 

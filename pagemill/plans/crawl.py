@@ -26,6 +26,7 @@ from pagemill.operators.numbering import raw_file_table
 from pagemill.operators.paragraphs import matched_type, parse_pages
 from pagemill.operators.selectors import html_elements
 from pagemill.operators.spiders import seed_urls
+from pagemill.session import materialize
 from pagemill.sinks.paragraph_csv import write_paragraph_csv
 from pagemill.sinks.raw_files import write_raw_files
 from pagemill.sources.specs import CrawlSpec
@@ -73,7 +74,9 @@ def visit_pages(
         F.lit(spec.name).alias("name"), F.array(*[F.lit(u) for u in spec.urls]).alias("urls")
     )
     rules = LinkRules(allow=tuple(spec.whitelist), deny=tuple(spec.blacklist))
-    links = allowed_links(extract_links(pages), rules)
+    linking = _with_content_type(pages)
+    linking = linking.filter(matched_type(F.col("content_type"), ["text/html"]).isNotNull())
+    links = allowed_links(extract_links(linking), rules)
     reached = crawl_frontier(seed_urls(specs), links, DEPTH_LIMIT, robots)
     captures = (
         pages.select(canonical_url(F.col("url")).alias("key"), "page_id", F.col("url").alias("url"))
@@ -94,7 +97,8 @@ def run_crawl(
     """Visit, parse and keep what belongs to each spider's own host.
 
     Offsite pages are removed before anything is parsed, and a page that several spiders visit is
-    parsed once.
+    parsed once. Parsed pages and the items are stored, so that scores, pipelines and finalizers read
+    no HTML again.
     """
     pages = _with_content_type(pages)
     visits = visit_pages(spark, spec, pages, robots)
@@ -107,17 +111,17 @@ def run_crawl(
         )
         bodies = allowed.select("page_id", "url", F.col("html").alias("content"))
         owners = places.join(bodies.select("page_id", "url"), "page_id")
-        return CrawlResult(spec, visits, raw_file_table(bodies, owners))
+        return CrawlResult(spec, visits, materialize(raw_file_table(bodies, owners), "items"))
     if spec.parser != PARAGRAPH_PARSER:
         raise ValueError(f"unknown parser {spec.parser!r}")
     if model is None and DISABLED not in spec.allowed_languages:
         raise ValueError("a language model is needed unless detection is disabled")
     html = wanted.filter(matched_type(F.col("content_type"), ["text/html"]).isNotNull())
-    parsed = parse_any(html.select("page_id", "url", "html"), list(spec.xpaths))
+    parsed = materialize(parse_any(html.select("page_id", "url", "html"), list(spec.xpaths)), "parsed")
     rows = parse_with_languages(
         parsed, model, tuple(spec.allowed_languages), spec.keep_langdetect_errors
     )
-    return CrawlResult(spec, visits, rows.join(places, "page_id"))
+    return CrawlResult(spec, visits, materialize(rows.join(places, "page_id"), "items"))
 
 
 def write_items(result: CrawlResult, path: str | None = None) -> None:

@@ -59,7 +59,7 @@ def canonical(url: str) -> str:
     )
     query = f"array_to_string(list_transform({pairs}, lambda s: s.k || '=' || s.v), '&')"
     return (
-        f"lower({part(url, 1)}) || '://' || lower({netloc(url)}) || "
+        f"lower({part(url, 1)}) || case when {netloc(url)} = '' then ':' else '://' || lower({netloc(url)}) end || "
         f"case when {part(url, 3)} = '' then '/' else {part(url, 3)} end || "
         f"case when coalesce({query}, '') = '' then '' else '?' || {query} end"
     )
@@ -218,7 +218,7 @@ CTES = {
     "x_counts": f"""select lang, gram, count(*) cnt from ({grams('documents', 'lang', 'text')}) group by lang, gram""",
     "x_top": f"""select lang, gram, cnt from x_counts
       qualify row_number() over (partition by lang order by cnt desc, gram) <= {L.TOP_GRAMS}""",
-    "x_kept": "select distinct gram from x_top",
+    "x_kept": "select distinct gram from x_counts",
     "x_profile": f"""select t.lang, k.gram, cast(round({L.WEIGHT_SCALE} *
         ln((coalesce(c.cnt, 0) + 1) / cast(t.n + v.v as double))) as bigint) weight
       from x_kept k cross join (select lang, sum(cnt) n from x_counts group by lang) t

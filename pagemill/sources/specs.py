@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,17 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def parser_defaults(data: Column) -> Column:
+    """Parser data with the parsers' defaults for what is missing."""
+    defaults = {
+        "allowed_languages": _strings(DEFAULT_LANGUAGES),
+        "keep_langdetect_errors": F.lit(True),
+        "xpaths": _strings(DEFAULT_XPATHS),
+        "allowed_content_type": _strings(DEFAULT_RAW_TYPES),
+    }
+    return F.struct(*[F.coalesce(data[f], d).alias(f) for f, d in defaults.items()])
+
+
 def with_defaults(specs: DataFrame) -> DataFrame:
     """Missing lists and maps become empty, missing parser data takes the parsers' defaults."""
     empty_list = F.array().cast("array<string>")
@@ -55,20 +69,16 @@ def with_defaults(specs: DataFrame) -> DataFrame:
         *TEXT_FIELDS[:3],
         *[F.coalesce(f, empty_list).alias(f) for f in LIST_FIELDS],
         "parser",
-        F.struct(
-            F.coalesce(data["allowed_languages"], _strings(DEFAULT_LANGUAGES)).alias(
-                "allowed_languages"
-            ),
-            F.coalesce(data["keep_langdetect_errors"], F.lit(True)).alias("keep_langdetect_errors"),
-            F.coalesce(data["xpaths"], _strings(DEFAULT_XPATHS)).alias("xpaths"),
-            F.coalesce(data["allowed_content_type"], _strings(DEFAULT_RAW_TYPES)).alias(
-                "allowed_content_type"
-            ),
-        ).alias("parser_data"),
+        parser_defaults(data).alias("parser_data"),
         *[F.coalesce(f, empty_map[f]).alias(f) for f in MAP_FIELDS],
     )
 
 
+def parse_patches(bodies: DataFrame, body: str = "body") -> DataFrame:
+    """JSON text column to specification columns as they are, absent ones NULL, for :func:`overlay_specs`."""
+    return bodies.select(F.from_json(body, SPEC_SCHEMA).alias("s")).select("s.*")
+
+
 def parse_specs(bodies: DataFrame, body: str = "body") -> DataFrame:
     """JSON text column to specification columns with defaults; other columns are dropped."""
     return with_defaults(bodies.select(F.from_json(body, SPEC_SCHEMA).alias("s")).select("s.*"))
@@ -80,8 +90,11 @@ def read_specs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def overlay_specs(base: DataFrame, patch: DataFrame) -> DataFrame:
-    """Lay ``patch`` over ``base`` by name; a patch field wins only if it is not empty."""
+    """Lay ``patch`` (from :func:`parse_patches`, without defaults) over ``base`` by name; a patch field wins
+    only if it is not empty. Parser data with any field in it replaces that of the base as a whole."""
     b, p = base.alias("b"), patch.alias("p")
+    data = F.col("p.parser_data")
+    told = F.coalesce(reduce(or_, [data[f].isNotNull() for f in PARSER_DATA_SCHEMA.names]), F.lit(False))
 
     def pick(name: str, wins: Column) -> Column:
         return F.when(wins, F.col(f"p.{name}")).otherwise(F.col(f"b.{name}")).alias(name)
@@ -94,7 +107,7 @@ def overlay_specs(base: DataFrame, patch: DataFrame) -> DataFrame:
         *[pick(f, F.coalesce(F.col(f"p.{f}") != "", F.lit(False))) for f in ("output", "logs")],
         *[pick(f, filled(f)) for f in LIST_FIELDS],
         pick("parser", F.coalesce(F.col("p.parser") != "", F.lit(False))),
-        pick("parser_data", F.col("p.parser_data").isNotNull()),
+        F.when(told, parser_defaults(data)).otherwise(F.col("b.parser_data")).alias("parser_data"),
         *[pick(f, filled(f)) for f in MAP_FIELDS],
     )
 
@@ -119,10 +132,16 @@ class CrawlSpec:
 
 
 def load_spec(spark: SparkSession, text_or_path: str) -> CrawlSpec:
-    """One specification from JSON text, or else from a file."""
+    """One specification from JSON text, or else from a file. Anything but exactly one readable
+    specification is refused."""
     if text_or_path.lstrip().startswith("{"):
+        json.loads(text_or_path)
         rows = parse_specs(spark.range(1).select(F.lit(text_or_path).alias("body")))
     else:
-        rows = read_specs(spark, text_or_path)
-    fields = rows.first().asDict(recursive=True)
+        reader = spark.read.schema(SPEC_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
+        rows = with_defaults(reader.json(text_or_path))
+    found = rows.take(2)
+    if len(found) != 1:
+        raise ValueError(f"{text_or_path!r} holds {'no' if not found else 'more than one'} specification")
+    fields = found[0].asDict(recursive=True)
     return CrawlSpec(**{**{k: v for k, v in fields.items() if k != "parser_data"}, **fields["parser_data"]})

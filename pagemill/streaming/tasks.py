@@ -26,14 +26,16 @@ def stream_tasks(spark: SparkSession, path: str, max_files: int = 1) -> DataFram
 def drop_redelivered(tasks: DataFrame, horizon: str = "7 days") -> DataFrame:
     """Discard redelivered messages and repeats of a message id.
 
-    Ids are remembered for ``horizon`` of event time, which bounds the state; a message that comes
-    later than that is dropped as late. As with any at-most-once rule, a task whose first delivery
-    was lost stays lost.
+    Ids are remembered for ``horizon`` after their arrival, which bounds the state. The time in a message
+    plays no part, so no first delivery is late, however old it is. As with any at-most-once rule, a
+    task whose first delivery was lost stays lost.
     """
     return (
         tasks.filter(~F.col("redelivered"))
-        .withWatermark("ts", horizon)
+        .withColumn("_arrived", F.current_timestamp())
+        .withWatermark("_arrived", horizon)
         .dropDuplicatesWithinWatermark(["msg_id"])
+        .drop("_arrived")
     )
 
 

@@ -108,7 +108,7 @@ def test_page_rules(spark):
 
 
 def test_ties_go_to_the_later_code(spark):
-    model = L.LanguageModel(spark.range(0), ("de", "en"))
+    model = L.LanguageModel(spark.range(0), ("de", "en"), 0)
     df = spark.createDataFrame([(5, 5), (6, 5)], "s_de long, s_en long")
     assert [r[0] for r in df.select(L.top_language(model)).collect()] == ["en", "de"]
 

@@ -25,16 +25,21 @@ def test_empty_rules_allow_and_search_is_not_a_full_match(spark):
     assert reasons(spark, K.LinkRules(deny=("ny$",)), "http://h/any") == ["blacklist"]
 
 
-def test_domain_table_ways_agree(spark):
-    links = spark.createDataFrame(
-        [(u,) for u in ["http://a.b.c/x", "http://b.c/", "http://xb.c/", "mailto:x", "http://q.r"]], "url string"
-    )
-    domains = spark.createDataFrame([("b.c",), ("r",), ("B.C",)], "domain string")
-    for keep in (True, False):
-        near = K.restrict_domains(links, domains, keep)
-        far = K.restrict_domains(links, domains, keep, listed=0)
-        assert sorted(near.collect()) == sorted(far.collect())
-        assert near.count() == (3 if keep else 2)
+def test_domain_table_with_nulls(spark):
+    urls = ["http://a.b.c/x", "http://b.c/", "http://xb.c/", "mailto:x", "http://q.R", None, "http://B.c/2"]
+    links = spark.createDataFrame([(u,) for u in urls], "url string")
+    domains = spark.createDataFrame([("b.c",), ("r",), ("B.C",), (None,)], "domain string")
+    below = {"http://a.b.c/x", "http://b.c/", "http://q.R", "http://B.c/2"}
+    assert {r.url for r in K.restrict_domains(links, domains, True).collect()} == below
+    assert {r.url for r in K.restrict_domains(links, domains, False).collect()} == set(urls) - below
+    none = domains.limit(0)
+    assert K.restrict_domains(links, none, True).count() == 0 and K.restrict_domains(links, none, False).count() == 7
+
+
+def test_robots_hosts_in_any_case(spark):
+    rules = spark.createDataFrame([("A.org", False, "/de/")], "host string, allow boolean, prefix string")
+    links = spark.createDataFrame([("http://a.ORG/de/1",), ("http://a.org/en",)], "url string")
+    assert [r.url for r in K.robots_filter(links, rules).collect()] == ["http://a.org/en"]
 
 
 def test_robots(spark):

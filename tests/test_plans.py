@@ -26,7 +26,7 @@ def test_every_query_has_sql():
 
 def test_bucketed_pages_need_no_shuffle(spark, sf_dir):
     table = bucket_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), "bucketed_pages", 8)
-    stored = L.LanguageModel(catalog.model(spark, sf_dir).profile, fx.MODEL_LANGUAGES)
+    stored = L.LanguageModel(catalog.model(spark, sf_dir).profile, fx.MODEL_LANGUAGES, catalog.model(spark, sf_dir).grams)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = physical(L.parse_with_languages(parse_pages(table), stored))

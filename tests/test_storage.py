@@ -1,3 +1,4 @@
+import pytest
 import os
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pagemill.sinks.raw_files import write_raw_files
 from pagemill.sources.pages import bucket_pages, spread
 from pagemill.sources.paragraph_csv import scan_csv_files, scan_paragraph_csv
 from pagemill.sources.raw_files import scan_raw_files
-from pagemill.sources.specs import load_spec, overlay_specs, parse_specs, read_specs
+from pagemill.sources.specs import load_spec, overlay_specs, parse_patches, parse_specs, read_specs
 
 ROWS = (
     "spider string, page_id long, xp_idx int, pos int, url string, content string, "
@@ -84,10 +85,31 @@ def test_overlay_takes_only_filled_fields(spark):
     def specs(text):
         return parse_specs(spark.createDataFrame([(text,)], "body string"))
 
-    base = specs('{"name":"a","output":"o","urls":["u"],"pipelines":{"p":1},"parser":"P"}')
-    patch = specs('{"name":"a","output":"","urls":[],"blacklist":["b"],"pipelines":{"q":2}}')
+    def patches(text):
+        return parse_patches(spark.createDataFrame([(text,)], "body string"))
+
+    base = specs('{"name":"a","output":"o","urls":["u"],"pipelines":{"p":1},"parser":"P","parser_data":{"xpaths":["//h1"]}}')
+    patch = patches('{"name":"a","output":"","urls":[],"blacklist":["b"],"pipelines":{"q":2}}')
     row = overlay_specs(base, patch).first()
     assert (row.output, row.urls, row.blacklist, row.pipelines, row.parser) == ("o", ["u"], ["b"], {"q": 2}, "P")
+    assert row.parser_data.xpaths == ["//h1"]
+    row = overlay_specs(base, patches('{"name":"a","parser_data":{"allowed_languages":["fr"]}}')).first()
+    assert (row.parser_data.allowed_languages, row.parser_data.xpaths) == (["fr"], ["//p", "//td"])
+    row = overlay_specs(base, patches('{"name":"a","parser_data":{}}')).first()
+    assert row.parser_data.xpaths == ["//h1"]
+
+
+def test_unreadable_and_several_specifications_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError):
+        load_spec(spark, '{"name": "a", oops')
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(f'{{"name": "{name}"}}')
+    with pytest.raises(ValueError):
+        load_spec(spark, str(tmp_path))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.json").write_text('{"name": "a", oops')
+    with pytest.raises(Exception, match="oops|[Mm]alformed|FAILFAST|parse"):
+        load_spec(spark, str(tmp_path / "bad" / "x.json"))
 
 
 def test_small_inputs_are_spread_and_large_ones_left_alone(spark):

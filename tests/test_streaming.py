@@ -24,6 +24,14 @@ def test_repeats_and_redeliveries_are_dropped_across_restarts(spark, tmp_path):
     assert got == [(1, "a"), (3, "c")]  # the lost first delivery of 2 stays lost
 
 
+def test_old_first_deliveries_are_not_late(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    for k, day in ((1, "2024-03-01"), (3, "2024-03-02"), (4, "2024-03-20"), (2, "2024-01-01")):
+        task_file(spark, src, [(k, day, False, "x")])
+        R.run_to_parquet(T.drop_redelivered(T.stream_tasks(spark, src)), out, mark)
+    assert sorted(r.msg_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
 def test_stream_equals_batch_and_replayed_batches_count_once(spark, sf_dir, tmp_path):
     src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

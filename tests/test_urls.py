@@ -78,6 +78,7 @@ def test_file_names(spark):
 
 def test_canonical_and_domains(spark):
     canonical = lambda u: one(spark, U.canonical_url(F.lit(u)))
+    assert canonical("mailto:me@h") == "mailto:me@h"
     assert canonical("HTTP://Ex.COM?b=2&a-b=1&a=1&a#f") == "http://ex.com/?a=&a=1&a-b=1&b=2"
     domains = F.array(F.lit("Example.com"))
     inside = lambda h: one(spark, U.host_in_domains(F.lit(h), domains))
