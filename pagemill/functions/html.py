@@ -122,11 +122,31 @@ def element_text(fragment: Column) -> Column:
     return decode_entities(strip_tags(fragment))
 
 
+def _nested_bodies(bodies: Column, tag: str) -> Column:
+    """Each element's inside, from the text after each start tag up to the next: an element goes on over
+    later start tags until as many end tags were seen, or the page's end."""
+    end = rf"(?i)</{tag}(?:\s[^>]*)?>"
+    cut = F.transform(bodies, lambda b: F.split(F.regexp_replace(b, r"(?is)</(?:body|html)(?:[\s/>].*|\z)", ""), end, -1))
+
+    def grow(state: Column, parts: Column) -> Column:
+        closes = F.size(parts) - 1
+        left = state["depth"] - closes
+        text = F.when(left > 0, F.array_join(parts, "")).otherwise(F.array_join(F.slice(parts, F.lit(1), state["depth"]), ""))
+        grown = F.struct(F.when(left > 0, left + 1).otherwise(F.lit(0)).alias("depth"), F.concat(state["text"], text).alias("text"))
+        return F.when(state["depth"] > 0, grown).otherwise(state)
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
+    inside = lambda i: F.aggregate(F.slice(cut, i + 1, F.size(cut) - i), start, grow, lambda s: s["text"])
+    return F.transform(bodies, lambda _, i: inside(i))
+
+
 def element_texts(visible: Column, tag: str) -> Column:
     """Array with the text of each ``tag`` element, in document order; ``visible`` is HTML after
-    :func:`strip_hidden`."""
+    :func:`strip_hidden`. An element that may hold others of its kind has their text too."""
     pieces = F.split(visible, open_pattern(tag), -1)
     bodies = F.slice(pieces, F.lit(2), F.size(pieces))
+    if tag != "p" and tag not in HEADINGS and tag not in ELEMENT_CLOSERS:
+        return F.transform(F.transform(_nested_bodies(bodies, tag), strip_tags), decode_entities)
     stripped = F.transform(
         bodies, lambda b: strip_tags(F.regexp_replace(b, close_pattern(tag), ""))
     )

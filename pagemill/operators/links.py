@@ -171,11 +171,30 @@ def restrict_domains(links: DataFrame, domains: DataFrame, keep: bool) -> DataFr
 
 def regex_rule_join(links: DataFrame, specs: DataFrame, spec: str = "spec") -> DataFrame:
     """Links of many crawls against the rules of their own crawl: an equi-join on the crawl name,
-    then the patterns of the one matching row. Adds ``reason``, NULL for an allowed link."""
-    rules = specs.select(F.col("name").alias(spec), "whitelist", "blacklist")
+    then the patterns of the one matching row, each list joined into one alternation. A list with a back
+    reference, whose number would change in there, is tested pattern by pattern. Adds ``reason``, NULL for
+    an allowed link."""
+
+    def alternation(patterns: str) -> Column:
+        grouped = F.transform(patterns, lambda p: F.concat(F.lit("(?:"), p, F.lit(")")))
+        plain = ~F.exists(patterns, lambda p: F.rlike(p, F.lit(r"\\([1-9]|k<)|\(\?[a-zA-Z]*x")))
+        return F.when(plain, F.array_join(grouped, "|"))
+
+    rules = specs.select(
+        F.col("name").alias(spec),
+        "whitelist",
+        "blacklist",
+        alternation("whitelist").alias("_allow"),
+        alternation("blacklist").alias("_deny"),
+    )
     url = F.col("url")
-    allowed = (F.size("whitelist") == 0) | F.exists("whitelist", lambda p: F.rlike(url, p))
-    denied = F.exists("blacklist", lambda p: F.rlike(url, p))
+
+    def hit(patterns: str, joined: str) -> Column:
+        single = F.exists(patterns, lambda p: F.rlike(url, p))
+        return (F.size(patterns) > 0) & F.when(F.col(joined).isNotNull(), F.rlike(url, F.col(joined))).otherwise(single)
+
+    allowed = (F.size("whitelist") == 0) | hit("whitelist", "_allow")
+    denied = hit("blacklist", "_deny")
     return (
         links.join(rules, spec)
         .withColumn(
@@ -185,7 +204,7 @@ def regex_rule_join(links: DataFrame, specs: DataFrame, spec: str = "spec") -> D
             .when(denied, "blacklist")
             .when(has_extension(url, DENIED_EXTENSIONS), "extension"),
         )
-        .drop("whitelist", "blacklist")
+        .drop("whitelist", "blacklist", "_allow", "_deny")
     )
 
 

@@ -48,14 +48,19 @@ def stream_results(
 ) -> StreamingQuery:
     """Turn each micro-batch to messages and write them under the batch's own folder.
 
-    A batch that is replayed after a failure overwrites its folder, so each message is there once.
+    A batch that is replayed after a failure overwrites its folder, so each message is there once. From
+    the second batch on, file names end with the batch's number, so the parts of a spider that arrive in
+    several batches don't share a name.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         # Numbering and sizes read the batch more than once; parse it once.
         kept = batch.persist()
         try:
-            send_results(to_messages(kept), f"{path}/batch={batch_id}", mode="overwrite")
+            messages = to_messages(kept)
+            if batch_id:
+                messages = messages.withColumn("filename", F.concat("filename", F.lit(f"_batch{batch_id}")))
+            send_results(messages, f"{path}/batch={batch_id}", mode="overwrite")
         finally:
             kept.unpersist()
 

@@ -33,6 +33,13 @@ def test_paragraph_in_cell_comes_twice_in_xpath_order(spark):
     ]
 
 
+def test_nested_elements_keep_the_outer_text(spark):
+    html = "<div>outer <div class='x'>inner <DIV>deep</DIV></div> tail</div><div>next</div><div>open <p>end"
+    expected = ["outer inner deep tail", "inner deep", "deep", "next", "open end"]
+    assert paragraphs(spark, html, ["//div"]) == [("//div", t) for t in expected]
+    assert paragraphs(spark, "<span>a<span>b</span></span></span><span>c", ["//span"]) == [("//span", t) for t in ("ab", "b", "c")]
+
+
 def test_broken_markup(spark):
     html = "<P class='a'>one<b>two<br><p>three<div>no</div><pre>no</pre><p>four<!-- <p>no --> end <b"
     assert paragraphs(spark, html, ["//p"]) == [("//p", "onetwo"), ("//p", "three"), ("//p", "four end ")]

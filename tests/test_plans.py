@@ -9,11 +9,11 @@ import pytest
 import __spark_entry__ as entry_module
 from pagemill.operators import language as L
 from pagemill.operators.paragraphs import parse_pages
-from pagemill.plans import catalog, fixtures as fx
+from pagemill.plans import catalog, fixtures as fx, oracle
 from pagemill.sources.pages import bucket_pages
 
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLE = oracle.oracle_sql()
 
 
 def physical(df):
@@ -22,6 +22,12 @@ def physical(df):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLE) <= set(entry_module.oracle_sql())
+
+
+def test_html_is_read_once_for_paragraph_rows(spark, sf_dir):
+    plan = physical(catalog.QUERIES["paragraph_rows"](spark, sf_dir))
+    assert not [x for x in re.findall(r"ReadSchema: (.*)", plan) if "html" in x]
 
 
 def test_bucketed_pages_need_no_shuffle(spark, sf_dir):
