@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Mapping, Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -153,10 +154,13 @@ def element_texts(visible: Column, tag: str) -> Column:
     return F.transform(stripped, decode_entities)
 
 
-def paragraph_array(visible: Column, xpaths: list[str]) -> Column:
+def paragraph_array(visible: Column, xpaths: Sequence[str] | Mapping[int, str]) -> Column:
     """Array of (xp_idx, pos, origin, content): XPath order, then document order, blanks dropped,
-    an element that two XPaths match kept twice."""
-    per_path = [_tagged_texts(visible, idx, xpath) for idx, xpath in enumerate(xpaths)]
+    an element that two XPaths match kept twice. A mapping gives the XPaths by their xp_idx."""
+    numbered = xpaths.items() if isinstance(xpaths, Mapping) else enumerate(xpaths)
+    per_path = [_tagged_texts(visible, idx, xpath) for idx, xpath in numbered]
+    if not per_path:
+        return F.array().cast("array<struct<xp_idx:int,pos:int,origin:string,content:string>>")
     return F.filter(F.concat(*per_path), lambda p: has_text(p["content"]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import csv_line
-from pagemill.operators.numbering import SLAB_WIDTH, even_chunk, number_rows
+from pagemill.operators.numbering import even_chunk, number_rows
 
 # The CSV columns in order, and the size limit of one message in bytes.
 CSV_COLUMNS = ("url", "content", "par_language", "page_language", "origin", "depth")
@@ -41,26 +41,27 @@ def result_size(rows: DataFrame, key: str = "spider") -> DataFrame:
     )
 
 
-def chunk_rows(
-    rows: DataFrame,
-    limit: int = MESSAGE_LIMIT,
-    keys: Sequence[str] = ("spider",),
-    slab_width: int = SLAB_WIDTH,
-) -> DataFrame:
-    """CSV lines with ``chunk`` (from 0) and ``chunks``. The number of chunks comes from the bytes,
-    the split is by rows, so a chunk may exceed the limit."""
+def _chunked(rows: DataFrame, limit: int, keys: Sequence[str]) -> DataFrame:
     totals = {"_rows": F.lit(1), "_bytes": F.octet_length("line") + 1}
     numbered = number_rows(
-        csv_lines(rows, *keys), keys, "page_id", ("xp_idx", "pos"), "rn", slab_width, totals
+        csv_lines(rows, *keys), keys, "page_id", ("xp_idx", "pos"), "rn", totals
     )
     chunks = F.ceil((F.col("_bytes") + HEADER_BYTES) / F.lit(limit)).cast("long")
     return (
         numbered.withColumn("chunks", chunks)
         .withColumn("chunk", even_chunk(F.col("rn"), F.col("_rows"), F.col("chunks")))
-        .drop("_rows", "_bytes")
+        .drop("_bytes")
     )
 
 
+def chunk_rows(
+    rows: DataFrame, limit: int = MESSAGE_LIMIT, keys: Sequence[str] = ("spider",)
+) -> DataFrame:
+    """CSV lines with ``chunk`` (from 0) and ``chunks``. The number of chunks comes from the bytes,
+    the split is by rows, so a chunk may exceed the limit."""
+    return _chunked(rows, limit, keys).drop("_rows")
+
+
 def _message_rows(
     df: DataFrame, crawl: Column, raw: bool, url: str, filename: Column, data: Column
 ) -> DataFrame:
@@ -78,16 +79,35 @@ def paragraph_messages(
     crawl: Column,
     limit: int = MESSAGE_LIMIT,
     keys: Sequence[str] = ("spider",),
-    slab_width: int = SLAB_WIDTH,
+    spiders: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (crawl, raw, url, filename, data), one per chunk. A group is one chunk, whose size the
-    limit sets, never a whole spider. The last of ``keys`` names the spider; ``crawl`` may use all."""
+    limit sets, never a whole spider. The last of ``keys`` names the spider; ``crawl`` may use all.
+
+    With fewer rows than chunks, the chunks beyond the last row have the header alone; so has the one
+    message of each of ``spiders`` (a table with ``keys``) that has no rows.
+    """
     spider = keys[-1]
+    chunk = F.col("chunk")
+    last = F.least("_rows", "chunks") - 1
     bodies = (
-        chunk_rows(rows, limit, keys, slab_width)
+        _chunked(rows, limit, keys)
         .groupBy(*keys, "chunk", "chunks")
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("_lines"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("_lines"),
+            F.first("_rows").alias("_rows"),
+        )
+        .withColumn("_chunk", F.when(chunk == last, F.sequence(chunk, F.col("chunks") - 1)).otherwise(F.array(chunk)))
+        .withColumn("_chunk", F.explode("_chunk"))
+        .withColumn("_lines", F.when(F.col("_chunk") == chunk, F.col("_lines")))
+        .select(*keys, F.col("_chunk").alias("chunk"), "chunks", "_lines")
     )
+    if spiders is not None:
+        empty = spiders.select(*keys).distinct().join(rows.select(*keys), list(keys), "left_anti")
+        bodies = bodies.unionByName(
+            empty.withColumns({"chunk": F.lit(0).cast("long"), "chunks": F.lit(1).cast("long")}),
+            allowMissingColumns=True,
+        )
     part = F.concat(
         F.col(spider),
         F.lit("_part"),
@@ -95,11 +115,8 @@ def paragraph_messages(
         F.lit("_"),
         F.col("chunks").cast("string"),
     )
-    text = F.concat(
-        F.lit(CSV_HEADER + "\n"),
-        F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"),
-        F.lit("\n"),
-    )
+    lines = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    text = F.concat(F.lit(CSV_HEADER + "\n"), F.coalesce(F.concat(lines, F.lit("\n")), F.lit("")))
     filename = F.when(F.col("chunks") == 1, F.col(spider)).otherwise(part)
     return _message_rows(bodies, crawl, False, spider, filename, text)
 
@@ -120,10 +137,14 @@ def to_messages(rows: DataFrame) -> DataFrame:
 
 
 def dispatch_finalizer(
-    specs: DataFrame, paragraphs: DataFrame, files: DataFrame, limit: int = MESSAGE_LIMIT
+    specs: DataFrame,
+    paragraphs: DataFrame,
+    files: DataFrame,
+    limit: int = MESSAGE_LIMIT,
+    spiders: DataFrame | None = None,
 ) -> DataFrame:
     """Messages of many crawls: paragraph rows of the paragraph crawls, files of the raw crawls.
-    Both inputs carry ``spec`` and ``spider``."""
+    All inputs carry ``spec`` and ``spider``; paragraph crawls have a message for each of ``spiders``."""
     parsers = specs.select(F.col("name").alias("spec"), "parser")
 
     def crawls(parser: str) -> DataFrame:
@@ -131,6 +152,7 @@ def dispatch_finalizer(
 
     par = paragraphs.join(crawls(PARAGRAPH_PARSER), "spec", "left_semi")
     raw = files.join(crawls(RAW_PARSER), "spec", "left_semi")
-    return paragraph_messages(par, F.col("spec"), limit, ("spec", "spider")).unionByName(
+    owners = None if spiders is None else spiders.join(crawls(PARAGRAPH_PARSER), "spec", "left_semi")
+    return paragraph_messages(par, F.col("spec"), limit, ("spec", "spider"), owners).unionByName(
         raw_messages(raw, F.col("spec"))
     )

@@ -14,8 +14,7 @@ from pagemill.functions.urls import (
     numbered_filename,
     raw_filename,
 )
-
-SLAB_WIDTH = 10_000
+from pagemill.session import materialize
 
 
 def number_rows(
@@ -24,49 +23,49 @@ def number_rows(
     seq: str,
     then_by: Sequence[str] = (),
     name: str = "rn",
-    slab_width: int = SLAB_WIDTH,
     totals: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``row_number`` over (keys) in the order of (seq, then_by), without one task per group.
 
-    A plain window sends a whole group to one task. Here a group is cut into slabs of the integer
-    ``seq``; rows are numbered inside their slab, and each slab starts where the slabs before it
-    end. Only the slab counts, one row per slab, are put in order per group. ``totals`` names
-    expressions to sum over the whole group; they ride on the slab counts.
+    A plain window sends a whole group to one task. Here rows are range-partitioned by (keys, seq,
+    then_by) and stored with the number of their range, so a large group is cut evenly whatever its ids
+    look like. Rows are numbered inside their range, and a group's part of a range starts where its parts
+    of earlier ranges end; only these counts, at most one per range, are put in order per group.
+    ``totals`` names expressions to sum over the whole group; they ride on the counts. The input is
+    evaluated once, when the plan is made. Rows with a NULL key are dropped.
     """
     keys, totals = list(keys), totals or {}
-    slab = F.floor(F.col(seq) / F.lit(slab_width)).alias("_slab")
+    ranged = df.dropna(subset=keys).repartitionByRange(*keys, seq, *then_by)
+    stored = materialize(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     counts = (
-        df.select("*", slab)
-        .groupBy(*keys, "_slab")
+        stored.groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(k) for k, v in totals.items()])
     )
     group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         *keys,
-        "_slab",
+        "_range",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
         *[F.sum(k).over(group).alias(k) for k in totals],
     )
-    inside = Window.partitionBy(*keys, "_slab").orderBy(seq, *then_by)
+    inside = Window.partitionBy(*keys, "_range").orderBy(seq, *then_by)
     return (
-        df.select("*", slab)
-        .withColumn("_local", F.row_number().over(inside))
-        .join(starts, [*keys, "_slab"])
+        stored.withColumn("_local", F.row_number().over(inside))
+        .join(starts, [*keys, "_range"])
         .withColumn(name, (F.col("_start") + F.col("_local")).cast("long"))
-        .drop("_slab", "_local", "_start")
+        .drop("_range", "_local", "_start")
     )
 
 
 def unique_long_names(
-    named: DataFrame, dirs: Sequence[str] = ("spider",), seq: str = "page_id", slab_width: int = SLAB_WIDTH
+    named: DataFrame, dirs: Sequence[str] = ("spider",), seq: str = "page_id"
 ) -> DataFrame:
     """Abbreviate long names; the n-th repeat of an abbreviated name in a directory gets `` (n)``."""
     long = named.filter(is_long_name(F.col("filename"))).withColumn(
         "filename", abbreviate_filename(F.col("filename"))
     )
-    numbered = number_rows(long, [*dirs, "filename"], seq, name="_rn", slab_width=slab_width)
+    numbered = number_rows(long, [*dirs, "filename"], seq, name="_rn")
     return numbered.withColumn(
         "filename", numbered_filename(F.col("filename"), F.col("_rn") - 1)
     ).drop("_rn")

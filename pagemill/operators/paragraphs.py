@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ def explode_structs(df: DataFrame, kept: Sequence[str], array: str, present: str
 
 
 def parse_pages(
-    pages: DataFrame, xpaths: Sequence[str] = DEFAULT_XPATHS, html: str = "html"
+    pages: DataFrame, xpaths: Sequence[str] | Mapping[int, str] = DEFAULT_XPATHS, html: str = "html"
 ) -> DataFrame:
     """Replace the HTML of each page by ``paragraphs``, its array of matched elements.
 
@@ -48,7 +48,7 @@ def parse_pages(
     """
     kept = [c for c in pages.columns if c != html]
     visible = pages.select(*kept, strip_hidden(F.col(html)).alias("_visible"))
-    return visible.select(*kept, paragraph_array(F.col("_visible"), list(xpaths)).alias("paragraphs"))
+    return visible.select(*kept, paragraph_array(F.col("_visible"), xpaths).alias("paragraphs"))
 
 
 def paragraph_rows(parsed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pagemill.session import materialize, scratch_path
 from pagemill.sinks.messages import read_results, send_results
 from pagemill.sinks.paragraph_csv import write_paragraph_csv
 from pagemill.sinks.raw_files import write_raw_files
-from pagemill.sources.paragraph_csv import scan_paragraph_csv
+from pagemill.sources.paragraph_csv import csv_spiders, scan_paragraph_csv
 from pagemill.sources.raw_files import scan_raw_files
 from pagemill.sources.specs import overlay_specs, parse_specs
 from pagemill.streaming import results as stream_out
@@ -164,7 +164,7 @@ def scan_pages(spark, sf_dir):
 @query
 def scan_paragraph_csv_(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    write_paragraph_csv(crawl_rows(spark, sf_dir), path)
+    write_paragraph_csv(crawl_rows(spark, sf_dir), path, spiders=fx.seeds(spark, sf_dir))
     return scan_paragraph_csv(spark, path)
 
 
@@ -181,8 +181,10 @@ def scan_raw_files_(spark, sf_dir):
 @query
 def write_paragraph_csv_(spark, sf_dir):
     path = scratch_path(spark, "csv")
-    write_paragraph_csv(crawl_rows(spark, sf_dir), path)
-    return scan_paragraph_csv(spark, path).groupBy("spider").agg(F.count(F.lit(1)).alias("n_rows"))
+    write_paragraph_csv(crawl_rows(spark, sf_dir), path, spiders=fx.seeds(spark, sf_dir))
+    counts = scan_paragraph_csv(spark, path).groupBy("spider").agg(F.count(F.lit(1)).alias("n"))
+    written = csv_spiders(spark, path).join(counts, "spider", "left")
+    return written.select("spider", F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 @query
@@ -195,14 +197,14 @@ def raw_file_table(spark, sf_dir):
 @query
 def paragraph_messages(spark, sf_dir):
     return export.paragraph_messages(
-        crawl_rows(spark, sf_dir), F.col("spec"), keys=("spec", "spider")
+        crawl_rows(spark, sf_dir), F.col("spec"), keys=("spec", "spider"), spiders=fx.seeds(spark, sf_dir)
     )
 
 
 @query
 def paragraph_messages_chunked(spark, sf_dir):
     return export.paragraph_messages(
-        crawl_rows(spark, sf_dir), F.col("spec"), CHUNK_LIMIT, ("spec", "spider")
+        crawl_rows(spark, sf_dir), F.col("spec"), CHUNK_LIMIT, ("spec", "spider"), fx.seeds(spark, sf_dir)
     )
 
 
@@ -221,7 +223,11 @@ def send_result(spark, sf_dir):
 @query
 def dispatch_finalizer(spark, sf_dir):
     return export.dispatch_finalizer(
-        _specs(spark, sf_dir), crawl_rows(spark, sf_dir), crawl_files(spark, sf_dir), CHUNK_LIMIT
+        _specs(spark, sf_dir),
+        crawl_rows(spark, sf_dir),
+        crawl_files(spark, sf_dir),
+        CHUNK_LIMIT,
+        fx.seeds(spark, sf_dir),
     )
 
 
@@ -295,8 +301,8 @@ def extract_paragraphs(spark, sf_dir):
 
 @query
 def element_text(spark, sf_dir):
-    body = F.regexp_extract(F.col("html"), r"(?is)<article>(.*?)(?:</article>|\z)", 1)
-    return fx.pages(spark, sf_dir).select("page_id", H.element_text(body).alias("content"))
+    visible = fx.pages(spark, sf_dir).select("page_id", H.strip_hidden(F.col("html")).alias("visible"))
+    return visible.select("page_id", H.element_text(F.col("visible")).alias("content"))
 
 
 @query
@@ -400,7 +406,7 @@ def restrict_text(spark, sf_dir):
 
 @query
 def page_language_filter(spark, sf_dir):
-    parsed = paragraphs.parse_pages(fx.pages(spark, sf_dir), ["//p"])
+    parsed = materialize(paragraphs.parse_pages(fx.pages(spark, sf_dir), ["//p"]), "parsed")
     scored = language.page_languages(parsed, model(spark, sf_dir)).select("page_id", "langs")
     rows = parsed.select("page_id", "url").join(scored, "page_id", "left")
     return language.page_language_filter(rows, ("fr", "es"), False).drop("langs")
@@ -408,8 +414,7 @@ def page_language_filter(spark, sf_dir):
 
 @query
 def in_domain(spark, sf_dir):
-    forms = fx.url_forms(spark, sf_dir).filter("form in (0, 1, 6)")
-    return spiders.pages_to_spiders(forms, fx.seeds(spark, sf_dir)).select(
+    return spiders.pages_to_spiders(fx.url_forms(spark, sf_dir), fx.seeds(spark, sf_dir)).select(
         "page_id", "form", "url", "spider"
     )
 
@@ -489,7 +494,7 @@ def regex_rule_join(spark, sf_dir):
 
 @query
 def page_score_join(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    parsed = materialize(_parsed(spark, sf_dir), "parsed")
     scored = language.page_languages(parsed, model(spark, sf_dir))
     top = scored.select("page_id", F.get("langs", F.lit(0))["lang"].alias("page_top"))
     return paragraphs.paragraph_rows(parsed).join(top, "page_id").select(

@@ -55,14 +55,30 @@ def _with_content_type(pages: DataFrame) -> DataFrame:
 
 
 def parse_any(pages: DataFrame, xpaths) -> DataFrame:
-    """:func:`parse_pages` for any selector: ``//tag`` in the JVM, the others by the tokenizer."""
-    if all(simple_tag(x) for x in xpaths):
-        return parse_pages(pages, xpaths)
-    rows = html_elements(pages, xpaths)
+    """:func:`parse_pages` for any selector: each ``//tag`` in the JVM, each other one by the tokenizer, so
+    no selector changes the rows of another."""
+    paths = dict(enumerate(xpaths))
+    plain = {i: x for i, x in paths.items() if simple_tag(x)}
+    others = [i for i in paths if i not in plain]
+    parsed = parse_pages(pages, plain)
+    if not others:
+        return parsed
+    rows = html_elements(pages, [paths[i] for i in others])
+    place = F.get(F.array(*[F.lit(i) for i in others]), F.col("xp_idx")).alias("xp_idx")
     packed = rows.groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("xp_idx", "pos", "origin", "content"))).alias("paragraphs")
+        F.collect_list(F.struct(place, "pos", "origin", "content")).alias("_others")
     )
-    return pages.drop("html").join(packed, "page_id")
+    both = F.array_sort(F.concat("paragraphs", F.coalesce("_others", F.array())))
+    kept = [c for c in parsed.columns if c != "paragraphs"]
+    return parsed.join(packed, "page_id", "left").select(*kept, both.alias("paragraphs"))
+
+
+def spec_spiders(spark: SparkSession, spec: CrawlSpec) -> DataFrame:
+    """The spiders of a specification, one per start URL."""
+    specs = spark.range(1).select(
+        F.lit(spec.name).alias("name"), F.array(*[F.lit(u) for u in spec.urls]).alias("urls")
+    )
+    return seed_urls(specs)
 
 
 def visit_pages(
@@ -70,14 +86,11 @@ def visit_pages(
 ) -> DataFrame:
     """Rows (spider, domain, page_id, url, depth) of the captured pages that each spider reaches.
     A URL captured more than once is visited once, in its latest capture."""
-    specs = spark.range(1).select(
-        F.lit(spec.name).alias("name"), F.array(*[F.lit(u) for u in spec.urls]).alias("urls")
-    )
     rules = LinkRules(allow=tuple(spec.whitelist), deny=tuple(spec.blacklist))
     linking = _with_content_type(pages)
     linking = linking.filter(matched_type(F.col("content_type"), ["text/html"]).isNotNull())
     links = allowed_links(extract_links(linking), rules)
-    reached = crawl_frontier(seed_urls(specs), links, DEPTH_LIMIT, robots)
+    reached = crawl_frontier(spec_spiders(spark, spec), links, DEPTH_LIMIT, robots)
     captures = (
         pages.select(canonical_url(F.col("url")).alias("key"), "page_id", F.col("url").alias("url"))
         .groupBy("key")
@@ -125,9 +138,14 @@ def run_crawl(
 
 
 def write_items(result: CrawlResult, path: str | None = None) -> None:
-    """Run the specification's pipelines in order of priority on the items."""
+    """Run the specification's pipelines in order of priority on the items. A spider that found nothing
+    has a CSV with the header alone."""
     target = path or result.spec.output
-    writers = {CSV_PIPELINE: write_paragraph_csv, RAW_PIPELINE: write_raw_files}
+
+    def write_csv(items: DataFrame, folder: str) -> None:
+        write_paragraph_csv(items, folder, spiders=spec_spiders(items.sparkSession, result.spec))
+
+    writers = {CSV_PIPELINE: write_csv, RAW_PIPELINE: write_raw_files}
     for name, _ in sorted(result.spec.pipelines.items(), key=lambda item: item[1]):
         if name not in ACCEPTED_PIPELINES.get(result.spec.parser, ()):
             raise ValueError(f"{result.spec.parser} does not fit pipeline {name}")
@@ -135,14 +153,15 @@ def write_items(result: CrawlResult, path: str | None = None) -> None:
 
 
 def remote_finalizer(items: DataFrame, spec: CrawlSpec, data: Mapping[str, str]) -> DataFrame:
-    """Result messages of a crawl, by its parser."""
+    """Result messages of a crawl, by its parser; of a paragraph crawl at least one for each spider."""
     crawl = F.lit(spec.name)
     if spec.parser == RAW_PARSER:
         content = F.col("content")
         if dict(items.dtypes)["content"] == "binary":
             content = decode_body(content)
         return raw_messages(items.withColumn("content", content), crawl)
-    return paragraph_messages(items, crawl, int(data.get("max_message_size", MESSAGE_LIMIT)))
+    limit = int(data.get("max_message_size", MESSAGE_LIMIT))
+    return paragraph_messages(items, crawl, limit, spiders=spec_spiders(items.sparkSession, spec))
 
 
 def finalize(result: CrawlResult, extra: Mapping[str, Finalizer] | None = None) -> dict[str, DataFrame]:

@@ -147,12 +147,21 @@ SCHEME_OK = "split_part(url, '://', 1) in ('http', 'https', 'file', 'ftp')"
 DENIED = f"{extension('url')} in ({', '.join(lit('.' + e) for e in K.DENIED_EXTENSIONS)})"
 
 
-def messages(source: str, limit: int) -> str:
-    """Paragraph messages of rows (spec, spider, page_id, xp_idx, pos, CSV columns)."""
+def messages(source: str, limit: int, seeds: str | None = None) -> str:
+    """Paragraph messages of rows (spec, spider, page_id, xp_idx, pos, CSV columns), the chunks beyond the last
+    row and, of ``seeds`` (spec, spider), those without rows with the header alone."""
+    head = f"{lit(CSV_HEADER)} || chr(10)"
+    cut = chunked(source, limit, "spec, spider")
+    rest = f"""
+      union all select spec, false, spider, spider || '_part' || (c + 1) || '_' || chunks, {head} from (
+        select spec, spider, chunks, unnest(range(n, chunks)) c from (select distinct spec, spider, chunks, n from ({cut})))"""
+    if seeds:
+        rest += f"""
+      union all select spec, false, spider, spider, {head} from {seeds} where spec not in (select spec from {source})"""
     return f"""select spec crawl, false raw, spider url,
         case when chunks = 1 then spider else spider || '_part' || (chunk + 1) || '_' || chunks end filename,
-        {lit(CSV_HEADER)} || chr(10) || string_agg(line, chr(10) order by rn) || chr(10) as data
-      from ({chunked(source, limit, 'spec, spider')}) group by spec, spider, chunk, chunks"""
+        {head} || string_agg(line, chr(10) order by rn) || chr(10) as data
+      from ({cut}) group by spec, spider, chunk, chunks{rest}"""
 
 
 def chunked(source: str, limit: int, keys: str) -> str:
@@ -182,7 +191,7 @@ CTES = {
       case when page_id % 17 = 5 then 'TimeoutError' end failure from pages""",
     "x_seeds": f"""select 'crawl-' || page_id spec, url, domain, {filename('url')} spider from (
       select page_id, url, {netloc('url')} as domain, count(*) over (partition by {netloc('url')}) n,
-        row_number() over (partition by {netloc('url')} order by page_id) k from pages) where n >= 3 and k = 1""",
+        row_number() over (partition by {netloc('url')} order by page_id) k from pages) where n <> 2 and k = 1""",
     "x_edges": """select s.url src_url, t.url url from (
       select url, unnest([(page_id * 7 + 3) % n, (page_id * 11 + 5) % n]) dst
       from pages, (select count(*) n from pages)) s join pages t on t.page_id = s.dst""",
@@ -249,8 +258,8 @@ CTES = {
     "x_turnscore": scores("conversations", "conv_id, turn", "text"),
     "x_specs": """select page_id, page_id % 4 k, 'crawl-' || page_id as name, 'out/' || page_id as output,
         'logs/' || page_id as logs, url || ' ' || regexp_extract(url, '^[^#]*') || ' ' || url as urls,
-        case page_id % 4 when 0 then '.*blacklist.* /de/' when 2 then '[?]page=' else '' end blacklist,
-        case page_id % 4 when 0 then 'linkextractor .*text.* example[.]com' else '' end whitelist,
+        case page_id % 4 when 0 then 'utm_source= /de/[0-9]' when 2 then '[?]page=' else '' end blacklist,
+        case page_id % 4 when 0 then '//blog[.] /en/[0-9]*5 example[.]com' else '' end whitelist,
         case page_id % 4 when 1 then 'parsers.RawParser' else 'parsers.ParagraphParser' end parser,
         case page_id % 4 when 2 then 'de en' when 3 then 'disabled' else 'any' end allowed_languages,
         page_id % 4 = 3 keep_langdetect_errors, '//p //td' xpaths,
@@ -351,10 +360,10 @@ def _stream_rows() -> str:
 def _rule_join() -> str:
     """Rules of the four kinds of specification, by page."""
     kind = "page_id % 4"
-    allow = matches("url", ["linkextractor", ".*text.*", "example[.]com"])
+    allow = matches("url", ["//blog[.]", "/en/[0-9]*5", "example[.]com"])
     return f"""select 'crawl-' || page_id spec, page_id, url, text, case when not {SCHEME_OK} then 'scheme'
       when {kind} = 0 and not {allow} then 'whitelist'
-      when {kind} = 0 and {matches('url', ['.*blacklist.*', '/de/'])} then 'blacklist'
+      when {kind} = 0 and {matches('url', ['utm_source=', '/de/[0-9]'])} then 'blacklist'
       when {kind} = 2 and regexp_matches(url, '[?]page=') then 'blacklist'
       when {DENIED} then 'extension' end reason from x_cand"""
 
@@ -418,7 +427,9 @@ def _bodies() -> dict[str, str]:
     pivot = ", ".join(f"count(*) filter (where par_language = {lit(x)}) {x}" for x in ("de", "en"))
     wide = ", ".join(f"cast(sum(s) filter (where lang = {lit(x)}) as bigint) s_{x}" for x in fx.MODEL_LANGUAGES)
     dispatched = messages(
-        "(select c.* from x_crawl c join x_specs p on p.name = c.spec where p.k <> 1)", C.CHUNK_LIMIT
+        "(select c.* from x_crawl c join x_specs p on p.name = c.spec where p.k <> 1)",
+        C.CHUNK_LIMIT,
+        "(select s.* from x_seeds s join x_specs p on p.name = s.spec where p.k <> 1)",
     )
     return {
         "scan_specs": f"select {SPEC_COLUMNS} from x_specs",
@@ -429,10 +440,10 @@ def _bodies() -> dict[str, str]:
         "scan_paragraph_csv": _csv_rows("spider, " + ", ".join(CSV_COLUMNS)),
         "scan_raw_files": """select spider, filename, url, content from x_files
           where ends_with(filename, '.html')""",
-        "write_paragraph_csv": "select spider, count(*) n_rows from x_crawl group by spider",
+        "write_paragraph_csv": "select s.spider, count(c.page_id) n_rows from x_seeds s left join x_crawl c on c.spec = s.spec group by s.spider",
         "raw_file_table": "select spider, filename, url, content from x_files",
-        "paragraph_messages": messages("x_crawl", MESSAGE_LIMIT),
-        "paragraph_messages_chunked": messages("x_crawl", C.CHUNK_LIMIT),
+        "paragraph_messages": messages("x_crawl", MESSAGE_LIMIT, "x_seeds"),
+        "paragraph_messages_chunked": messages("x_crawl", C.CHUNK_LIMIT, "x_seeds"),
         "raw_messages": RAW_MESSAGES,
         "send_result": RAW_MESSAGES,
         "dispatch_finalizer": f"""{dispatched} union all {RAW_MESSAGES}
@@ -455,8 +466,8 @@ def _bodies() -> dict[str, str]:
             when contains(lower(content_type), 'application/pdf') then 'application/pdf' end handler from x_resp""",
         "extract_paragraphs": f"""select page_id, url, pos, origin, content
           from ({elements('x_vis', '//p', 0, 'page_id, url')})""",
-        "element_text": rf"""select page_id, {entities('t')} content from (select page_id,
-          {without_tags(r"regexp_extract(html, '(?is)<article>(.*?)(?:</article>|\z)', 1)")} t from pages)""",
+        "element_text": f"""select page_id, {entities('t')} content from (
+          select page_id, {without_tags('v')} t from x_vis)""",
         "split_lines": f"""select doc_id, pos, content, 'pdf' origin from (
           select doc_id, cast(generate_subscripts(l, 1) - 1 as integer) pos, unnest(l) content
           from (select doc_id, string_split_regex(text, {lit(T.LINE_BREAK_PATTERN)}) l from documents))
@@ -482,7 +493,7 @@ def _bodies() -> dict[str, str]:
         "restrict_text": f"select * from x_cand where {matches('text', ['^[Tt]h', 'form [0-3]'])}",
         "page_language_filter": _page_filter(),
         "in_domain": f"""select f.page_id, f.form, f.url, s.spider from x_forms f
-          join x_seeds s on s.domain = {netloc('f.url')} where f.form in (0, 1, 6)""",
+          join x_seeds s on s.domain = {netloc('f.url')}""",
         "depth_limit": "select page_id, url, depth from x_resp where depth <= 5",
         "robots_filter": _robots(),
         "content_type_allow": f"select page_id, url, content_type from x_resp where {RAW_OK}",

@@ -38,6 +38,12 @@ def scan_paragraph_csv(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def csv_spiders(spark: SparkSession, path: str) -> DataFrame:
+    """Spiders of a crawl folder, those without any row included."""
+    lines = spark.read.schema("value string, spider string").option("pathGlobFilter", "*.csv")
+    return lines.option("basePath", path).text(path).select("spider").distinct()
+
+
 def scan_csv_files(spark: SparkSession, path: str) -> DataFrame:
     """Loose CSVs, one per spider: the file stem is the spider."""
     rows = (

@@ -7,7 +7,7 @@ from pagemill.operators import language as L
 from pagemill.operators.extension import ParserRegistry, run_finalizers, run_pipelines
 from pagemill.plans import crawl as C
 from pagemill.plans import fixtures as fx
-from pagemill.sources.paragraph_csv import scan_paragraph_csv
+from pagemill.sources.paragraph_csv import csv_spiders, scan_paragraph_csv
 from pagemill.sources.raw_files import scan_raw_files
 from pagemill.sources.specs import load_spec
 
@@ -79,6 +79,29 @@ def test_disabled_needs_no_model_and_nested_selectors_work(spark, site):
     assert len([r for r in items if r.origin == "//p"]) == 4
 
 
+def test_a_spider_without_text_leaves_its_header(spark, site, tmp_path):
+    off = spec(spark, urls=["http://h.org/", "http://nobody.org/"], parser_data={"allowed_languages": ["disabled"]})
+    result = C.run_crawl(spark, off, site)
+    C.write_items(result, str(tmp_path / "out"))
+    assert {r.spider for r in csv_spiders(spark, str(tmp_path / "out")).collect()} == {"h.org_", "nobody.org_"}
+    assert {r.spider for r in scan_paragraph_csv(spark, str(tmp_path / "out")).collect()} == {"h.org_"}
+    (messages,) = C.finalize(result).values()
+    assert {r.url: r.data.count("\n") for r in messages.collect()} == {"h.org_": 6, "nobody.org_": 1}
+
+
+def test_a_selector_changes_no_rows_of_another(spark, site):
+    pages = site.withColumn("html", F.concat("html", F.lit("<ul><li>one<ul><li>two</ul></ul><div>a<div>b</div></div>")))
+    plain, more = ["//div", "//li", "//p"], ["//div", "//a[@href='/a']", "//li", "//p"]
+
+    def rows(paths):
+        found = C.parse_any(pages, paths).selectExpr("page_id", "inline(paragraphs)").collect()
+        return {(r.page_id, r.origin, r.pos, r.content) for r in found}, [r.xp_idx for r in found if r.origin == "//p"]
+
+    (few, at), (many, moved) = rows(plain), rows(more)
+    assert few == {r for r in many if r[1] in plain} and {r[1] for r in many} == set(more)
+    assert set(at) == {2} and set(moved) == {3}
+
+
 def test_raw_crawl(spark, site, tmp_path):
     raw = spec(spark, parser="parsers.RawParser", pipelines={"pipelines.Raw2FilePipeline": 300}, parser_data={"allowed_languages": ["any"]})
     result = C.run_crawl(spark, raw, site)
