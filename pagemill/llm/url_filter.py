@@ -3,7 +3,8 @@
 Accepted and rejected URLs each train a variable-order Markov model of characters: the chance of a byte after
 its context of k bytes is smoothed with the one after k - 1 bytes, down to a uniform one. A URL's score is the
 log-likelihood difference of the models by byte; the threshold is calibrated on held-out URLs. Counts are
-kept in tables of fixed size by hash, so the models' size doesn't grow with the corpus; the counts do.
+exact for each context and each context with its byte; the table of them grows with the corpus and is joined
+to the n-grams of the URLs, never gathered in one place.
 """
 
 from __future__ import annotations
@@ -12,15 +13,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pagemill.llm.arrow import grouped, map_batches
-from pagemill.llm.words import U, mix
+from pagemill.llm.arrow import grouped, row_groups, text_bytes
+from pagemill.llm.words import U
+from pagemill.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _STEP = U(0xD1342543DE82EF95)
+#: URLs that are scored together.
+BATCH_BYTES = 128 << 10
 
 
 class Rule(NamedTuple):
@@ -43,12 +49,11 @@ RULES = (
 
 
 class Model(NamedTuple):
-    """``order``: longest context. ``cells``: counters of each table. ``weight``: how many observations the
-    shorter context's estimate is worth. ``held_out``: one URL in so many calibrates and isn't counted.
+    """``order``: longest context. ``weight``: how many observations the shorter context's estimate is worth.
+    ``held_out``: one URL in so many calibrates and isn't counted.
     Scores are calibrated on a grid of ``grid`` steps over [-span, span]."""
 
     order: int = 5
-    cells: int = 1 << 19
     weight: float = 1.0
     held_out: int = 10
     span: float = 4.0
@@ -72,80 +77,130 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Co
     return out
 
 
-def _cells(data: np.ndarray, offsets: np.ndarray, order: int, cells: int):
-    """For each order: the cell of each byte's context, and of the context with the byte."""
+def _grams(data: np.ndarray, offsets: np.ndarray, order: int):
+    """For each order: the key of each byte's context, and of the context with the byte. Keys are the bytes
+    themselves as digits up to order 6, so they never collide; for longer contexts they are 64-bit hashes."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     place = np.arange(len(data)) - offsets[row]
     byte = data.astype(U) + U(1)
+    base = U(257) if order <= 6 else _STEP
     context = np.zeros(len(data), U)
     for k in range(order + 1):
         if k:  # the byte k before; 0 before a URL's start
             earlier = np.zeros(len(data), U)
             earlier[k:] = byte[:-k]
-            context = context * _STEP + np.where(place >= k, earlier, U(0)) + U(k << 10)
-        own = mix(context + U(k))
-        yield (own % U(cells)).astype(np.int64), (mix(own * _STEP + byte) % U(cells)).astype(np.int64)
+            context = context * base + np.where(place >= k, earlier, U(0))
+        own = (context * U(order + 1) + U(k)) * U(257)
+        yield own.view(np.int64), (own + byte).view(np.int64)
 
 
-def _log_likelihood(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray, model: Model) -> np.ndarray:
-    """Of each byte under one class' tables [contexts, pairs]."""
-    p = np.full(len(data), 1 / 256)
-    for context, pair in _cells(data, offsets, model.order, model.cells):
-        n = tables[0][context]
-        p = (np.minimum(tables[1][pair], n) + model.weight * p) / (n + model.weight)
+def _log_likelihood(keys: list, offsets: np.ndarray, known: np.ndarray, n: np.ndarray, model: Model) -> np.ndarray:
+    """Of each byte under one class, whose counts are ``n`` at the sorted keys ``known``."""
+    p = np.full(offsets[-1], 1 / 256)
+    for context, pair in keys:
+        total, own = _looked_up(context, known, n), _looked_up(pair, known, n)
+        p = (own + model.weight * p) / (total + model.weight)
     return np.log(p)
 
 
-def scores(data: np.ndarray, offsets: np.ndarray, tables: np.ndarray, model: Model) -> np.ndarray:
-    """Mean difference of log-likelihoods; 0 for an empty URL."""
-    both = [_log_likelihood(data, offsets, tables[k], model) for k in (1, 0)]
+def _looked_up(keys: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, n[at], 0).astype(float)
+
+
+def scores(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, counts: tuple[np.ndarray, np.ndarray], model: Model) -> np.ndarray:
+    """Mean difference of log-likelihoods; 0 for an empty URL. ``counts``: of rejected and accepted URLs."""
+    keys = list(_grams(data, offsets, model.order))
+    both = [_log_likelihood(keys, offsets, known, counts[k], model) for k in (1, 0)]
     sums = np.concatenate([[0.0], np.cumsum(both[0] - both[1])])
     return (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
 
 
 class Trained(NamedTuple):
-    """``tables``: [rejected, accepted][contexts, pairs][cells]."""
+    """``counts``: (key, rejected, accepted) of each n-gram and context that training saw."""
 
-    tables: np.ndarray
+    counts: DataFrame
     threshold: float
     accuracy: float
     model: Model
 
 
+def count(urls: DataFrame, model: Model) -> DataFrame:
+    """(key, rejected, accepted): how often each n-gram and each context occurs in the rows (url, accepted)."""
+
+    def run(batches):
+        for batch in batches:
+            accepted = batch.column(1).to_numpy()
+            for first, last, data, offsets in grouped(batch.column(0)):
+                cls = np.repeat(accepted[first:last], np.diff(offsets)).astype(np.int64)
+                for both in _grams(data, offsets, model.order):
+                    for keys in both:
+                        own, place = np.unique(keys, return_inverse=True)
+                        n = np.bincount(place * 2 + cls, minlength=2 * len(own)).reshape(-1, 2).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], ["key", "rejected", "accepted"])
+
+    partial = urls.select("url", "accepted").mapInArrow(run, "key long, rejected long, accepted long")
+    return partial.groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted"))
+
+
+def scored(urls: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``urls``, whose last column is ``url``, with their score.
+
+    URLs are stored in batches of bounded bytes. Each batch asks once for every n-gram it has, the answers are
+    joined from ``counts`` by key, and the batch is scored with its own answers: no task holds the model.
+    """
+    names = urls.columns
+    last = len(names) - 1
+
+    def number(batches):
+        task, n = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            _, offsets = text_bytes(batch.column(last))
+            for a, b in row_groups(offsets, BATCH_BYTES):
+                own = pa.array(np.full(b - a, task + n))
+                n += 1
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, own], [*names, "batch"])
+
+    kinds = StructType(list(urls.schema.fields)).add("batch", "long")
+    stored = materialize(urls.mapInArrow(number, kinds), "url-batches")
+
+    def ask(batches):
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            data, offsets = text_bytes(batch.column(0))
+            of = np.repeat(own, np.diff(offsets))
+            for both in _grams(data, offsets, model.order):
+                for keys in both:
+                    for b in np.unique(own):
+                        some = np.unique(keys[of == b])
+                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), b))], ["key", "batch"])
+
+    asked = stored.select("url", "batch").mapInArrow(ask, "key long, batch long")
+    # a stored batch may be read in two pieces; each key is answered once
+    answers = asked.distinct().join(counts, "key").select("batch", "key", "rejected", "accepted")
+
+    def judge(rows: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("key")
+        keys, *n = (known.column(c).to_numpy() for c in ("key", "rejected", "accepted"))
+        data, offsets = text_bytes(rows.column("url"))
+        return rows.drop_columns("batch").append_column("score", pa.array(scores(data, offsets, keys, tuple(n), model)))
+
+    out = StructType(list(urls.schema.fields)).add("score", "double")
+    return stored.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judge, out)
+
+
 def train(urls: DataFrame, model: Model = Model()) -> Trained:
     """From all rows (url string, accepted boolean). Null URLs are passed over.
 
     With one class only, every score is on its side of the threshold; with no URLs, all are accepted.
     """
-    urls = urls.select(F.coalesce("url", F.lit("")).alias("url"), F.col("accepted").cast("int").alias("accepted"))
+    urls = urls.select(F.col("accepted").cast("int").alias("accepted"), F.coalesce("url", F.lit("")).alias("url"))
     fold = F.pmod(F.xxhash64("url"), F.lit(model.held_out)) == 0
-
-    def count(batches):
-        n = np.zeros((2, 2, model.cells), np.int64)
-        for batch in batches:
-            accepted = batch.column(1).to_numpy()
-            for first, last, data, offsets in grouped(batch.column(0)):
-                cls = np.repeat(accepted[first:last], np.diff(offsets)).astype(np.int64)
-                for both in _cells(data, offsets, model.order, model.cells):
-                    for which, cell in enumerate(both):
-                        np.add.at(n[:, which], (cls, cell), 1)
-        flat = n.ravel()
-        some = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["cell", "n"])
-
-    counted = urls.where(~fold).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    flat = np.zeros(4 * model.cells, np.float32)
-    for batch in counted.toArrow().to_batches():
-        flat[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    tables = flat.reshape(2, 2, model.cells)
-    shared = urls.sparkSession.sparkContext.broadcast(tables)
-
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [scores(data, offsets, shared.value, model) for _, _, data, offsets in grouped(batch.column(0))]
-        step = np.floor((np.concatenate(own) + model.span) / (2 * model.span) * model.grid).clip(0, model.grid - 1)
-        return pa.RecordBatch.from_arrays([pa.array(step.astype(np.int64)), batch.column(1)], ["step", "accepted"])
-
-    placed = map_batches(urls.where(fold), place, "step long, accepted int")
+    counts = materialize(count(urls.where(~fold), model), "url-ngrams")
+    step = F.floor((F.col("score") + model.span) / (2 * model.span) * model.grid).cast("long")
+    placed = scored(urls.where(fold), counts, model).select(F.greatest(F.lit(0), F.least(step, F.lit(model.grid - 1))).alias("step"), "accepted")
     histogram = np.zeros((2, model.grid + 1))
     for r in placed.groupBy("step", "accepted").agg(F.count("*").alias("n")).collect():
         histogram[r.accepted, r.step] = r.n
@@ -157,7 +212,7 @@ def train(urls: DataFrame, model: Model = Model()) -> Trained:
     best = np.flatnonzero(error == error.min())
     at = best[len(best) // 2]
     threshold = -model.span + 2 * model.span * at / model.grid
-    return Trained(tables, float(threshold), float(1 - error.min() / 2), model)
+    return Trained(counts, float(threshold), float(1 - error.min() / 2), model)
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, model: Model = Model(), page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -169,17 +224,10 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, model: Model =
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     ).withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    address = F.concat("host", "path").alias("url")
-    trained = train(rows.where("best is not null").select(address, F.col("best.allow").alias("accepted")), model)
-    shared = pages.sparkSession.sparkContext.broadcast(trained.tables)
-    threshold = trained.threshold
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [scores(data, offsets, shared.value, model) for _, _, data, offsets in grouped(batch.column(4))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.concatenate(own))], ["page_id", "host", "path", "best", "score"])
-
-    scored = map_batches(rows.select("page_id", "host", "path", "best", address), judge, "page_id long, host string, path string, best struct<name: string, allow: boolean>, score double")
-    allow = F.coalesce("best.allow", F.col("score") >= threshold)
-    return scored.select(
+    rows = rows.withColumn("url", F.concat("host", "path"))
+    trained = train(rows.where("best is not null").select("url", F.col("best.allow").alias("accepted")), model)
+    judged = scored(rows, trained.counts, model)
+    allow = F.coalesce("best.allow", F.col("score") >= trained.threshold)
+    return judged.select(
         "page_id", "host", "path", F.col("best.name").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), "score"
     )

@@ -1,7 +1,10 @@
 """Operators on pages, conversations and labels, and the pipeline."""
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import functions as F
@@ -169,3 +172,33 @@ def test_pipeline_odd_rows(spark, docs, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         rest = stage(spark, rest, sf_dir)
     assert rest.count() > 0
+
+
+def test_url_scores_are_exact(spark):
+    """More n-grams than any fixed table of counters has room for."""
+    rng, model = random.Random(5), url_filter.Model()
+    rows = [("".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-/") for _ in range(40)), k % 2) for k in range(9000)]
+    urls = spark.createDataFrame(rows, "url string, accepted int")
+    trained = url_filter.train(urls, model)
+    seen = [r.url for r in urls.where(F.pmod(F.xxhash64("url"), F.lit(model.held_out)) != 0).collect()]
+    n, label = Counter(), dict(rows)
+    for u in seen:
+        padded = "\0" * model.order + u
+        for i in range(len(u)):
+            for k in range(model.order + 1):
+                context = padded[i + model.order - k : i + model.order]
+                n[label[u], k, context] += 1
+                n[label[u], k, context, u[i]] += 1
+    asked = [seen[0], seen[7], rows[3][0], "unseen.org/é", "a", ""]
+    frame = spark.createDataFrame([(k, u) for k, u in enumerate(asked)], "page_id long, url string")
+    got = {r.page_id: r.score for r in url_filter.scored(frame, trained.counts, model).collect()}
+    for at, u in enumerate(asked):
+        total, b = 0.0, u.encode().decode("latin-1")
+        padded = "\0" * model.order + b
+        for i in range(len(b)):
+            p = [1 / 256, 1 / 256]
+            for k in range(model.order + 1):
+                context = padded[i + model.order - k : i + model.order]
+                p = [(n[c, k, context, b[i]] + model.weight * p[c]) / (n[c, k, context] + model.weight) for c in (0, 1)]
+            total += math.log(p[1]) - math.log(p[0])
+        assert abs(got[at] - total / max(len(b), 1)) < 1e-9, u
