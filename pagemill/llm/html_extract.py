@@ -8,7 +8,7 @@ read again with its host's winner. A page that lacks it is read with its own bes
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
 import pyarrow as pa
@@ -46,6 +46,9 @@ CLOSED_BY = {
     "option": frozenset(["option", "optgroup"]),
     "head": frozenset(["body"]),
 }
+# Elements that hold an article's blocks, and so may be its container; others are blocks themselves.
+HOLDERS = frozenset("article body center div html main section td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset(["table", "ul", "ol", "dl", "td", "th", "div", "article", "section", "main", "body"])
 # Words of classes and ids that name what surrounds an article.
 AROUND = frozenset(
@@ -175,16 +178,29 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
 def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:
     """Score of each container's path: the share of the page's running text that it holds, times how much of
     its own text is running text; articles and mains count more, and of equals the deeper one. Running
-    text is a block that is mostly outside links, weighed by its length."""
+    text is a block that is mostly outside links, weighed by its length; an h1 counts even if it is a link, other
+    linked headings count neither as running text nor as links. Elements of ``HOLDERS`` are containers; one
+    without blocks inside is only if its path is met once, since else it stands for paragraphs."""
+    met = Counter(path for path, _, _ in found)
+    holds = {path.rpartition("/")[0] for path in met}
+    for path in list(holds):
+        while path:
+            path = path.rpartition("/")[0]
+            holds.add(path)
     running: dict[str, float] = defaultdict(float)
     all_text: dict[str, float] = defaultdict(float)
     total = 0.0
     for path, text, linked in found:
-        good = len(text) if 2 * linked < len(text) else 0
-        total += good
         steps = path.split("/")
+        heading = next((t for t in (x.split(".")[0] for x in reversed(steps)) if t in HEADINGS), None)
+        good = len(text) if 2 * linked < len(text) or heading == "h1" else 0
+        if heading and not good:
+            continue
+        total += good
         for depth in range(1, len(steps) + 1):
             own = "/".join(steps[:depth])
+            if steps[depth - 1].split(".")[0] not in HOLDERS or (own not in holds and met[own] > 1):
+                continue
             running[own] += good
             all_text[own] += len(text)
     out = {}

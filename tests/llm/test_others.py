@@ -202,3 +202,15 @@ def test_url_scores_are_exact(spark):
                 p = [(n[c, k, context, b[i]] + model.weight * p[c]) / (n[c, k, context] + model.weight) for c in (0, 1)]
             total += math.log(p[1]) - math.log(p[0])
         assert abs(got[at] - total / max(len(b), 1)) < 1e-9, u
+
+
+def test_html_linked_headline_and_lists_stay(spark):
+    words = "running words of the story " * 12
+    body = "<article><h1><a href=/x>A headline of some forty characters, linked</a></h1>" + "".join(f"<p>{words}{k}</p>" for k in range(4))
+    body += "<h2>Part</h2><ul><li>item</li></ul><blockquote>quote</blockquote><table><tr><td>cell</td></tr></table><pre>code</pre></article>"
+    rows = [(k, "http://l.org/", page(body)) for k in range(5)]
+    rows += [(5, "http://m.org/", page("<div class=c><h1><a href=/>Linked</a></h1>" + f"<div class=t>{words}</div>" * 3 + "<ul><li><a href=/>more of it</a></ul></div>"))]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(5):
+        assert got[k][0].startswith("A headline") and got[k][-5:] == ["Part", "item", "quote", "cell", "code"] and len(got[k]) == 10
+    assert got[5][0] == "Linked" and got[5][-1] == "more of it" and len(got[5]) == 5
