@@ -65,15 +65,74 @@ _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
 
-def _around(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+SMALL_SHARE = 0.2
+
+
+def _cut(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether the element is left out with all it holds: by its tag, its role, or because it is hidden."""
     if tag in SKIP and not (tag == "header" and inside_article):
         return True
-    if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+    return attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+
+
+def _named(tag: str, attributes: dict[str, str], inside_article: bool) -> str:
+    """How classes and id name the element as surroundings: "whole" if one of them is made of such words alone,
+    "part" if one has such a word among others, else "". What follows has, no, not, with or without names what is
+    or isn't beside the element, so it doesn't count."""
     if tag in ("html", "body", "main", "article"):
-        return False
-    words = _WORD.findall((attributes.get("class", "") + " " + attributes.get("id", "")).lower())
-    return any(w in AROUND for w in words)
+        return ""
+    out = ""
+    for token in (attributes.get("class", "") + " " + attributes.get("id", "")).lower().split():
+        words = []
+        for w in _WORD.findall(token):
+            if w in ("has", "no", "not", "with", "without"):
+                words.append("")
+                break
+            words.append(w)
+        around = [w in AROUND and not (w == "header" and inside_article) and not (tag == "h1" and w != "hidden") for w in words]
+        if around and all(around):
+            return "whole"
+        if any(around):
+            out = "part"
+    return out
+
+
+class _Region:
+    """An element that is named as surroundings: what speaks for reading it all the same."""
+
+    def __init__(self, whole: bool):
+        self.whole, self.landmark, self.skipped = whole, False, False
+        self.running = self.linked = self.length = 0
+
+
+def _skip_regions(regions: list[_Region], found: list[tuple[str, str, int, tuple[int, ...]]]) -> None:
+    """Marks the regions to skip: those without an article, main or h1, those that are mostly links, and those
+    with a small share of the running text outside the others. If next to no running text is left, the first region that
+    is named in part and holds a good share of the page's is read."""
+    good = [len(t) if 2 * linked < len(t) else 0 for _, t, linked, _ in found]
+
+    def left() -> int:
+        return sum(n for n, (_, _, _, own) in zip(good, found, strict=True) if not any(regions[k].skipped for k in own))
+
+    for k in range(len(regions) - 1, -1, -1):  # inner ones come later
+        r = regions[k]
+        for n, (_, text, linked, own) in zip(good, found, strict=True):
+            if k in own and not any(regions[j].skipped for j in own if j > k):
+                r.running, r.linked, r.length = r.running + n, r.linked + linked, r.length + len(text)
+        r.skipped = not r.landmark or 2 * r.linked >= r.length
+    total = left()
+    for r in regions:
+        r.skipped = r.skipped or r.running < SMALL_SHARE * total
+    if left() < SMALL_SHARE / 2 * sum(good):
+        for k, r in enumerate(regions):
+            if not r.whole and 2 * r.linked < r.length and r.running >= SMALL_SHARE * sum(good):
+                r.skipped = False
+                for _, _, _, own in found:
+                    if k in own:
+                        for j in own:
+                            if j < k:
+                                regions[j].skipped = False
+                break
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -83,33 +142,39 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 def blocks(html: str) -> list[tuple[str, str, int]]:
     """(path of the element, text, characters of it in links) of each block of text outside what surrounds an article,
-    in page order. Texts have their references decoded and white space made single.
+    in page order. Texts have their references decoded and white space made single. Elements that are only named as
+    surroundings are left out by what they hold (:func:`_skip_regions`).
 
     Line breaks and inline elements don't end a block. Broken markup is read as browsers do in the main:
     unknown end tags are passed over, an end tag closes what is open inside, open elements end with the page.
     """
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, skipped
+    out: list[tuple[str, str, int, tuple[int, ...]]] = []
+    raws: list[tuple[int, str]] = []  # blocks of one number are cut by inline elements only
+    number = 0
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, path, skipped, regions around
+    regions: list[_Region] = []
     text: list[str] = []
     linked, links = 0, 0
 
-    def flush() -> None:
-        nonlocal linked
+    def flush(inline: bool = False) -> None:
+        nonlocal linked, number
         if text:
-            joined = _SPACE.sub(" ", "".join(text)).strip()
-            if joined and stack:
-                at = next((s for s in reversed(stack) if s[0] in BLOCK), stack[0])
-                out.append((at[1], joined, min(linked, len(joined))))
-            elif joined:
-                out.append(("html", joined, min(linked, len(joined))))
+            raw = "".join(text)
+            joined = _SPACE.sub(" ", raw).strip()
+            at = next((s for s in reversed(stack) if s[0] in BLOCK), stack[0])[1] if stack else "html"
+            out.append((at, joined, min(linked, len(joined)), stack[-1][3] if stack else ()))
+            raws.append((number, raw))
             text.clear()
         linked = 0
+        number += not inline
 
     def pop(depth: int) -> None:
         nonlocal links
         while len(stack) > depth:
             if stack[-1][0] in BLOCK:
                 flush()
+            elif stack[-1][3] != (stack[-2][3] if len(stack) > 1 else ()):
+                flush(inline=True)
             if stack[-1][0] == "a":
                 links -= 1
             stack.pop()
@@ -155,14 +220,24 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             if stack[depth][0] in _SCOPE:
                 break
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3])} if m[3].strip() else {}
+        above = stack[-1] if stack else ("", "", False, ())
+        inside = any(s[0] in ("article", "main") for s in stack)
+        skipped = above[2] or _cut(tag, attributes, inside)
+        named = "" if skipped else _named(tag, attributes, inside)
         if tag in BLOCK:
             flush()
-        above = stack[-1] if stack else ("", "", False)
-        inside = any(s[0] in ("article", "main") for s in stack)
-        skipped = above[2] or _around(tag, attributes, inside)
+        elif named:
+            flush(inline=True)
+        around = above[3]
+        if named:
+            regions.append(_Region(named == "whole"))
+            around = (*around, len(regions) - 1)
+        elif tag in ("article", "main", "h1") and not skipped and not AROUND.intersection(_WORD.findall(attributes.get("class", "").lower())):
+            for k in around:
+                regions[k].landmark = True
         step = _step(tag, attributes)
         if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, f"{above[1]}/{step}" if above[1] else step, skipped))
+            stack.append((tag, f"{above[1]}/{step}" if above[1] else step, skipped, around))
             if tag == "a":
                 links += 1
         if tag in RAW:
@@ -172,7 +247,19 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             at = stop
     pop(0)
     flush()
-    return out
+    if regions:
+        _skip_regions(regions, out)
+    kept: list[tuple[str, str, int]] = []
+    last, before = -1, ""
+    for (path, joined, n, own), (at, raw) in zip(out, raws, strict=True):
+        if any(regions[k].skipped for k in own):
+            continue
+        if at == last:
+            raw, n = before + raw, n + kept.pop()[2]
+            joined = _SPACE.sub(" ", raw).strip()
+        kept.append((path, joined, min(n, len(joined))))
+        last, before = at, raw
+    return [b for b in kept if b[1]]
 
 
 def scores(found: list[tuple[str, str, int]]) -> dict[str, float]:

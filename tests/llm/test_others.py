@@ -214,3 +214,21 @@ def test_html_linked_headline_and_lists_stay(spark):
     for k in range(5):
         assert got[k][0].startswith("A headline") and got[k][-5:] == ["Part", "item", "quote", "cell", "code"] and len(got[k]) == 10
     assert got[5][0] == "Linked" and got[5][-1] == "more of it" and len(got[5]) == 5
+
+
+def test_html_named_wrappers_are_read_by_what_they_hold(spark):
+    words = "running words of the story " * 8
+    article = f"<h1>Head</h1><p>{words}</p><p>{words}</p>"
+    wrappers = ["class='content has-sidebar'", "class='layout no-nav'", "id='search-result'", "class='legal-news'", "class='page-with-sidebar'"]
+    rows = [(k, f"http://w{k}.org/", page(f"<div {w}>{article}<div class='share'><p>Share it with many friends</p></div></div>")) for k, w in enumerate(wrappers)]
+    rows += [(5, "http://w5.org/", page(f"<div class='legal-news'><p>{words}</p><p>{words}</p></div>", False))]
+    rows += [(6, "http://w6.org/", page(f"<div class=widget><h1>Site</h1></div><article>{article}</article>"))]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = ["Head", words.strip(), words.strip()]
+    assert [got[k] for k in range(5)] == [whole] * 5
+    assert got[5] == whole[1:] and got[6] == whole
+
+
+def test_html_named_inline_elements_do_not_cut_a_paragraph():
+    found = html_extract.blocks("<body><p>one <span class=ad>buy</span> two<span class=share>x</span>, three</p></body>")
+    assert [b[1] for b in found] == ["one two, three"]
