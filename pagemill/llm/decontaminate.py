@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 An item is a short text. A document is contaminated if a window of it, as many words long as the item, has a
-weighted-shingle similarity to the item of at least the threshold. Words are runs of letters and digits of the
+shingle similarity to the item, weighted or plain, of at least the threshold. Words are runs of letters and digits of the
 lower-cased text (every character beyond ASCII belongs to a word), so punctuation glued to a passage doesn't
 hide it. Shingles are five words; an item of fewer words is one shingle.
 """
@@ -37,18 +37,20 @@ class Match(NamedTuple):
 
 
 class Items(NamedTuple):
-    """Items of one block: ids, windows, shingles by place, weights, and the Hamming index by length."""
+    """Items of one block: ids, windows, shingles by place, weights, and the Hamming index by length.
+    ``other_weight`` of an item is its mean weight, which unknown shingles have against it. ``prints`` and
+    ``index`` are there twice: weighted and plain."""
 
     ids: list[int]
     n_words: np.ndarray
     shingles: list[dict[int, int]]
     weight: dict[int, float]
-    other_weight: float
+    other_weight: np.ndarray
     vocabulary: np.ndarray
     holders: dict[int, list[int]]
     filter: np.ndarray
-    prints: np.ndarray
-    index: dict[int, list[dict[int, list[int]]]]
+    prints: tuple[np.ndarray, np.ndarray]
+    index: tuple[dict[int, list[dict[int, list[int]]]], ...]
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -72,21 +74,33 @@ def shingles_of(column: pa.Array, width: int):
         yield first, w, counts, starts, h, at
 
 
-def compile_items(items: list[tuple[int, str]], rule: Match) -> Items:
-    """Weights are ln(1 + items / items with the shingle): what many items share counts less."""
-    texts = pa.array([t for _, t in items], pa.string())
-    ids, lengths, bags = [], [], []
-    for first, w, counts, starts, h, at in shingles_of(texts, rule.width):
+def _bags(items: list[tuple[int, str]], rule: Match):
+    """(item_id, words, shingle hashes in order) of each item with words."""
+    for first, w, counts, starts, h, at in shingles_of(pa.array([t for _, t in items], pa.string()), rule.width):
         by_row = np.split(h, np.searchsorted(w.row[at], np.arange(1, len(counts))))
         for k, n in enumerate(counts.tolist()):
-            if n == 0:
-                continue
-            own = by_row[k] if n >= rule.width else sequence_hashes(w.hash[starts[k] : starts[k] + n], w.row[starts[k] : starts[k] + n], n)[0]
-            ids.append(items[first + k][0])
-            lengths.append(n)
-            bags.append(dict(Counter(own.tolist())))
-    seen = Counter(s for bag in bags for s in bag)
-    weight = {s: float(np.log1p(len(bags) / n)) for s, n in seen.items()}
+            if n:
+                own = by_row[k] if n >= rule.width else sequence_hashes(w.hash[starts[k] : starts[k] + n], w.row[starts[k] : starts[k] + n], n)[0]
+                yield items[first + k][0], n, own
+
+
+def shingle_weights(items: list[tuple[int, str]], rule: Match) -> dict[int, float]:
+    """ln(1 + texts / texts with the shingle) over the distinct texts of the whole benchmark: what many texts share
+    counts less, and repeats of one text count once."""
+    texts = {own.tobytes() for _, _, own in _bags(items, rule)}
+    seen = Counter(s for own in texts for s in set(np.frombuffer(own, U).tolist()))
+    return {s: float(np.log1p(len(texts) / n)) for s, n in seen.items()}
+
+
+def compile_items(items: list[tuple[int, str]], rule: Match, weights: dict[int, float] | None = None) -> Items:
+    """``weights``: of the whole benchmark, if ``items`` is a block of it."""
+    weights = shingle_weights(items, rule) if weights is None else weights
+    ids, lengths, bags = [], [], []
+    for item_id, n, own in _bags(items, rule):
+        ids.append(item_id)
+        lengths.append(n)
+        bags.append(dict(Counter(own.tolist())))
+    weight = {s: weights[s] for bag in bags for s in bag}
     holders: dict[int, list[int]] = defaultdict(list)
     for k, bag in enumerate(bags):
         for s in bag:
@@ -94,46 +108,52 @@ def compile_items(items: list[tuple[int, str]], rule: Match) -> Items:
     vocabulary = np.array(sorted(weight), U)
     flags = np.zeros(_FILTER, bool)
     flags[(vocabulary % U(_FILTER)).astype(np.int64)] = True
-    prints = np.zeros(len(bags), U)
-    index: dict[int, list[dict[int, list[int]]]] = {}
+    prints = (np.zeros(len(bags), U), np.zeros(len(bags), U))
+    index: tuple[dict[int, list[dict[int, list[int]]]], ...] = ({}, {})
+    other = np.zeros(len(bags))
     reach = rule.radius // BLOCKS
     flips = [sum(1 << b for b in c) for r in range(reach + 1) for c in combinations(range(WIDTH), r)]
     for k, bag in enumerate(bags):
         h = np.array(list(bag), U)
-        w = np.array([weight[s] * n for s, n in bag.items()])
-        prints[k] = _pack((_bits(h) * w[:, None]).sum(0, keepdims=True))[0]
-        blocks = index.setdefault(lengths[k], [defaultdict(list) for _ in range(BLOCKS)])
-        for b in range(BLOCKS):
-            own = int(prints[k]) >> (b * WIDTH) & (1 << WIDTH) - 1
-            for flip in flips:
-                blocks[b][own ^ flip].append(k)
-    other = float(np.log1p(len(bags)))
+        n = np.array(list(bag.values()), float)
+        w = np.array([weight[s] for s in bag]) * n
+        other[k] = w.sum() / n.sum()
+        for kind, each in enumerate((w, n)):
+            prints[kind][k] = _pack((_bits(h) * each[:, None]).sum(0, keepdims=True))[0]
+            blocks = index[kind].setdefault(lengths[k], [defaultdict(list) for _ in range(BLOCKS)])
+            for b in range(BLOCKS):
+                own = int(prints[kind][k]) >> (b * WIDTH) & (1 << WIDTH) - 1
+                for flip in flips:
+                    blocks[b][own ^ flip].append(k)
     return Items(ids, np.array(lengths), bags, weight, other, vocabulary, dict(holders), flags, prints, index)
 
 
-def similarity(a: dict[int, int], b: dict[int, int], items: Items) -> float:
-    """Weighted Jaccard similarity of two shingle multisets."""
-    low = high = 0.0
+def similarity(a: dict[int, int], k: int, items: Items) -> float:
+    """Jaccard similarity of a shingle multiset and item ``k``'s: the greater of the weighted and the plain one."""
+    low = high = plain_low = plain_high = 0.0
+    b = items.shingles[k]
     for s in a.keys() | b.keys():
-        w = items.weight.get(s, items.other_weight)
+        w = items.weight.get(s, items.other_weight[k])
         x, y = a.get(s, 0), b.get(s, 0)
         low += w * min(x, y)
         high += w * max(x, y)
-    return low / high if high else 0.0
+        plain_low += min(x, y)
+        plain_high += max(x, y)
+    return max(low / high, plain_low / plain_high) if high else 0.0
 
 
-def _near(prints: np.ndarray, length: int, items: Items, radius: int) -> dict[int, np.ndarray]:
+def _near(prints: np.ndarray, length: int, items: Items, radius: int, kind: int) -> dict[int, np.ndarray]:
     """For each item of this length: the windows whose fingerprint is within the radius. By the pigeonhole
     principle one of the blocks has at most radius // BLOCKS bits that differ, so the index has them all."""
     found: dict[int, np.ndarray] = {}
     for b in range(BLOCKS):
         block = ((prints >> U(b * WIDTH)) & U((1 << WIDTH) - 1)).astype(np.int64)
         for value in np.unique(block).tolist():
-            of = items.index[length][b].get(value)
+            of = items.index[kind][length][b].get(value)
             if of:
                 rows = np.flatnonzero(block == value)
                 for k in of:
-                    near = rows[np.bitwise_count(prints[rows] ^ items.prints[k]) <= radius]
+                    near = rows[np.bitwise_count(prints[rows] ^ items.prints[kind][k]) <= radius]
                     if len(near):
                         found[k] = np.union1d(found[k], near) if k in found else near
     return found
@@ -148,6 +168,7 @@ def search(h: np.ndarray, n_words: int, hits: np.ndarray, items: Items, rule: Ma
     lengths = {int(items.n_words[k]) for j in hits.tolist() for k in items.holders[int(h[j])]}
     best: dict[int, tuple[float, int]] = {}
     weights = items.weight
+    usual = float(items.other_weight.mean()) if len(items.other_weight) else 0.0
     for length in sorted(lengths):
         span = length - rule.width + 1  # shingles in a window
         spread = np.zeros(n_words - length + 2 if n_words >= length else 0, np.int64)
@@ -164,14 +185,18 @@ def search(h: np.ndarray, n_words: int, hits: np.ndarray, items: Items, rule: Ma
                     continue
                 low, top = int(piece[0]), int(piece[-1]) + span
                 own = h[low:top]
-                w = np.array([weights.get(s, items.other_weight) for s in own.tolist()])
-                sums = np.zeros((len(own) + 1, BITS))
-                np.cumsum(_bits(own) * w[:, None], axis=0, out=sums[1:])
-                prints = _pack(sums[piece - low + span] - sums[piece - low])
-                for k, near in _near(prints, length, items, rule.radius).items():
+                w = np.array([weights.get(s, usual) for s in own.tolist()])
+                bits, found = _bits(own), {}
+                for kind, each in enumerate((bits * w[:, None], bits)):
+                    sums = np.zeros((len(own) + 1, BITS))
+                    np.cumsum(each, axis=0, out=sums[1:])
+                    prints = _pack(sums[piece - low + span] - sums[piece - low])
+                    for k, near in _near(prints, length, items, rule.radius, kind).items():
+                        found[k] = np.union1d(found[k], near) if k in found else near
+                for k, near in found.items():
                     for start in piece[near].tolist():
                         window = Counter(h[start : start + span].tolist())
-                        s = similarity(window, items.shingles[k], items)
+                        s = similarity(window, k, items)
                         if s >= rule.threshold and (k not in best or (s, -start) > (best[k][0], -best[k][1])):
                             best[k] = (s, start)
     return best
@@ -203,16 +228,13 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Match = Match(), doc
     their rows; a null doc_id or item_id stays null.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows, result, number = items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")), None, 0
-    block: list[tuple[int, str]] = []
-    for r in rows.toLocalIterator():
-        block.append((r[0], r[1] or ""))
-        if len(block) == rule.block_items:
-            own = _scan(named, compile_items(block, rule), rule)
-            result, block = own if result is None else result.unionByName(own), []
-        number += 1
-    own = _scan(named, compile_items(block, rule), rule)
-    return own if result is None else result.unionByName(own)
+    rows, result = items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")), None
+    every = [(r[0], r[1] or "") for r in rows.toLocalIterator()]
+    weights = shingle_weights(every, rule)
+    for first in range(0, max(len(every), 1), rule.block_items):
+        own = _scan(named, compile_items(every[first : first + rule.block_items], rule, weights), rule)
+        result = own if result is None else result.unionByName(own)
+    return result
 
 
 def _scan(docs: DataFrame, items: Items, rule: Match) -> DataFrame:

@@ -259,3 +259,21 @@ def test_decontamination_empty(spark, docs, no_docs):
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert decontaminate.contaminations(docs, none).collect() == []
     assert decontaminate.contaminations(no_docs, some).collect() == []
+
+
+def numbered(name, n):
+    return [f"{name}{k}" for k in range(n)]
+
+
+def test_decontamination_repeated_items(spark):
+    """One word replaced in a document with an item that a third of the benchmark repeats: 51 of 61 shingles."""
+    own = numbered("w", 60)
+    items = [(k, " ".join(own)) for k in range(333)] + [(k, " ".join(numbered(f"o{k}x", 60))) for k in range(333, 1000)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    edited = numbered("before", 20) + own[:30] + ["other"] + own[31:] + numbered("after", 20)
+    df = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(numbered("clean", 90)))], "doc_id long, text string")
+    for rule in (decontaminate.Match(), decontaminate.Match(block_items=300)):
+        got = decontaminate.contaminations(df, table, rule).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, k) for k in range(333)}
+        assert {r.first_word for r in got} == {20} and len({r.similarity for r in got}) == 1
+    assert [r.doc_id for r in decontaminate.decontaminated(df, table).collect()] == [2]
