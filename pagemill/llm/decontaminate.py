@@ -162,7 +162,7 @@ def _near(prints: np.ndarray, length: int, items: Items, radius: int, kind: int)
 def search(h: np.ndarray, n_words: int, hits: np.ndarray, items: Items, rule: Match) -> dict[int, tuple[float, int]]:
     """{item: (best similarity, first word)} in one document, whose shingles are ``h``.
 
-    A window that reaches a positive threshold shares a shingle with the item, so only windows around the
+    A document shorter than the item is compared whole. A window that reaches a positive threshold shares a shingle with the item, so only windows around the
     places of item shingles (``hits``) get a fingerprint.
     """
     lengths = {int(items.n_words[k]) for j in hits.tolist() for k in items.holders[int(h[j])]}
@@ -170,10 +170,8 @@ def search(h: np.ndarray, n_words: int, hits: np.ndarray, items: Items, rule: Ma
     weights = items.weight
     usual = float(items.other_weight.mean()) if len(items.other_weight) else 0.0
     for length in sorted(lengths):
-        span = length - rule.width + 1  # shingles in a window
-        spread = np.zeros(n_words - length + 2 if n_words >= length else 0, np.int64)
-        if not len(spread):
-            continue
+        span = min(length, n_words) - rule.width + 1  # shingles in a window; a shorter document is one window
+        spread = np.zeros(max(n_words - length, 0) + 2, np.int64)
         np.add.at(spread, np.maximum(hits - span + 1, 0).clip(max=len(spread) - 1), 1)
         np.subtract.at(spread, (hits + 1).clip(max=len(spread) - 1), 1)
         starts = np.flatnonzero(np.cumsum(spread)[:-1] > 0)

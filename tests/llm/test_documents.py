@@ -277,3 +277,12 @@ def test_decontamination_repeated_items(spark):
         assert {(r.doc_id, r.item_id) for r in got} == {(1, k) for k in range(333)}
         assert {r.first_word for r in got} == {20} and len({r.similarity for r in got}) == 1
     assert [r.doc_id for r in decontaminate.decontaminated(df, table).collect()] == [2]
+
+
+def test_decontamination_document_shorter_than_item(spark):
+    own = numbered("w", 59)
+    table = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(numbered("o", 40)))], "item_id long, text string")
+    texts = [own[:-1], own[1:], own[5:50], own[:20], own, own[:3]]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 6), r.first_word) for r in decontaminate.contaminations(df, table).collect()}
+    assert got == {(0, 1): (round(54 / 55, 6), 0), (1, 1): (round(54 / 55, 6), 0), (4, 1): (1.0, 0)}
