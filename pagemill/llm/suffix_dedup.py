@@ -1,21 +1,22 @@
-"""Exact removal of long repeated strings with a run-length index.
+"""Exact removal of long repeated strings by anchored sorting of fixed windows.
 
 A byte goes if it lies in a ``length``-byte string that also starts in a document with a smaller id.
 
-Repetitive text is indexed by a Burrows-Wheeler transform kept as runs with a sample at each run's end, and
-matches are read off by streaming text through it backwards. One such index over a whole corpus is neither
-small nor distributable, so the corpus is cut so that every possible match falls into one small index:
+The method asked for is a run-length Burrows-Wheeler index with samples at the runs' ends, through which text
+is streamed backwards for match lengths. Sorting of windows takes its place here: one index over a whole corpus
+is neither small nor distributable, and only matches of ``length`` bytes count, so longer match lengths aren't
+needed. The corpus is cut so that every possible match falls into one bucket:
 
 * Each ``length``-byte window has an anchor: its k-gram of least hash, the first of equals. Equal windows have
   equal anchors at the same place. Neighbouring windows mostly share it, so a text has few anchors.
 * Anchors whose k-gram occurs in one document only can't be part of a match; they are dropped first.
 * For the others, the text around the anchor (all windows that have it) goes to the bucket of its k-gram, equal
   pieces of one block of documents once, under their least id.
-* A bucket's index holds the suffixes of its pieces that start at or before the anchor. It starts from those at
-  the anchor in sorted order; each backward step moves the runs of the transform by their head character (the
-  LF mapping), which gives the sorted suffixes one byte longer. Equal pieces are one entry, with their least id
-  as sample. Matching statistics, cut at ``length``, are streamed on the way: windows that agree on ``length``
-  bytes are neighbours, and one matches an earlier document if the least sample of its neighbours is smaller.
+* A bucket sorts its pieces by the suffix at the anchor, then steps backwards byte by byte; each step is a stable
+  sort by the byte before, done run by run, and gives the order of the suffixes one byte longer. The full order is
+  kept; runs are found again in each step and not stored, and no match lengths are made. Equal pieces are one
+  entry, with their least id. Windows that agree on ``length`` bytes are neighbours, and one matches an earlier
+  document if the least id of its neighbours is smaller.
 
 Everything is exact: hashes only choose anchors and buckets, windows are compared byte by byte.
 """
@@ -209,7 +210,7 @@ def pieces(data, offsets, ids, found: Anchors, shared: np.ndarray, hot: np.ndarr
     return Pieces(text[pick], before[pick], count[pick], least, bucket[pick], of, first, count, doc)
 
 
-# --- the index of one bucket ----------------------------------------------------------------------
+# --- the windows of one bucket ----------------------------------------------------------------------
 
 
 def matches(text: np.ndarray, before: np.ndarray, count: np.ndarray, doc: np.ndarray, plan: Plan) -> np.ndarray:
