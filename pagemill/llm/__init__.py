@@ -11,5 +11,9 @@ html_extract    consensus container paths per host
 url_filter      accepted/rejected character models of URLs
 classifier      ordinal cumulative-link regression
 chat            budgeted, turn-aligned windows of conversations
+conversation_repair  cheapest repair of turn structure over a Re-Pair grammar
+token_counts    counts of piece tokens by merging in step
+conversation_trie  prefix trie by van Emde Boas recursion
+digests         helper: SHA-256 of long lists of texts
 queries         the registered queries and their SQL
 """

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, classifier, decontaminate, html_extract, mixing, near_dedup, quality, suffix_dedup, token_output, url_filter
+from pagemill.llm import (
+    chat,
+    classifier,
+    conversation_repair,
+    conversation_trie,
+    decontaminate,
+    html_extract,
+    mixing,
+    near_dedup,
+    quality,
+    suffix_dedup,
+    token_counts,
+    token_output,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -17,10 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +80,19 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.chat_windows(turns.unionByName(one.select("conv_id", "turn", role, F.lit(CONTROL).alias("text")))))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(turns), turns).report
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(*conversation_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +112,9 @@ QUERIES: dict[str, Query] = {
         op8_decontaminate,
         op9_classifier,
         op10_chat,
+        op11_conversation_repair,
+        op12_token_counts,
+        op13_conversation_trie,
         pipeline,
     )
 }
@@ -124,4 +154,39 @@ select doc_id, size, source_size, target,
   (epochs * size + greatest(least(budget - before, size), 0))::bigint as taken from k
 """
 
-ORACLE: dict[str, str] = {"op3_mixing": _MIXING}
+# A prefix is the list of its turns; every node counts for all prefixes of its own list.
+_TRIE = r"""
+with own as (
+  select conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as pos
+  from conversations where conv_id is not null),
+conv as (
+  select conv_id, list(t order by pos) as turns,
+    list_reduce(list_concat([4294967295::hugeint], list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::hugeint)),
+      lambda c, b: list_reduce(list_concat([xor(c::bigint, b::bigint)::hugeint], [0::hugeint, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, z: xor((x::bigint >> 1), 3988292384 * (x::bigint & 1))::hugeint)) as crc
+  from own group by conv_id),
+rebuilt as (
+  select c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) as turns
+  from (select *, (xor(crc::bigint, 4294967295) % 9)::bigint as h from conv) c left join conv b on b.conv_id = c.conv_id - c.conv_id % 5),
+members as (
+  select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from rebuilt),
+nodes as (
+  select turns[1:depth] as path, depth, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(turns) = depth), '')) as ends_sha256
+  from members group by all),
+kids as (
+  select path[1:depth - 1] as path, count(*) as n_children from nodes where depth > 0 group by 1),
+placed as (
+  select n.*, coalesce(k.n_children, 0) as n_children, p.conv_id as parent_conv_id,
+    case when n.depth = 0 then 0 else (n.n_convs - 1) * strlen(n.path[n.depth].text) end as saved
+  from nodes n left join kids k on n.path = k.path left join nodes p on n.depth > 0 and p.depth = n.depth - 1 and p.path = n.path[1:n.depth - 1]),
+spread as (
+  select saved, n_children, path, unnest(range(0, depth + 1)) as d from placed),
+totals as (
+  select path[1:d] as path, sum(saved)::bigint as saved_tokens, (count(*) filter (n_children = 0))::bigint as n_leaves from spread group by 1)
+select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+from placed join totals using (path)
+"""
+
+ORACLE: dict[str, str] = {"op3_mixing": _MIXING, "op13_conversation_trie": _TRIE}
