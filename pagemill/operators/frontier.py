@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import canonical_url, host_in_domains, url_netloc
 from pagemill.operators.links import robots_filter
-from pagemill.session import cut_lineage, materialize
+from pagemill.session import materialize, store_bucketed
 
 DEPTH_LIMIT = 5
+PART_EDGES = 100_000
 
 
 def anti_visited(links: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
@@ -41,37 +43,62 @@ def crawl_frontier(
     links: DataFrame,
     max_depth: int = DEPTH_LIMIT,
     robots: DataFrame | None = None,
+    keys: Sequence[str] = ("spider",),
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Rows (spider, domain, key, depth): every canonical URL a spider reaches, at its least depth.
-
-    ``seeds`` has spider, domain, url; ``links`` src_url and url. A spider stays on its domain and
-    the domains below it, and asks nothing that ``robots`` forbids. Each round is one join of the
-    last layer with the edges, one distinct and one anti-join with what was visited; a reliable
-    checkpoint ends the round, so plans stay short. A page that a third of all edges leave is split
-    by the skew join, one they lead to melts in the partial distinct. Only the question whether a
-    layer is empty comes back to the driver.
+    """Rows (keys, domain, key, depth): every canonical URL a spider reaches, at its least depth.
+
+    ``seeds`` has ``keys``, domain, url; ``links`` src_url and url; two spiders are the same only if all ``keys`` are,
+    so that many specifications may be worked at once. A spider stays on its domain and the domains below it,
+    and asks nothing that ``robots`` forbids.
+
+    The state of the iteration is stored in buckets: the edges by their source, and each layer by spider and key, as
+    many buckets as there are shuffle partitions. A round deals out only its delta: the last layer by key, to meet
+    the edges where they lie, and the keys found, to meet all earlier layers where they lie. Edges and visited keys
+    are dealt once, when they are stored. A page that very many edges leave has them in parts of about ``PART_EDGES``,
+    and is looked up once for each part; one they lead to melts in the partial distinct. Only the question whether
+    a layer is empty comes back to the driver. The result is stored, then the tables of the rounds are dropped.
     """
+    spark, keys = seeds.sparkSession, list(keys)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if robots is not None:
         seeds, links = robots_filter(seeds, robots), robots_filter(links, robots)
-    edges = materialize(link_edges(links), "edges")
-    start = seeds.select("spider", "domain", canonical_url(F.col("url")).alias("key")).distinct()
-    layers = [cut_lineage(start.withColumn("depth", F.lit(0)))]
-    for depth in range(1, max_depth + 1):
-        visited = reduce(DataFrame.unionByName, layers).select("spider", "key")
-        found = (
-            layers[-1]
-            .select("spider", "domain", F.col("key").alias("src"))
-            .join(edges, "src")
-            .filter(host_in_domains(F.col("host"), F.array("domain")))
-            .select("spider", "domain", "key")
-            .distinct()
-        )
-        layer = cut_lineage(
-            found.join(visited, ["spider", "key"], "left_anti")
-            .select("spider", "domain", "key")
-            .withColumn("depth", F.lit(depth))
-        )
-        if layer.isEmpty():
-            break
-        layers.append(layer)
-    return reduce(DataFrame.unionByName, layers)
+    thin = materialize(link_edges(links), "links")
+    parts = materialize(source_parts(thin), "parts")
+    placed = thin.join(parts, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)))
+    edges = store_bucketed(placed.drop("parts"), "edges", ["src", "part"], buckets)
+    start = seeds.select(*keys, "domain", canonical_url(F.col("url")).alias("key")).distinct()
+    layers = [store_bucketed(start.withColumn("depth", F.lit(0)), "layer", [*keys, "key"], buckets)]
+    try:
+        for depth in range(1, max_depth + 1):
+            layer = next_layer([t.rows for t in layers], edges.rows, parts, keys).withColumn("depth", F.lit(depth))
+            layers.append(store_bucketed(layer, "layer", [*keys, "key"], buckets))
+            if layers[-1].rows.isEmpty():
+                break
+        return materialize(reduce(DataFrame.unionByName, [t.rows for t in layers]), "frontier")
+    finally:
+        for stored in (edges, *layers):
+            stored.drop()
+
+
+def source_parts(edges: DataFrame) -> DataFrame:
+    """(src, parts) of the pages whose edges are stored in several parts."""
+    out = edges.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_EDGES)).alias("parts"))
+    return out.where("parts > 1")
+
+
+def next_layer(layers: Sequence[DataFrame], edges: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What the last of ``layers`` leads to and none of them holds. Each layer is asked on its own, since a union
+    would lose the buckets they are stored in."""
+    asked = layers[-1].select(*keys, "domain", F.col("key").alias("src")).join(parts, "src", "left")
+    each = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)
+    found = (
+        asked.select(*keys, "domain", "src", F.explode(each).alias("part"))
+        .join(edges, ["src", "part"])
+        .filter(host_in_domains(F.col("host"), F.array("domain")))
+        .select(*keys, "domain", "key")
+        .distinct()
+    )
+    for layer in layers:
+        found = found.join(layer.select(*keys, "key"), [*keys, "key"], "left_anti")
+    return found.select(*keys, "domain", "key")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table of this library; any other path is refused."""
+    if not path.startswith(f"{shared_dir(spark)}/pagemill/"):
+        raise ValueError(f"{path} is not an intermediate table")
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@dataclass(frozen=True)
+class StoredTable:
+    """Rows stored in buckets in the shared folder, under a table name of their own."""
+
+    rows: DataFrame
+    name: str
+    path: str
+
+    def drop(self) -> None:
+        """Forget the table and delete its files."""
+        spark = self.rows.sparkSession
+        spark.sql(f"drop table if exists {self.name}")
+        discard(spark, self.path)
+
+
+def store_bucketed(df: DataFrame, label: str, keys: Sequence[str], buckets: int) -> StoredTable:
+    """Write ``df`` in ``buckets`` buckets of ``keys`` to the shared folder: joins on these keys find the rows of a
+    bucket together, so they are not dealt out again. One task writes one bucket."""
+    spark = df.sparkSession
+    path, name = scratch_path(spark, label), f"pagemill_{label}_{uuid.uuid4().hex[:12]}"
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return StoredTable(spark.table(name), name, path)

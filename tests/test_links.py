@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from pagemill.operators import links as K
+from pagemill.operators import frontier, links as K
 from pagemill.operators.frontier import crawl_frontier
+from pagemill.session import store_bucketed
 
 
 def reasons(spark, rules, *urls, text="t"):
@@ -53,7 +54,7 @@ def test_robots(spark):
     assert got == {"http://h/d/12", "http://h/e", "http://h", "http://none/d/"}
 
 
-def test_frontier_equals_breadth_first_search(spark):
+def test_frontier_equals_breadth_first_search(spark, monkeypatch):
     n = 60
     url = lambda i: f"http://{'a.' if i % 2 else ''}{'s' if i % 5 else 'off'}.org/{i}"
     edges = [(i, (i * 7 + 3) % n) for i in range(n)] + [(i, (i * 11 + 5) % n) for i in range(n)]
@@ -77,6 +78,64 @@ def test_frontier_equals_breadth_first_search(spark):
     got = {(r.spider, r.key, r.depth) for r in crawl_frontier(seeds, links).collect()}
     assert got == want
     assert crawl_frontier(seeds, links, 1).agg(F.max("depth")).first()[0] == 1
+    assert crawl_frontier(seeds, links, buckets=3).count() == len(want)
+    monkeypatch.setattr(frontier, "PART_EDGES", 7)  # page 0 has its edges in several parts
+    assert {(r.spider, r.key, r.depth) for r in crawl_frontier(seeds, links).collect()} == want
+
+
+def test_frontier_of_several_specifications(spark):
+    """Two specifications with one start URL are worked at once, each under its own key."""
+    links = spark.createDataFrame([("http://h/", "http://h/a"), ("http://a.h/", "http://h/b")], "src_url string, url string")
+    seeds = spark.createDataFrame(
+        [("x", "h", "h", "http://h/"), ("y", "h", "h", "http://h/"), ("y", "h", "h", "http://a.h/")], "spec string, spider string, domain string, url string"
+    )
+    got = {(r.spec, r.key, r.depth) for r in crawl_frontier(seeds, links, keys=("spec", "spider")).collect()}
+    assert got == {("x", "http://h/", 0), ("x", "http://h/a", 1), ("y", "http://h/", 0), ("y", "http://h/a", 1), ("y", "http://a.h/", 0), ("y", "http://h/b", 1)}
+
+
+def test_frontier_rounds_move_only_their_delta(spark):
+    """With no side small enough to broadcast, edges and visited keys are read where they lie, and nothing stays behind."""
+    links = spark.range(2000).selectExpr("concat('http://h/', id % 50) as src_url", "concat('http://h/', id) as url")
+    seeds = spark.createDataFrame([("p", "h", "http://h/1")], "spider string, domain string, url string")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = store_bucketed(frontier.link_edges(links).withColumn("part", F.lit(0).cast("long")), "edges", ["src", "part"], n)
+    rows = seeds.selectExpr("spider", "domain", "url as key")
+    layers = [store_bucketed(rows, "layer", ["spider", "key"], n) for _ in range(2)]
+    parts = spark.createDataFrame([], "src string, parts long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = frontier.next_layer([t.rows for t in layers], edges.rows, parts, ["spider"])
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = [k for k, line in enumerate(plan.split("\n")) if "FileScan" in line]
+    lines = plan.split("\n")
+
+    def dealt(at):
+        """Whether the scan in this line is below an exchange of its own join side."""
+        depth = lines[at].index("FileScan")
+        for line in reversed(lines[:at]):
+            place = len(line) - len(line.lstrip(" :+-"))
+            if place >= depth:
+                continue
+            depth = place
+            if "Exchange" in line:
+                return True
+            if "SortMergeJoin" in line:
+                return False
+        return False
+
+    by_name = {lines[k]: dealt(k) for k in scans}
+    assert sum("pagemill_edges" in x for x in by_name) == 1
+    assert not [x for x, moved in by_name.items() if "pagemill_edges" in x and moved]
+    visited = [moved for x, moved in by_name.items() if "pagemill_layer" in x]
+    assert visited.count(False) == 2 and visited.count(True) == 1  # the last layer is asked once as the delta
+    before = {t.name for t in spark.catalog.listTables()}
+    assert df.count() > 0
+    assert crawl_frontier(seeds, links).count() > 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+    for t in (edges, *layers):
+        t.drop()
 
 
 def test_frontier_obeys_robots(spark):
