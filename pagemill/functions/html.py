@@ -1,22 +1,17 @@
 """HTML on columns, for pages that are not well formed.
 
-``xpath()`` fails a job on the first broken page, so elements are cut out with regular expressions
-that both Java and RE2 accept. The rules: comments, scripts and styles go first; an element starts
-at its open tag and ends at its close tag or at a tag that implies the end of it.
+``xpath()`` fails a job on the first broken page, so pages are cut with regular expressions that both Java and
+RE2 accept. Comments, scripts and styles go first; elements are found by their tags, in ``elements``.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Mapping, Sequence
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import has_text
-
 HIDDEN_PATTERN = (
     r"(?is)<!--.*?(?:-->|\z)"
     r"|<script(?:[\s/][^>]*)?>.*?(?:</script[^>]*>|\z)"
@@ -24,47 +19,14 @@ HIDDEN_PATTERN = (
 )
 TAG_PATTERN = r"(?s)<[/!?a-zA-Z][^>]*(?:>|\z)"
 ENTITY_PATTERN = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-_TAG_END = r"(?:[\s/>].*|\z)"
 # Tags whose start or end closes an open paragraph.
 PARAGRAPH_CLOSERS = (
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td "
     "tfoot th thead tr ul"
 ).split()
-# For other elements, the tags that close them (by start or end; by end only).
-ELEMENT_CLOSERS = {
-    "td": ("td th tr tbody thead tfoot".split(), "table body html".split()),
-    "th": ("td th tr tbody thead tfoot".split(), "table body html".split()),
-    "li": (["li"], "ul ol body html".split()),
-    "dt": ("dt dd".split(), "dl body html".split()),
-    "dd": ("dt dd".split(), "dl body html".split()),
-}
-HEADINGS = "h1 h2 h3 h4 h5 h6".split()
 # HTML 4 entity names from the standard library, and the one XML adds.
 ENTITIES = {**{name: chr(cp) for name, cp in name2codepoint.items()}, "apos": "'"}
-SIMPLE_XPATH = re.compile(r"^//([A-Za-z][A-Za-z0-9]*)$")
-
-
-def simple_tag(xpath: str) -> str | None:
-    """Tag of an XPath of the form ``//tag``, else None."""
-    found = SIMPLE_XPATH.match(xpath.strip())
-    return found.group(1).lower() if found else None
-
-
-def open_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}(?:[\s/][^>]*)?>"
-
-
-def close_pattern(tag: str) -> str:
-    """From the first tag that ends the element up to the end of the text."""
-    if tag == "p":
-        both, ends = PARAGRAPH_CLOSERS, []
-    elif tag in HEADINGS:
-        both, ends = HEADINGS, "article body div header html main section td".split()
-    else:
-        both, ends = ELEMENT_CLOSERS.get(tag, ([tag], ["body", "html"]))
-    starts = rf"/?(?:{'|'.join(both)})"
-    return rf"(?is)<(?:{starts}{'|/(?:' + '|'.join(ends) + ')' if ends else ''}){_TAG_END}"
 
 
 def strip_hidden(html: Column) -> Column:
@@ -123,62 +85,6 @@ def element_text(fragment: Column) -> Column:
     return decode_entities(strip_tags(fragment))
 
 
-def _nested_bodies(bodies: Column, tag: str) -> Column:
-    """Each element's inside, from the text after each start tag up to the next: an element goes on over
-    later start tags until as many end tags were seen, or the page's end."""
-    end = rf"(?i)</{tag}(?:\s[^>]*)?>"
-    cut = F.transform(bodies, lambda b: F.split(F.regexp_replace(b, r"(?is)</(?:body|html)(?:[\s/>].*|\z)", ""), end, -1))
-
-    def grow(state: Column, parts: Column) -> Column:
-        closes = F.size(parts) - 1
-        left = state["depth"] - closes
-        text = F.when(left > 0, F.array_join(parts, "")).otherwise(F.array_join(F.slice(parts, F.lit(1), state["depth"]), ""))
-        grown = F.struct(F.when(left > 0, left + 1).otherwise(F.lit(0)).alias("depth"), F.concat(state["text"], text).alias("text"))
-        return F.when(state["depth"] > 0, grown).otherwise(state)
-
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
-    inside = lambda i: F.aggregate(F.slice(cut, i + 1, F.size(cut) - i), start, grow, lambda s: s["text"])
-    return F.transform(bodies, lambda _, i: inside(i))
-
-
-def element_texts(visible: Column, tag: str) -> Column:
-    """Array with the text of each ``tag`` element, in document order; ``visible`` is HTML after
-    :func:`strip_hidden`. An element that may hold others of its kind has their text too."""
-    pieces = F.split(visible, open_pattern(tag), -1)
-    bodies = F.slice(pieces, F.lit(2), F.size(pieces))
-    if tag != "p" and tag not in HEADINGS and tag not in ELEMENT_CLOSERS:
-        return F.transform(F.transform(_nested_bodies(bodies, tag), strip_tags), decode_entities)
-    stripped = F.transform(
-        bodies, lambda b: strip_tags(F.regexp_replace(b, close_pattern(tag), ""))
-    )
-    return F.transform(stripped, decode_entities)
-
-
-def paragraph_array(visible: Column, xpaths: Sequence[str] | Mapping[int, str]) -> Column:
-    """Array of (xp_idx, pos, origin, content): XPath order, then document order, blanks dropped,
-    an element that two XPaths match kept twice. A mapping gives the XPaths by their xp_idx."""
-    numbered = xpaths.items() if isinstance(xpaths, Mapping) else enumerate(xpaths)
-    per_path = [_tagged_texts(visible, idx, xpath) for idx, xpath in numbered]
-    if not per_path:
-        return F.array().cast("array<struct<xp_idx:int,pos:int,origin:string,content:string>>")
-    return F.filter(F.concat(*per_path), lambda p: has_text(p["content"]))
-
-
-def _tagged_texts(visible: Column, idx: int, xpath: str) -> Column:
-    tag = simple_tag(xpath)
-    if tag is None:
-        raise ValueError(f"only //tag is a column expression, use html_elements for {xpath!r}")
-    return F.transform(
-        element_texts(visible, tag),
-        lambda text, pos: F.struct(
-            F.lit(idx).alias("xp_idx"),
-            pos.alias("pos"),
-            F.lit(xpath).alias("origin"),
-            text.alias("content"),
-        ),
-    )
-
-
 LINK_OPEN_PATTERN = r"(?is)<a(?:rea)?[\s/]"
 HREF_PATTERN = (
     r"(?is)^(?:[^>]*?[\s/\"'])?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +21,15 @@ from pagemill.functions.urls import (
     url_scheme_ok,
 )
 from pagemill.operators.paragraphs import explode_structs
+from pagemill.session import materialize
 
 # Extensions of links that are not followed.
 DENIED_EXTENSIONS = (
-    "mng pct bmp gif jpg jpeg png pst psp tif tiff ai drw dxf eps ps svg mp3 wma ogg wav ra aac mid "
-    "au aiff 3gp asf asx avi mov mp4 mpg qt rm swf wmv m4a m4v flv xls xlsx ppt pptx pps doc docx "
-    "odt ods odg odp css exe bin rss zip rar gz tar"
-).split()
+    "mng", "pct", "bmp", "gif", "jpg", "jpeg", "png", "pst", "psp", "tif", "tiff", "ai", "drw", "dxf", "eps", "ps",
+    "svg", "mp3", "wma", "ogg", "wav", "ra", "aac", "mid", "au", "aiff", "3gp", "asf", "asx", "avi", "mov", "mp4",
+    "mpg", "qt", "rm", "swf", "wmv", "m4a", "m4v", "flv", "xls", "xlsx", "ppt", "pptx", "pps", "doc", "docx", "odt",
+    "ods", "odg", "odp", "css", "exe", "bin", "rss", "zip", "rar", "gz", "tar",
+)
 
 
 def extract_links(pages: DataFrame, html: str = "html", unique: bool = True) -> DataFrame:
@@ -88,7 +91,7 @@ class LinkRules:
     deny: Sequence[str] = ()
     allow_domains: Sequence[str] = ()
     deny_domains: Sequence[str] = ()
-    deny_extensions: Sequence[str] = tuple(DENIED_EXTENSIONS)
+    deny_extensions: Sequence[str] = DENIED_EXTENSIONS
     restrict_text: Sequence[str] = ()
 
 
@@ -155,29 +158,52 @@ def restrict_text(links: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
 
 def restrict_domains(links: DataFrame, domains: DataFrame, keep: bool) -> DataFrame:
-    """Keep (or drop) links whose host is in a table of domains or below one of them.
+    """Keep (or drop) links whose host is in a table of domains or below one of them."""
+    return allow_deny_domains(links, domains, None) if keep else allow_deny_domains(links, None, domains)
 
-    Each distinct host is looked up once by its suffixes, and links meet the verdict by host; no side
-    is forced to broadcast, and a hot host is split by the skew join. A NULL domain lists nothing; a
-    link with a NULL URL or without a host is below no domain, so a deny table keeps it.
-    """
-    wanted = domains.select(F.lower("domain").alias("_suffix")).where("_suffix is not null").distinct()
-    hosted = links.withColumn("_host", F.lower(url_netloc(F.col("url"))))
-    hosts = hosted.select("_host").filter(F.col("_host") != "").distinct()
+
+def host_verdicts(hosts: DataFrame, allow: DataFrame | None, deny: DataFrame | None) -> DataFrame:
+    """(_host, allowed, denied) for distinct lower-case hosts that any table lists, by one join on their suffixes."""
+    listed = []
+    for table, allowed in ((allow, True), (deny, False)):
+        if table is not None:
+            suffix = F.lower("domain").alias("_suffix")
+            listed.append(table.select(suffix, F.lit(allowed).alias("_allowed")).where("_suffix is not null").distinct())
     suffixes = hosts.select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
-    verdict = suffixes.join(wanted, "_suffix", "left_semi").select("_host").distinct()
-    return hosted.join(verdict, "_host", "left_semi" if keep else "left_anti").drop("_host")
+    return (
+        suffixes.join(reduce(DataFrame.unionByName, listed), "_suffix")
+        .groupBy("_host")
+        .agg(F.bool_or("_allowed").alias("allowed"), F.bool_or(~F.col("_allowed")).alias("denied"))
+    )
+
+
+def allow_deny_domains(links: DataFrame, allow: DataFrame | None, deny: DataFrame | None) -> DataFrame:
+    """Links whose host is in a table of allowed domains or below one, if there is such a table, and in none of
+    the denied ones.
+
+    The links are stored with their hosts, so their source is read once. Each distinct host is then looked up once, and
+    links meet the verdict by host; no side is forced to broadcast, and a hot host is split by the skew join. A
+    NULL domain lists nothing; a link with a NULL URL or without a host is below no domain, so a deny table keeps it.
+    """
+    if allow is None and deny is None:
+        return links
+    stored = materialize(links.withColumn("_host", F.lower(url_netloc(F.col("url")))), "hosted")
+    hosts = stored.select("_host").filter(F.col("_host") != "").distinct()
+    verdicts = host_verdicts(hosts, allow, deny)
+    if allow is None:
+        return stored.join(verdicts.where("denied").select("_host"), "_host", "left_anti").drop("_host")
+    return stored.join(verdicts.where("allowed and not denied").select("_host"), "_host", "left_semi").drop("_host")
 
 
 def regex_rule_join(links: DataFrame, specs: DataFrame, spec: str = "spec") -> DataFrame:
     """Links of many crawls against the rules of their own crawl: an equi-join on the crawl name,
     then the patterns of the one matching row, each list joined into one alternation. A list with a back
-    reference, whose number would change in there, is tested pattern by pattern. Adds ``reason``, NULL for
-    an allowed link."""
+    reference, whose number would change in there, with a named group, whose name may be there twice, or with a quotation, which may
+    be open, is tested pattern by pattern. Adds ``reason``, NULL for an allowed link."""
 
     def alternation(patterns: str) -> Column:
         grouped = F.transform(patterns, lambda p: F.concat(F.lit("(?:"), p, F.lit(")")))
-        plain = ~F.exists(patterns, lambda p: F.rlike(p, F.lit(r"\\([1-9]|k<)|\(\?[a-zA-Z]*x")))
+        plain = ~F.exists(patterns, lambda p: F.rlike(p, F.lit(r"\\([1-9QE]|k<)|\(\?<[a-zA-Z]|\(\?[a-zA-Z]*x")))
         return F.when(plain, F.array_join(grouped, "|"))
 
     rules = specs.select(
@@ -208,27 +234,51 @@ def regex_rule_join(links: DataFrame, specs: DataFrame, spec: str = "spec") -> D
     )
 
 
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """(_host, _head, size, allow, residue) of the rules (host, allow, prefix).
+
+    A rule without ``*`` and without ``$`` at its end is a plain prefix. Another one has its text up to there as head, and
+    a regular expression that the whole must match. Rules with a null part and empty ones, which forbid nothing, are
+    left out.
+    """
+    rule = F.col("prefix")
+    body = F.regexp_replace(rule, r"\$\z", "")
+    quoted = F.replace(F.replace(body, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("*"), F.lit("\\E.*\\Q"))
+    anchored = rule.endswith("$")
+    pattern = F.concat(F.lit("(?s)^\\Q"), quoted, F.lit("\\E"), F.when(anchored, "\\z").otherwise(""))
+    return (
+        robots.where("host is not null and allow is not null and prefix <> ''")
+        .select(
+            F.lower("host").alias("_host"),
+            F.substring_index(body, "*", 1).alias("_head"),
+            F.length(rule).alias("size"),
+            "allow",
+            F.when(anchored | rule.contains("*"), pattern).alias("residue"),
+        )
+        .distinct()
+    )
+
+
 def robots_filter(rows: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
     """Drop URLs that the robots rules (host, allow, prefix) of their host forbid.
 
-    Hosts are compared in lower case. The longest matching prefix decides, allow wins a tie, no match allows. The rules of a host are
-    one small robots file, so they are gathered per host and tested inside the row: the join does
-    not multiply rows and nothing is grouped after it.
+    Hosts are compared in lower case. In a rule ``*`` stands for any characters and ``$`` at the end for the URL's end. The
+    longest matching rule decides, allow wins a tie, no match allows.
+
+    Each place (host, path and query) is looked up once. It asks for its beginnings of the lengths that its host's rules have,
+    which are few, by an equality join, and only the rules with such a beginning are tested for the rest. Verdicts are
+    maxima, so they combine before the shuffle; no host's rules or URLs are gathered.
     """
-    rules = robots.groupBy(F.lower("host").alias("_host")).agg(
-        F.collect_set(
-            F.struct(F.length("prefix").alias("size"), F.col("allow"), F.col("prefix"))
-        ).alias("_rules")
-    )
     place = F.regexp_extract(F.col(url), r"(?s)^[^/?#]*//[^/?#]*([^#]*)", 1)
     place = F.when(place.startswith("/"), place).otherwise(F.concat(F.lit("/"), place))
-    deciding = F.array_max(F.filter("_rules", lambda r: place.startswith(r["prefix"])))
-    return (
-        rows.withColumn("_host", F.lower(url_netloc(F.col(url))))
-        .join(rules, "_host", "left")
-        .filter(F.coalesce(deciding["allow"], F.lit(True)))
-        .drop("_host", "_rules")
-    )
+    stored = materialize(rows.withColumn("_host", F.lower(url_netloc(F.col(url)))).withColumn("_place", place), "placed")
+    rules = materialize(robots_rules(robots), "rules")
+    lengths = rules.select("_host", F.length("_head").alias("_n")).distinct()
+    asked = stored.select("_host", "_place").distinct().join(lengths, "_host").where(F.length("_place") >= F.col("_n"))
+    heads = asked.select("_host", "_place", F.substr("_place", F.lit(1), F.col("_n")).alias("_head"))
+    met = heads.join(rules, ["_host", "_head"]).where(F.col("residue").isNull() | F.rlike("_place", F.col("residue")))
+    verdict = met.groupBy("_host", "_place").agg(F.max(F.struct("size", "allow")).alias("v"))
+    return stored.join(verdict.where("not v.allow").select("_host", "_place"), ["_host", "_place"], "left_anti").drop("_host", "_place")
 
 
 def depth_limit(rows: DataFrame, limit: int = 5) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.html import paragraph_array, strip_hidden
+from pagemill.functions.elements import paragraph_arrays
+from pagemill.functions.html import strip_hidden
 from pagemill.functions.text import has_text, split_lines
 
 # Defaults of the two parsers.
@@ -42,13 +43,15 @@ def explode_structs(df: DataFrame, kept: Sequence[str], array: str, present: str
 def parse_pages(
     pages: DataFrame, xpaths: Sequence[str] | Mapping[int, str] = DEFAULT_XPATHS, html: str = "html"
 ) -> DataFrame:
-    """Replace the HTML of each page by ``paragraphs``, its array of matched elements.
+    """Replace the HTML of each page by ``paragraphs``, its array of matched elements; a mapping gives the
+    selectors by their xp_idx.
 
     Narrow: the fat column goes no further than this projection.
     """
     kept = [c for c in pages.columns if c != html]
     visible = pages.select(*kept, strip_hidden(F.col(html)).alias("_visible"))
-    return visible.select(*kept, paragraph_array(F.col("_visible"), xpaths).alias("paragraphs"))
+    numbered = dict(xpaths) if isinstance(xpaths, Mapping) else dict(enumerate(xpaths))
+    return paragraph_arrays(visible, "_visible", numbered, kept)
 
 
 def paragraph_rows(parsed: DataFrame) -> DataFrame:

@@ -1,155 +1,17 @@
-"""Selectors the column functions cannot express: nested elements, attributes, paths.
-
-The standard library's tokenizer runs inside ``mapInPandas``, one page at a time.
-"""
+"""Elements that any selector finds: nested ones, attributes, paths."""
 
 from __future__ import annotations
 
-import re
-import sys
-from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-from pagemill.functions.html import ELEMENT_CLOSERS, ENTITIES, PARAGRAPH_CLOSERS
-
-_STEP = re.compile(r"(//?)([A-Za-z][\w-]*|\*)((?:\[@[\w-]+(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"))?\])*)")
-_TEST = re.compile(r"\[@([\w-]+)(?:\s*=\s*(?:'([^']*)'|\"([^\"]*)\"))?\]")
-# Elements without content.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_SCOPE = frozenset(("td", "th", "table", "body", "html"))
-
-
-def parse_selector(xpath: str) -> list[tuple[bool, str, list[tuple[str, str | None]]]]:
-    """Steps (any depth?, tag, attribute tests) of ``//a[@b='c']/d``-like paths."""
-    steps, end = [], 0
-    for found in _STEP.finditer(xpath.strip()):
-        if found.start() != end:
-            break
-        tests = [
-            (t.group(1).lower(), t.group(2) if t.group(2) is not None else t.group(3))
-            for t in _TEST.finditer(found.group(3))
-        ]
-        steps.append((found.group(1) == "//", found.group(2).lower(), tests))
-        end = found.end()
-    if not steps or end != len(xpath.strip()):
-        raise ValueError(f"unsupported selector {xpath!r}")
-    return steps
-
-
-def _matches(steps, stack) -> bool:
-    """Does the open-element stack, innermost last, satisfy the steps?"""
-    deep, tag, tests = steps[-1]
-    name, attrs = stack[-1]
-    if tag not in ("*", name) or any(k not in attrs or v not in (None, attrs[k]) for k, v in tests):
-        return False
-    rest, above = steps[:-1], stack[:-1]
-    if not rest:
-        return deep or not above
-    if deep:
-        return any(_matches(rest, above[:i]) for i in range(len(above), 0, -1))
-    return bool(above) and _matches(rest, above)
-
-
-_REFERENCE = re.compile(
-    r"&(?:#([0-9]{1,7});|#[xX]([0-9a-fA-F]{1,6});|([A-Za-z][A-Za-z0-9]{1,31});)?"
-)
-
-
-def _plain_reference(found: re.Match) -> str:
-    """Leave to the tokenizer only the references that the column functions know as well."""
-    decimal, hexadecimal, name = found.groups()
-    if name:
-        return found.group() if name in ENTITIES else "&amp;" + found.group()[1:]
-    if not (decimal or hexadecimal):
-        return "&amp;"
-    cp = int(decimal or hexadecimal, 10 if decimal else 16)
-    if not 0 < cp < 0xD800 and not 0xDFFF < cp <= 0x10FFFF:
-        return "\ufffd"
-    return {38: "&amp;", 60: "&lt;"}.get(cp, chr(cp))
 
-
-class _Collector(HTMLParser):
-    """Texts of the elements that match each selector, in document order."""
-
-    def __init__(self, selectors):
-        super().__init__(convert_charrefs=True)
-        self.selectors, self.stack, self.open, self.found = selectors, [], [], [[] for _ in selectors]
-
-    def _pop_to(self, position: int) -> None:
-        del self.stack[position:]
-        self.open = [(depth, parts) for depth, parts in self.open if depth <= position]
-
-    def _close_implied(self, tag: str) -> None:
-        rivals = ("p",) if tag in PARAGRAPH_CLOSERS else ()
-        rivals += tuple(t for t, (both, _) in ELEMENT_CLOSERS.items() if tag in both)
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name in rivals:
-                return self._pop_to(i)
-            if name in _SCOPE or name in ("ul", "ol", "dl"):
-                return None
-
-    def handle_starttag(self, tag, attrs):
-        self._close_implied(tag)
-        self.stack.append((tag, dict((k, v or "") for k, v in attrs)))
-        for found, steps in zip(self.found, self.selectors):
-            if _matches(steps, self.stack):
-                parts: list[str] = []
-                found.append(parts)
-                self.open.append((len(self.stack), parts))
-        if tag in VOID:
-            self._pop_to(len(self.stack) - 1)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                return self._pop_to(i)
-
-    def handle_data(self, data):
-        if self.stack and self.stack[-1][0] not in ("script", "style"):
-            for _, parts in self.open:
-                parts.append(data)
+from pagemill.operators.paragraphs import extract_paragraphs
 
 
 def html_elements(
     pages: DataFrame, xpaths: Sequence[str], key: str = "page_id", html: str = "html"
 ) -> DataFrame:
-    """Rows (key, xp_idx, pos, origin, content): every element matched by each selector, nested
-    ones too, blanks dropped."""
-    paths = list(xpaths)
-    selectors = [parse_selector(x) for x in paths]
-    schema = T.StructType(
-        [
-            pages.schema[key],
-            T.StructField("xp_idx", T.IntegerType()),
-            T.StructField("pos", T.IntegerType()),
-            T.StructField("origin", T.StringType()),
-            T.StructField("content", T.StringType()),
-        ]
-    )
-
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, text in zip(batch[key], batch[html]):
-                collector = _Collector(selectors)
-                collector.feed(_REFERENCE.sub(_plain_reference, text or ""))
-                collector.close()
-                for idx, elements in enumerate(collector.found):
-                    for pos, parts in enumerate(elements):
-                        content = "".join(parts)
-                        if content.strip():
-                            rows.append((page, idx, pos, paths[idx], content))
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    # The helper travels with the plan, so workers need not have the package installed.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return pages.select(key, html).mapInPandas(collect, schema)
+    """Rows (key, xp_idx, pos, origin, content): every element matched by each selector, nested ones too, blanks
+    dropped. Selectors are steps ``//tag``, ``/tag`` or ``*`` with attribute tests ``[@a]`` and ``[@a='b']``."""
+    return extract_paragraphs(pages.select(key, html), xpaths, html)

@@ -386,12 +386,10 @@ def valid_scheme(spark, sf_dir):
 
 @query
 def allow_deny_domains(spark, sf_dir):
-    allowed = links.restrict_domains(
-        _links(spark, sf_dir), fx.seeds(spark, sf_dir).select("domain"), keep=True
-    )
     hosts = fx.pages(spark, sf_dir).select(U.url_netloc(F.col("url")).alias("domain"))
     denied = hosts.filter(F.col("domain").rlike("spam-farm|cheap-pills"))
-    return links.restrict_domains(allowed, denied, keep=False)
+    allowed = fx.seeds(spark, sf_dir).select("domain")
+    return links.allow_deny_domains(_links(spark, sf_dir), allowed, denied)
 
 
 @query

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.html import simple_tag
 from pagemill.functions.text import decode_body
 from pagemill.functions.urls import canonical_url, url_netloc
 from pagemill.operators.export import (
@@ -24,7 +23,6 @@ from pagemill.operators.language import DISABLED, LanguageModel, parse_with_lang
 from pagemill.operators.links import LinkRules, allowed_links, extract_links
 from pagemill.operators.numbering import raw_file_table
 from pagemill.operators.paragraphs import matched_type, parse_pages
-from pagemill.operators.selectors import html_elements
 from pagemill.operators.spiders import seed_urls
 from pagemill.session import materialize
 from pagemill.sinks.paragraph_csv import write_paragraph_csv
@@ -54,25 +52,6 @@ def _with_content_type(pages: DataFrame) -> DataFrame:
     return pages.withColumn("content_type", F.lit("text/html"))
 
 
-def parse_any(pages: DataFrame, xpaths) -> DataFrame:
-    """:func:`parse_pages` for any selector: each ``//tag`` in the JVM, each other one by the tokenizer, so
-    no selector changes the rows of another."""
-    paths = dict(enumerate(xpaths))
-    plain = {i: x for i, x in paths.items() if simple_tag(x)}
-    others = [i for i in paths if i not in plain]
-    parsed = parse_pages(pages, plain)
-    if not others:
-        return parsed
-    rows = html_elements(pages, [paths[i] for i in others])
-    place = F.get(F.array(*[F.lit(i) for i in others]), F.col("xp_idx")).alias("xp_idx")
-    packed = rows.groupBy("page_id").agg(
-        F.collect_list(F.struct(place, "pos", "origin", "content")).alias("_others")
-    )
-    both = F.array_sort(F.concat("paragraphs", F.coalesce("_others", F.array())))
-    kept = [c for c in parsed.columns if c != "paragraphs"]
-    return parsed.join(packed, "page_id", "left").select(*kept, both.alias("paragraphs"))
-
-
 def spec_spiders(spark: SparkSession, spec: CrawlSpec) -> DataFrame:
     """The spiders of a specification, one per start URL."""
     specs = spark.range(1).select(
@@ -130,7 +109,7 @@ def run_crawl(
     if model is None and DISABLED not in spec.allowed_languages:
         raise ValueError("a language model is needed unless detection is disabled")
     html = wanted.filter(matched_type(F.col("content_type"), ["text/html"]).isNotNull())
-    parsed = materialize(parse_any(html.select("page_id", "url", "html"), list(spec.xpaths)), "parsed")
+    parsed = materialize(parse_pages(html.select("page_id", "url", "html"), list(spec.xpaths)), "parsed")
     rows = parse_with_languages(
         parsed, model, tuple(spec.allowed_languages), spec.keep_langdetect_errors
     )

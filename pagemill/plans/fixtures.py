@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url2filename, url_netloc, url_scheme
-from pagemill.sources.pages import scan_pages, spread
+from pagemill.sources.pages import scan_pages
 
 MODEL_LANGUAGES = ("de", "en", "es", "fr")
 # Link forms tried against every page URL.
@@ -39,11 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_pages(spark, f"{sf_dir}/pages.parquet")
+    """The given table is one small file, so its rows are dealt to all cores."""
+    return scan_pages(spark, f"{sf_dir}/pages.parquet", spark.sparkContext.defaultParallelism)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +190,10 @@ def body_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of each seed host: nothing under /de/ but what starts with /de/1."""
-    rules = F.array(
-        F.struct(F.lit(False).alias("allow"), F.lit("/de/").alias("prefix")),
-        F.struct(F.lit(True).alias("allow"), F.lit("/de/1").alias("prefix")),
-    )
+    """Rules of each seed host: nothing under /de/ but what starts with /de/1, no pages by number but those
+    under /en/1, nothing that ends with 7; an empty rule forbids nothing."""
+    told = [(False, "/de/"), (True, "/de/1"), (False, "/*page="), (True, "/en/1*?page="), (False, "/*7$"), (False, "")]
+    rules = F.array(*[F.struct(F.lit(a).alias("allow"), F.lit(p).alias("prefix")) for a, p in told])
     return seeds(spark, sf_dir).select(F.col("domain").alias("host"), F.inline(rules))
 
 

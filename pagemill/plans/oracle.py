@@ -17,6 +17,40 @@ from pagemill.operators.export import CSV_COLUMNS, CSV_HEADER, MESSAGE_LIMIT
 from pagemill.plans import catalog as C
 from pagemill.plans import fixtures as fx
 
+_TAG_END = r"(?:[\s/>].*|\z)"
+# For other elements, the tags that close them (by start or end; by end only).
+ELEMENT_CLOSERS = {
+    "td": ("td th tr tbody thead tfoot".split(), "table body html".split()),
+    "th": ("td th tr tbody thead tfoot".split(), "table body html".split()),
+    "li": (["li"], "ul ol body html".split()),
+    "dt": ("dt dd".split(), "dl body html".split()),
+    "dd": ("dt dd".split(), "dl body html".split()),
+}
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
+SIMPLE_XPATH = re.compile(r"^//([A-Za-z][A-Za-z0-9]*)$")
+
+
+def simple_tag(xpath: str) -> str | None:
+    """Tag of an XPath of the form ``//tag``, else None."""
+    found = SIMPLE_XPATH.match(xpath.strip())
+    return found.group(1).lower() if found else None
+
+
+def open_pattern(tag: str) -> str:
+    return rf"(?is)<{tag}(?:[\s/][^>]*)?>"
+
+
+def close_pattern(tag: str) -> str:
+    """From the first tag that ends the element up to the end of the text."""
+    if tag == "p":
+        both, ends = H.PARAGRAPH_CLOSERS, []
+    elif tag in HEADINGS:
+        both, ends = HEADINGS, "article body div header html main section td".split()
+    else:
+        both, ends = ELEMENT_CLOSERS.get(tag, ([tag], ["body", "html"]))
+    starts = rf"/?(?:{'|'.join(both)})"
+    return rf"(?is)<(?:{starts}{'|/(?:' + '|'.join(ends) + ')' if ends else ''}){_TAG_END}"
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -91,12 +125,12 @@ def without_tags(text: str) -> str:
 
 def elements(source: str, xpath: str, idx: int, keep: str) -> str:
     """Rows (keep, xp_idx, pos, origin, content) of one ``//tag``."""
-    tag = H.simple_tag(xpath)
+    tag = simple_tag(xpath)
     return f"""select {keep}, cast({idx} as integer) xp_idx, pos, {lit(xpath)} origin, content from (
       select {keep}, pos, {entities('raw')} content from (
         select {keep}, unnest(l) raw, cast(generate_subscripts(l, 1) - 1 as integer) pos from (
-          select {keep}, list_transform(string_split_regex(v, {lit(H.open_pattern(tag))})[2:],
-            lambda b: {without_tags(f"regexp_replace(b, {lit(H.close_pattern(tag))}, '')")}) l
+          select {keep}, list_transform(string_split_regex(v, {lit(open_pattern(tag))})[2:],
+            lambda b: {without_tags(f"regexp_replace(b, {lit(close_pattern(tag))}, '')")}) l
           from {source})))
       where regexp_matches(content, {lit(T.HAS_TEXT_PATTERN)})"""
 
@@ -370,9 +404,12 @@ def _rule_join() -> str:
 
 def _robots() -> str:
     place = f"({part('url', 3)} || case when {part('url', 4)} <> '' then '?' || {part('url', 4)} else '' end)"
-    return f"""select page_id, url from pages where not (
-      {netloc('url')} in (select domain from x_seeds) and starts_with({place}, '/de/')
-      and not starts_with({place}, '/de/1'))"""
+    rules = [(False, "/de/", "^/de/"), (True, "/de/1", "^/de/1"), (False, "/*page=", "^/.*page=")]
+    rules += [(True, "/en/1*?page=", "^/en/1.*[?]page="), (False, "/*7$", "^/.*7$")]
+    table = ", ".join(f"({str(a).lower()}, {len(rule)}, {lit(p)})" for a, rule, p in rules)
+    return f"""select page_id, url from (select *, {place} as place, {netloc('url')} as host from pages) p
+      where not coalesce(host in (select domain from x_seeds) and not (
+        select max({{'n': n, 'a': a}}).a from (values {table}) r(a, n, x) where regexp_matches(p.place, r.x)), false)"""
 
 
 def _registered() -> str:

@@ -14,19 +14,14 @@ PAGES_SCHEMA = T.StructType(
 )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash an input with fewer splits than the session has cores over all of them by ``key``.
+def scan_pages(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """The table of captured pages; ``page_id`` identifies one capture.
 
-    Parsing costs far more than reading, and a small file is one split. An input that already has
-    enough splits, as any large one has, is left alone and not shuffled.
+    Splits follow the files' bytes (``spark.sql.files.maxPartitionBytes``). Parsing costs far more than reading, so whoever
+    reads one small file with many cores may ask for its rows to be dealt to ``tasks``; nothing else is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The table of captured pages; ``page_id`` identifies one capture."""
-    return spread(spark.read.schema(PAGES_SCHEMA).parquet(path), "page_id")
+    pages = spark.read.schema(PAGES_SCHEMA).parquet(path)
+    return pages.repartition(tasks, "page_id") if tasks else pages
 
 
 def bucket_pages(pages: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import language as L
 from pagemill.operators.extension import ParserRegistry, run_finalizers, run_pipelines
+from pagemill.operators.paragraphs import parse_pages
 from pagemill.plans import crawl as C
 from pagemill.plans import fixtures as fx
 from pagemill.sources.paragraph_csv import csv_spiders, scan_paragraph_csv
@@ -94,7 +95,7 @@ def test_a_selector_changes_no_rows_of_another(spark, site):
     plain, more = ["//div", "//li", "//p"], ["//div", "//a[@href='/a']", "//li", "//p"]
 
     def rows(paths):
-        found = C.parse_any(pages, paths).selectExpr("page_id", "inline(paragraphs)").collect()
+        found = parse_pages(pages, paths).selectExpr("page_id", "inline(paragraphs)").collect()
         return {(r.page_id, r.origin, r.pos, r.content) for r in found}, [r.xp_idx for r in found if r.origin == "//p"]
 
     (few, at), (many, moved) = rows(plain), rows(more)

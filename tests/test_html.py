@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,8 @@ from pagemill.functions import text as T
 from pagemill.operators.links import extract_links
 from pagemill.operators.numbering import first_link_per_page
 from pagemill.operators.paragraphs import extract_paragraphs, line_paragraphs, page_text, parse_pages
-from pagemill.operators.selectors import html_elements, parse_selector
+from pagemill.functions.elements import intervals, parse_selector
+from pagemill.operators.selectors import html_elements
 
 
 def pages(spark, *texts):
@@ -128,17 +131,47 @@ def test_both_ways_decode_the_same_references(spark):
 
 
 def test_selector_grammar():
-    assert parse_selector("//a[@b]/c") == [(True, "a", [("b", None)]), (False, "c", [])]
+    assert parse_selector("//a[@b]/c") == [(True, "a", (("b", None),)), (False, "c", ())]
     for bad in ("p", "//p[1]", "//p/text()", ""):
         with pytest.raises(ValueError):
             parse_selector(bad)
-    with pytest.raises(ValueError):
-        H.paragraph_array(F.lit(""), ["//p[@a='b']"])
 
 
-def test_tokenizer_agrees_with_column_functions(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    native = extract_paragraphs(df, ["//p", "//li"]).select("page_id", "xp_idx", "pos", "content")
-    tokens = html_elements(df, ["//p", "//li"]).select("page_id", "xp_idx", "pos", "content")
-    assert native.count() > 0
-    assert native.exceptAll(tokens).count() == 0 and tokens.exceptAll(native).count() == 0
+def test_nested_cells_and_items_keep_their_whole_text(spark):
+    html = "<table><tr><td>a<table><tr><td>b</td></tr></table>c</td><td>d<th>e</table><p>f"
+    assert paragraphs(spark, html, ["//td", "//table", "//th"]) == [("//td", t) for t in ("abc", "b", "d")] + [("//table", t) for t in ("abcde", "b")] + [("//th", "e")]
+    html = "<ul><li>1<ol><li>2<li>3</ol>4<li>5</ul><dl><dt>a<dd>b<dl><dt>c</dl>d<dt>e</dl>"
+    assert paragraphs(spark, html, ["//li", "//dt", "//dd"]) == [("//li", t) for t in ("1234", "2", "3", "5")] + [("//dt", t) for t in "ace"] + [("//dd", "bcd")]
+
+
+def test_broken_nesting(spark):
+    html = "<div><p>a<b>b</p>c</b></div>d</div><p>e<h2>f<h3>g</h2>h<div>i<li>j<li>k</div>l"
+    got = paragraphs(spark, html, ["//p", "//h2", "//h3", "//li", "//b"])
+    assert got == [("//p", "ab"), ("//p", "e"), ("//h2", "f"), ("//h3", "g"), ("//li", "j"), ("//li", "k"), ("//b", "b")]
+
+
+def test_selector_steps():
+    tags = ["<div class=x>", "<p>", "<a href='1&amp;2'>", "</a>", "</p>", "<div>", "<p id=P>", "</p>", "</div>", "</div>", "<p>"]
+
+    def starts(xpath):
+        return intervals([t if t[1] != "/" else t[:-1] for t in tags], [parse_selector(xpath)])[2::4]
+
+    assert starts("//p") == [1, 6, 10] and starts("//div//p") == [1, 6] and starts("//div/div/p") == [6]
+    assert starts("//div[@class='x']/p") == [1] and starts("//div[@class]//*") == [1, 2, 5, 6]
+    assert starts("/div/p") == [1] and starts("/p") == [10] and starts("//a[@href='1&2']") == [2] and starts("//p[@id]/a") == []
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "li", "td", "span", "table", "ul"])
+def test_time_is_linear_in_the_page(tag):
+    started = time.perf_counter()
+    for tags in ([f"<{tag}"] * 100_000, [f"<{tag}", "<p"] * 50_000, [f"<{tag}"] * 50_000 + [f"</{tag}"] * 50_000):
+        found = intervals(tags, [parse_selector(f"//{tag}"), parse_selector("//p")])
+        assert len(found) >= 4 * 50_000
+    assert time.perf_counter() - started < 10
+
+
+def test_deep_pages(spark):
+    df = pages(spark, "<div>x" * 1500 + "<p>end", "<b>" * 20000 + "<p>end", None)
+    assert [r.content for r in extract_paragraphs(df, ["//p"]).orderBy("page_id").collect()] == ["end", "end"]
+    nested = extract_paragraphs(df, ["//div"]).orderBy("pos").collect()
+    assert [len(r.content) for r in nested] == [n + 3 for n in range(1500, 0, -1)]

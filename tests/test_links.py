@@ -149,3 +149,38 @@ def test_frontier_obeys_robots(spark):
     rules = spark.createDataFrame([("h", False, "/d/")], "host string, allow boolean, prefix string")
     got = sorted((r.spider, r.key, r.depth) for r in crawl_frontier(seeds, links, robots=rules).collect())
     assert got == [("p", "http://h/", 0), ("p", "http://h/a", 1), ("p", "http://h/b", 2)]
+
+
+def test_robots_wildcards(spark):
+    rules = [("h", False, "/*.gif$"), ("h", True, "/pub/*.gif$"), ("h", False, "/a*b*c"), ("h", False, "/q?x=*"), ("h", True, "/q?x=1$"),
+             ("h", False, "/d$"), ("h", False, ""), ("h", None, "/n"), (None, False, "/"), ("h", False, "/e\\E(*"), ("h", False, "/t"), ("h", True, "/t*")]
+    gone = ["/x.gif", "/y/z.gif", "/a/b/c/d", "/abc", "/q?x=2", "/q?x=12", "/d", "/e\\E(z"]
+    stay = ["/x.gif?v=1", "/pub/x.gif", "/acb", "/q?x=1", "/d/", "/n", "/e", "/e\\Ez", "/t1", "", "/A/b/c"]
+    urls = spark.createDataFrame([(f"http://h{p}",) for p in gone + stay] + [(None,), ("mailto:x",)], "url string")
+    table = spark.createDataFrame(rules, "host string, allow boolean, prefix string")
+    assert {r.url for r in K.robots_filter(urls, table).collect()} == {f"http://h{p}" for p in stay} | {None, "mailto:x"}
+    assert K.robots_filter(urls, table.limit(0)).count() == urls.count()
+
+
+def test_patterns_of_a_list_do_not_break_each_other(spark):
+    lists = {
+        "names": (["(?<y>abc)", "(?<y>zzz)"], {"http://h/abc", "http://h/zzz"}),
+        "quotes": (["\\Qzzz", "abc"], {"http://h/abc", "http://h/zzz"}),
+        "back": (["(z)\\1\\1", "(a)(b)c"], {"http://h/abc", "http://h/zzz"}),
+        "words": (["ab.$", "(?i)OTHER"], {"http://h/abc", "http://h/other"}),
+    }
+    specs = spark.createDataFrame([(k, w, []) for k, (w, _) in lists.items()], "name string, whitelist array<string>, blacklist array<string>")
+    urls = ["http://h/abc", "http://h/zzz", "http://h/other"]
+    found = spark.createDataFrame([(k, u, "t") for k in lists for u in urls], "spec string, url string, text string")
+    got = {(r.spec, r.url) for r in K.regex_rule_join(found, specs).where("reason is null").collect()}
+    assert got == {(k, u) for k, (_, kept) in lists.items() for u in kept}
+
+
+def test_domains_read_their_links_once(spark, sf_dir):
+    """One scan with HTML: the links are stored before their hosts are looked up."""
+    found = K.extract_links(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    domains = spark.createDataFrame([("example.com",)], "domain string")
+    kept = K.allow_deny_domains(found, domains, spark.createDataFrame([("blog.example.com",)], "domain string"))
+    assert "html" not in kept._jdf.queryExecution().executedPlan().toString()
+    hosts = {r.url.split("/")[2] for r in kept.select("url").distinct().collect()}
+    assert hosts and all(h == "example.com" or h.endswith(".example.com") for h in hosts) and not [h for h in hosts if h.endswith("blog.example.com")]

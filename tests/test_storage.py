@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pagemill.sinks.messages import read_results, send_results
 from pagemill.sinks.paragraph_csv import write_paragraph_csv
 from pagemill.sinks.raw_files import write_raw_files
-from pagemill.sources.pages import bucket_pages, spread
+from pagemill.sources.pages import bucket_pages, scan_pages
 from pagemill.sources.paragraph_csv import scan_csv_files, scan_paragraph_csv
 from pagemill.sources.raw_files import scan_raw_files
 from pagemill.sources.specs import load_spec, overlay_specs, parse_patches, parse_specs, read_specs
@@ -112,10 +112,11 @@ def test_unreadable_and_several_specifications_are_refused(spark, tmp_path):
         load_spec(spark, str(tmp_path / "bad" / "x.json"))
 
 
-def test_small_inputs_are_spread_and_large_ones_left_alone(spark):
-    small, large = spark.range(10).coalesce(1), spark.range(0, 100, 1, 64)
-    assert spread(small, "id").rdd.getNumPartitions() == 8
-    assert spread(large, "id") is large
+def test_pages_are_dealt_out_only_on_request(spark, sf_dir):
+    path = f"{sf_dir}/pages.parquet"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(scan_pages(spark, path)) and "Exchange" in plan(scan_pages(spark, path, 5))
+    assert scan_pages(spark, path, 5).exceptAll(scan_pages(spark, path)).count() == 0
 
 
 def test_bucketed_pages(spark, sf_dir):
