@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,6 +14,7 @@ from pagemill.session import materialize, store_bucketed
 
 DEPTH_LIMIT = 5
 PART_EDGES = 100_000
+Accept = Callable[[DataFrame], DataFrame]
 
 
 def anti_visited(links: DataFrame, visited: DataFrame, url: str = "url") -> DataFrame:
@@ -27,11 +28,13 @@ def new_minus_seen(found: DataFrame, seen: DataFrame) -> DataFrame:
     return found.select("key").subtract(seen.select("key"))
 
 
-def link_edges(links: DataFrame) -> DataFrame:
-    """Links (src_url, url) as thin distinct edges (src, key, host) of canonical URLs."""
+def link_edges(links: DataFrame, as_written: bool = False) -> DataFrame:
+    """Links (src_url, url) as thin distinct edges (src, key, host) of canonical URLs; with the url ``as_written``, too."""
     return (
         links.select(
-            canonical_url(F.col("src_url")).alias("src"), canonical_url(F.col("url")).alias("key")
+            canonical_url(F.col("src_url")).alias("src"),
+            canonical_url(F.col("url")).alias("key"),
+            *(["url"] if as_written else []),
         )
         .distinct()
         .withColumn("host", url_netloc(F.col("key")))
@@ -45,12 +48,13 @@ def crawl_frontier(
     robots: DataFrame | None = None,
     keys: Sequence[str] = ("spider",),
     buckets: int | None = None,
+    accept: Accept | None = None,
 ) -> DataFrame:
     """Rows (keys, domain, key, depth): every canonical URL a spider reaches, at its least depth.
 
     ``seeds`` has ``keys``, domain, url; ``links`` src_url and url; two spiders are the same only if all ``keys`` are,
     so that many specifications may be worked at once. A spider stays on its domain and the domains below it,
-    and asks nothing that ``robots`` forbids.
+    and asks nothing that ``robots`` forbids; ``accept`` filters what a round has found, rows (keys, domain, key, url).
 
     The state of the iteration is stored in buckets: the edges by their source, and each layer by spider and key, as
     many buckets as there are shuffle partitions. A round deals out only its delta: the last layer by key, to meet
@@ -63,7 +67,7 @@ def crawl_frontier(
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if robots is not None:
         seeds, links = robots_filter(seeds, robots), robots_filter(links, robots)
-    thin = materialize(link_edges(links), "links")
+    thin = materialize(link_edges(links, accept is not None), "links")
     parts = materialize(source_parts(thin), "parts")
     placed = thin.join(parts, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)))
     edges = store_bucketed(placed.drop("parts"), "edges", ["src", "part"], buckets)
@@ -71,7 +75,7 @@ def crawl_frontier(
     layers = [store_bucketed(start.withColumn("depth", F.lit(0)), "layer", [*keys, "key"], buckets)]
     try:
         for depth in range(1, max_depth + 1):
-            layer = next_layer([t.rows for t in layers], edges.rows, parts, keys).withColumn("depth", F.lit(depth))
+            layer = next_layer([t.rows for t in layers], edges.rows, parts, keys, accept).withColumn("depth", F.lit(depth))
             layers.append(store_bucketed(layer, "layer", [*keys, "key"], buckets))
             if layers[-1].rows.isEmpty():
                 break
@@ -87,7 +91,9 @@ def source_parts(edges: DataFrame) -> DataFrame:
     return out.where("parts > 1")
 
 
-def next_layer(layers: Sequence[DataFrame], edges: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def next_layer(
+    layers: Sequence[DataFrame], edges: DataFrame, parts: DataFrame, keys: Sequence[str], accept: Accept | None = None
+) -> DataFrame:
     """What the last of ``layers`` leads to and none of them holds. Each layer is asked on its own, since a union
     would lose the buckets they are stored in."""
     asked = layers[-1].select(*keys, "domain", F.col("key").alias("src")).join(parts, "src", "left")
@@ -96,9 +102,8 @@ def next_layer(layers: Sequence[DataFrame], edges: DataFrame, parts: DataFrame,
         asked.select(*keys, "domain", "src", F.explode(each).alias("part"))
         .join(edges, ["src", "part"])
         .filter(host_in_domains(F.col("host"), F.array("domain")))
-        .select(*keys, "domain", "key")
-        .distinct()
     )
+    found = (accept(found) if accept else found).select(*keys, "domain", "key").distinct()
     for layer in layers:
         found = found.join(layer.select(*keys, "key"), [*keys, "key"], "left_anti")
     return found.select(*keys, "domain", "key")

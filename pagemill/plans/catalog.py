@@ -21,7 +21,8 @@ from pagemill.sinks.paragraph_csv import write_paragraph_csv
 from pagemill.sinks.raw_files import write_raw_files
 from pagemill.sources.paragraph_csv import csv_spiders, scan_paragraph_csv
 from pagemill.sources.raw_files import scan_raw_files
-from pagemill.sources.specs import overlay_specs, parse_specs
+from pagemill.sources.specs import overlay_specs, parse_specs, split_specs
+from pagemill.streaming import crawls as stream_crawl
 from pagemill.streaming import results as stream_out
 from pagemill.streaming import tasks as stream_in
 
@@ -146,6 +147,11 @@ def scan_specs(spark, sf_dir):
     return _flat_specs(_specs(spark, sf_dir))
 
 
+@query
+def reject_specs(spark, sf_dir):
+    return split_specs(fx.task_bodies(spark, sf_dir)).rejected.select("page_id", "reason")
+
+
 @query
 def overlay_specs_(spark, sf_dir):
     return _flat_specs(overlay_specs(_specs(spark, sf_dir), fx.patch_bodies(spark, sf_dir)))
@@ -751,6 +757,20 @@ def stream_results(spark, sf_dir):
     return read_results(spark, f"{path}/*")
 
 
+@query
+def task_crawl(spark, sf_dir):
+    """Tasks from specifications of pages, crawled as they arrive."""
+    tasks = fx.task_bodies(spark, sf_dir).select(
+        F.col("page_id").alias("msg_id"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit(False).alias("redelivered"), "body"
+    )
+    inbox, path = scratch_path(spark, "task-inbox"), scratch_path(spark, "task-crawl")
+    stream_in.send_tasks(tasks, inbox)
+    stream = stream_in.stream_tasks(spark, inbox, max_files=1000)
+    stream_crawl.stream_crawls(spark, stream, fx.td_pages(spark, sf_dir).drop("depth"), path, scratch_path(spark, "task-mark"), model(spark, sf_dir))
+    rows = spark.read.parquet(f"{path}/paragraphs")
+    return rows.select("spec", "spider", "page_id", "xp_idx", "pos", "content", "par_language", "page_language", "depth")
+
+
 @query
 def send_tasks(spark, sf_dir):
     bodies = stream_in.task_messages(_specs(spark, sf_dir))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.elements import parse_selector
 from pagemill.functions.text import decode_body
 from pagemill.functions.urls import canonical_url, url_netloc
 from pagemill.operators.export import (
@@ -20,7 +23,7 @@ from pagemill.operators.export import (
 from pagemill.operators.extension import Finalizer, run_finalizers
 from pagemill.operators.frontier import DEPTH_LIMIT, crawl_frontier
 from pagemill.operators.language import DISABLED, LanguageModel, parse_with_languages
-from pagemill.operators.links import LinkRules, allowed_links, extract_links
+from pagemill.operators.links import LinkRules, allowed_links, extract_links, regex_rule_join
 from pagemill.operators.numbering import raw_file_table
 from pagemill.operators.paragraphs import matched_type, parse_pages
 from pagemill.operators.spiders import seed_urls
@@ -69,7 +72,11 @@ def visit_pages(
     linking = _with_content_type(pages)
     linking = linking.filter(matched_type(F.col("content_type"), ["text/html"]).isNotNull())
     links = allowed_links(extract_links(linking), rules)
-    reached = crawl_frontier(spec_spiders(spark, spec), links, DEPTH_LIMIT, robots)
+    return _captured(crawl_frontier(spec_spiders(spark, spec), links, DEPTH_LIMIT, robots), pages)
+
+
+def _captured(reached: DataFrame, pages: DataFrame) -> DataFrame:
+    """The latest capture of each URL that is reached."""
     captures = (
         pages.select(canonical_url(F.col("url")).alias("key"), "page_id", F.col("url").alias("url"))
         .groupBy("key")
@@ -116,6 +123,92 @@ def run_crawl(
     return CrawlResult(spec, visits, materialize(rows.join(places, "page_id"), "items"))
 
 
+@dataclass(frozen=True)
+class CrawlsResult:
+    """Of many specifications: ``visits`` and ``paragraphs`` or ``raw`` files with spec and spider; ``rejected`` has the names of
+    those that can't be run, with the reason."""
+
+    visits: DataFrame
+    paragraphs: DataFrame
+    raw: DataFrame
+    rejected: DataFrame
+
+
+PARAGRAPH_ITEMS = (
+    "spec string, spider string, page_id long, url string, xp_idx int, pos int, origin string, content string, par_language string, "
+    "page_language string, depth int"
+)
+RAW_ITEMS = "spec string, spider string, filename string, url string, content string"
+
+
+def runnable(specs: DataFrame, model: LanguageModel | None) -> tuple[DataFrame, DataFrame]:
+    """The specifications that can be run, and (name, reason) of the others. Distinct selectors come to the driver."""
+    listed = specs.where(F.col("parser") == PARAGRAPH_PARSER).select(F.explode("parser_data.xpaths").alias("x")).distinct()
+    unknown = []
+    for row in listed.collect():
+        try:
+            parse_selector(row.x or "")
+        except ValueError:
+            unknown.append(row.x)
+    paragraph, data = F.col("parser") == PARAGRAPH_PARSER, F.col("parser_data")
+    odd = F.exists(data["xpaths"], lambda x: x.isNull() | x.isin(*[x for x in unknown if x is not None]))
+    scored = ~F.array_contains(data["allowed_languages"], DISABLED)
+    reason = (
+        F.when(~F.coalesce(F.col("parser").isin(PARAGRAPH_PARSER, RAW_PARSER), F.lit(False)), "unknown parser")
+        .when(paragraph & odd, "unsupported selector")
+        .when(paragraph & scored & F.lit(model is None), "no language model")
+    )
+    judged = specs.withColumn("reason", reason)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("name", "reason")
+
+
+def run_crawls(
+    spark: SparkSession,
+    specs: DataFrame,
+    pages: DataFrame,
+    model: LanguageModel | None = None,
+    robots: DataFrame | None = None,
+) -> CrawlsResult:
+    """Many specifications at once, each as :func:`run_crawl` does it; their names are distinct.
+
+    Links are extracted once; one frontier serves all spiders, whose keys include the specification, and tests what a
+    round has found against the rules of its own specification. Pages are parsed once for each distinct setting
+    of the parser (selectors and languages), however many specifications share it.
+    """
+    pages = _with_content_type(pages)
+    specs, rejected = runnable(materialize(specs, "specs"), model)
+    linking = pages.filter(matched_type(F.col("content_type"), ["text/html"]).isNotNull())
+    links = allowed_links(extract_links(linking), LinkRules())
+
+    def accept(found: DataFrame) -> DataFrame:
+        return regex_rule_join(found, specs).where("reason is null")
+
+    reached = crawl_frontier(seed_urls(specs), links, DEPTH_LIMIT, robots, ("spec", "spider"), accept=accept)
+    visits = materialize(_captured(reached, pages), "visits")
+    onsite = visits.filter(url_netloc(F.col("url")) == F.col("domain")).select("page_id", "spec", "spider", "depth")
+
+    paragraphs = spark.createDataFrame([], PARAGRAPH_ITEMS)
+    data = F.col("parser_data")
+    fields = ("xpaths", "allowed_languages", "keep_langdetect_errors")
+    settings = specs.where(F.col("parser") == PARAGRAPH_PARSER).select(*[data[f].alias(f) for f in fields], F.col("name").alias("spec"))
+    for s in settings.select(*fields).distinct().collect():
+        same = [F.col("xpaths") == F.array(*map(F.lit, s.xpaths)).cast("array<string>"), F.col("allowed_languages") == F.array(*map(F.lit, s.allowed_languages)).cast("array<string>")]
+        own = settings.where(reduce(and_, same) & (F.col("keep_langdetect_errors") == F.lit(s.keep_langdetect_errors)))
+        places = onsite.join(own.select("spec"), "spec")
+        wanted = linking.join(places.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "url", "html")
+        parsed = materialize(parse_pages(wanted, list(s.xpaths)), "parsed")
+        rows = parse_with_languages(parsed, model, tuple(s.allowed_languages), s.keep_langdetect_errors)
+        paragraphs = paragraphs.unionByName(rows.join(places, "page_id").select(*paragraphs.columns))
+
+    raw = specs.where(F.col("parser") == RAW_PARSER).select(F.col("name").alias("spec"), data["allowed_content_type"].alias("_types"))
+    kinds = pages.select("page_id", "url", F.lower(F.coalesce("content_type", F.lit(""))).alias("_kind"))
+    owners = onsite.join(raw, "spec").join(kinds, "page_id").where(F.exists("_types", lambda t: F.contains(F.col("_kind"), t)))
+    bodies = pages.select("page_id", "url", F.col("html").alias("content"))
+    files = raw_file_table(bodies, owners.select("spec", "spider", "page_id", "url"), ("spec", "spider"))
+    columns = [c.split()[0] for c in RAW_ITEMS.split(", ")]
+    return CrawlsResult(visits, materialize(paragraphs, "paragraphs"), materialize(files.select(*columns), "files"), rejected)
+
+
 def write_items(result: CrawlResult, path: str | None = None) -> None:
     """Run the specification's pipelines in order of priority on the items. A spider that found nothing
     has a CSV with the header alone."""

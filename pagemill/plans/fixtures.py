@@ -225,6 +225,22 @@ def spec_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def task_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph specifications of pages, now and then damaged: cut off, in a list, with a text for a list, without a
+    name, or blank."""
+    kind = F.col("page_id") % 7
+    body = F.col("body")
+    damaged = (
+        F.when(kind == 1, F.substr(body, F.lit(1), F.length(body) - 1))
+        .when(kind == 2, F.concat(F.lit("["), body, F.lit("]")))
+        .when(kind == 3, F.replace(body, F.lit('"urls":['), F.lit('"urls":"","other":[')))
+        .when(kind == 4, F.replace(body, F.lit('"name":'), F.lit('"title":')))
+        .when(kind == 5, F.lit("  "))
+        .otherwise(body)
+    )
+    return spec_bodies(spark, sf_dir).where("page_id % 4 <> 1").select("page_id", damaged.alias("body"))
+
+
 def patch_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every third page a patch of its specification, some fields of it empty."""
     page = F.col("page_id").cast("string")

@@ -433,6 +433,17 @@ def _elements() -> str:
         select page_id, {without_tags(f"regexp_extract(v, {lit(ad)}, 1)")} t from x_vis) where t <> ''"""
 
 
+def _task_crawl() -> str:
+    """Paragraphs of the start pages of the undamaged specifications, languages as each kind asks for them."""
+    head = f"select 'crawl-' || p.page_id spec, {filename('p.url')} spider, p.page_id, p.xp_idx, p.pos, p.content"
+    mine = "p.page_id % 7 in (0, 6) and p.page_id % 4 ="
+    return f"""select *, cast(0 as integer) as depth from (
+      {head}, p.par_language, l.langs page_language from x_partagged p join x_pagelangs l using (page_id) where {mine} 0
+      union all {head}, p.par_language, a.lang from x_partagged p join x_pageprob a using (page_id)
+        where {mine} 2 and a.prob > 0.5 and a.lang in ('de', 'en')
+      union all {head}, null, null from x_par p where {mine} 3)"""
+
+
 def _tasks(where: str) -> str:
     return f"""select event_id msg_id, event_id % 13 = 0 redelivered,
       '{{"name":"task-' || event_id || '","urls":["http://example.com/' || user_id || '"]}}' body from events {where}"""
@@ -594,6 +605,10 @@ def _bodies() -> dict[str, str]:
         "stream_tasks": _tasks("") + " union all " + _tasks("where event_id % 20 = 0"),
         "drop_redelivered": f"select msg_id, body from ({_tasks('')}) where not redelivered",
         "stream_parse": _stream_rows(),
+        "task_crawl": _task_crawl(),
+        "reject_specs": """select page_id, case page_id % 7 when 1 then 'not JSON' when 2 then 'not an object'
+            when 3 then 'field of another type' when 4 then 'no name' else 'empty' end reason
+          from pages where page_id % 4 <> 1 and page_id % 7 between 1 and 5""",
         "stream_results": _stream_messages(),
         "send_tasks": f"select {SPEC_COLUMNS} from x_specs",
         "register_parser": _registered(),

@@ -60,12 +60,13 @@ def parser_defaults(data: Column) -> Column:
     return F.struct(*[F.coalesce(data[f], d).alias(f) for f, d in defaults.items()])
 
 
-def with_defaults(specs: DataFrame) -> DataFrame:
-    """Missing lists and maps become empty, missing parser data takes the parsers' defaults."""
+def with_defaults(specs: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """Missing lists and maps become empty, missing parser data takes the parsers' defaults. ``others`` stay as they are."""
     empty_list = F.array().cast("array<string>")
     empty_map = {f: F.create_map().cast(SPEC_SCHEMA[f].dataType) for f in MAP_FIELDS}
     data = F.col("parser_data")
     return specs.select(
+        *others,
         *TEXT_FIELDS[:3],
         *[F.coalesce(f, empty_list).alias(f) for f in LIST_FIELDS],
         "parser",
@@ -79,14 +80,52 @@ def parse_patches(bodies: DataFrame, body: str = "body") -> DataFrame:
     return bodies.select(F.from_json(body, SPEC_SCHEMA).alias("s")).select("s.*")
 
 
+@dataclass(frozen=True)
+class SplitSpecs:
+    """``accepted``: other columns and the specification's, with defaults; ``rejected``: other columns, body, reason."""
+
+    accepted: DataFrame
+    rejected: DataFrame
+
+
+def split_specs(bodies: DataFrame, body: str = "body") -> SplitSpecs:
+    """JSON text column to specifications, apart from what is none: an empty text, not JSON, no object, with a field
+    of another type than it should have, or without a name. So nothing unreadable becomes an empty crawl."""
+    others = [c for c in bodies.columns if c != body]
+    told = T.StructType([*SPEC_SCHEMA, T.StructField("_corrupt", T.StringType())])
+    parsed = bodies.select(
+        *others,
+        F.col(body).alias("_body"),
+        F.from_json(body, told, {"columnNameOfCorruptRecord": "_corrupt"}).alias("_spec"),
+        F.schema_of_variant(F.try_parse_json(body)).alias("_kind"),
+    )
+    reason = (
+        F.when(F.coalesce(F.trim("_body"), F.lit("")) == "", "empty")
+        .when(F.col("_kind").isNull(), "not JSON")
+        .when(~F.col("_kind").startswith("OBJECT"), "not an object")
+        .when(F.col("_spec._corrupt").isNotNull(), "field of another type")
+        .when(F.coalesce("_spec.name", F.lit("")) == "", "no name")
+    )
+    judged = parsed.withColumn("_reason", reason)
+    good = judged.where("_reason is null").select(*others, *[F.col(f"_spec.{f}").alias(f) for f in SPEC_SCHEMA.names])
+    bad = judged.where("_reason is not null").select(*others, F.col("_body").alias(body), F.col("_reason").alias("reason"))
+    return SplitSpecs(with_defaults(good, others), bad)
+
+
 def parse_specs(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """JSON text column to specification columns with defaults; other columns are dropped."""
-    return with_defaults(bodies.select(F.from_json(body, SPEC_SCHEMA).alias("s")).select("s.*"))
+    """The readable specifications of a JSON text column, with defaults; other columns are dropped."""
+    return split_specs(bodies.select(body), body).accepted
+
+
+def split_spec_files(spark: SparkSession, path: str) -> SplitSpecs:
+    """Specification files, one JSON object per file, with the ``file`` of each."""
+    texts = spark.read.text(path, wholetext=True)
+    return split_specs(texts.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body")))
 
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
-    """Specification files, one JSON object per file."""
-    return with_defaults(spark.read.schema(SPEC_SCHEMA).option("multiLine", True).json(path))
+    """The readable specification files."""
+    return split_spec_files(spark, path).accepted.drop("file")
 
 
 def overlay_specs(base: DataFrame, patch: DataFrame) -> DataFrame:

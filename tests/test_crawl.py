@@ -10,7 +10,7 @@ from pagemill.plans import crawl as C
 from pagemill.plans import fixtures as fx
 from pagemill.sources.paragraph_csv import csv_spiders, scan_paragraph_csv
 from pagemill.sources.raw_files import scan_raw_files
-from pagemill.sources.specs import load_spec
+from pagemill.sources.specs import load_spec, parse_specs
 
 EN = "the house is on the hill and there is nothing that they are doing with this"
 FR = "la maison est dans la rue avec les enfants qui sont pour une autre et des"
@@ -139,3 +139,26 @@ def test_extension_surface(spark):
     assert run_pipelines(df, {"double": 9, "add": 1}, steps).agg(F.sum("page_id")).first()[0] == 28
     done = run_finalizers(df, "spec", {"f": {"n": "2"}}, {"f": lambda d, s, data: d.limit(int(data["n"]))})
     assert done["f"].count() == 2
+
+
+def test_many_specifications_equal_each_alone(spark, site, model):
+    changes = [
+        {"parser_data": {"allowed_languages": ["disabled"]}},
+        {"parser_data": {"allowed_languages": ["any"], "xpaths": ["//p", "//a[@href='/a']"]}},
+        {"whitelist": ["/a$"], "parser_data": {"allowed_languages": ["any"], "xpaths": ["//p", "//a[@href='/a']"]}},
+        {"urls": ["http://h.org/", "http://nobody.org/"], "parser": "parsers.RawParser"},
+        {"parser": "parsers.Unknown"},
+        {"parser_data": {"allowed_languages": ["any"], "xpaths": ["p[1]"]}},
+    ]
+    base = {"name": "x", "urls": ["http://h.org/"], "parser": "parsers.ParagraphParser"}
+    bodies = [json.dumps({**base, **c, "name": f"s{k}"}) for k, c in enumerate(changes)]
+    specs = parse_specs(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    done = C.run_crawls(spark, specs, site, model)
+    assert {(r.name, r.reason) for r in done.rejected.collect()} == {("s4", "unknown parser"), ("s5", "unsupported selector")}
+    for k in range(4):
+        alone = C.run_crawl(spark, load_spec(spark, bodies[k]), site, model)
+        own = done.visits.where(f"spec = 's{k}'")
+        assert {tuple(r) for r in alone.visits.select("spider", "page_id", "depth").collect()} == {tuple(r) for r in own.select("spider", "page_id", "depth").collect()}
+        items, columns = (done.raw, ("spider", "filename", "content")) if k == 3 else (done.paragraphs, ("spider", "page_id", "xp_idx", "pos", "content", "par_language", "page_language"))
+        got = sorted((tuple(r) for r in items.where(f"spec = 's{k}'").select(*columns).collect()), key=repr)
+        assert got and got == sorted((tuple(r) for r in alone.items.select(*columns).collect()), key=repr)

@@ -9,7 +9,7 @@ from pagemill.sinks.raw_files import write_raw_files
 from pagemill.sources.pages import bucket_pages, scan_pages
 from pagemill.sources.paragraph_csv import scan_csv_files, scan_paragraph_csv
 from pagemill.sources.raw_files import scan_raw_files
-from pagemill.sources.specs import load_spec, overlay_specs, parse_patches, parse_specs, read_specs
+from pagemill.sources.specs import load_spec, overlay_specs, parse_patches, parse_specs, read_specs, split_spec_files, split_specs
 
 ROWS = (
     "spider string, page_id long, xp_idx int, pos int, url string, content string, "
@@ -123,3 +123,22 @@ def test_bucketed_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     table = bucket_pages(pages, "bucketed_pages_storage", 8)
     assert table.exceptAll(pages).count() == 0 and table.count() == pages.count()
+
+
+def test_what_is_no_specification_is_rejected_with_its_reason(spark, tmp_path):
+    bodies = {
+        '{"name": "a", oops': "not JSON", '{"name": "a"': "not JSON", "[1]": "not an object", "3": "not an object", "null": "not an object",
+        '{"name": "a", "urls": "x"}': "field of another type", '{"name": "a", "pipelines": {"p": "high"}}': "field of another type",
+        '{"urls": []}': "no name", '{"name": ""}': "no name", " ": "empty", None: "empty",
+        '{"name": "b", "more": 1}': None, ' {"name": "c"} ': None,
+    }
+    df = spark.createDataFrame([(k, b, "x") for k, b in enumerate(bodies)], "k int, body string, reason string").drop("reason")
+    split = split_specs(df)
+    assert {r.body: r.reason for r in split.rejected.collect()} == {b: r for b, r in bodies.items() if r}
+    assert sorted((r.k, r.name) for r in split.accepted.collect()) == [(11, "b"), (12, "c")]
+    (tmp_path / "good.json").write_text('{\n "name": "a",\n "urls": ["http://h"]\n}')
+    (tmp_path / "bad.json").write_text('{"name": "a", oops')
+    files = split_spec_files(spark, str(tmp_path))
+    assert [(r.name, r.file.endswith("good.json")) for r in files.accepted.collect()] == [("a", True)]
+    assert [(r.reason, r.file.endswith("bad.json")) for r in files.rejected.collect()] == [("not JSON", True)]
+    assert [r.name for r in read_specs(spark, str(tmp_path)).collect()] == ["a"]

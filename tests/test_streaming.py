@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pagemill.operators import export
 from pagemill.operators.paragraphs import extract_paragraphs
 from pagemill.sinks.messages import read_results
+from pagemill.streaming import crawls
 from pagemill.streaming import results as R
 from pagemill.streaming import tasks as T
 
@@ -54,3 +55,41 @@ def test_stream_equals_batch_and_replayed_batches_count_once(spark, sf_dir, tmp_
     R.stream_results(R.stream_parse(stream, ["//p"]), sent, str(tmp_path / "m2"), to_messages)
     again = read_results(spark, f"{sent}/*").collect()
     assert len(again) == 3 and sum(len(m.data) for m in again) == sum(len(m.data) for m in first)
+
+
+def test_tasks_drive_crawls(spark, tmp_path):
+    """Two batches of tasks: rows of good ones, reasons for the others, and the same again when the batches are replayed."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    pages = spark.createDataFrame(
+        [(1, "http://h.org/", "<p>start<a href=/a>a</a><a href=/no>no</a>"), (2, "http://h.org/a", "<p>second"), (3, "http://h.org/no", "<p>third"), (4, "http://i.org/", "<p>other")],
+        "page_id long, url string, html string",
+    )
+    body = '{"name":"%s","urls":["http://h.org/"],"parser":"parsers.ParagraphParser","parser_data":{"allowed_languages":["disabled"]%s}%s}'
+    raw = '{"name":"r","urls":["http://i.org/"],"parser":"parsers.RawParser"}'
+    first = [(1, "2024-01-01", False, body % ("a", "", ',"blacklist":["/no$"]')), (2, "2024-01-01", False, "{oops"), (3, "2024-01-01", True, body % ("lost", "", ""))]
+    first += [(4, "2024-01-01", False, body % ("b", "", "")), (5, "2024-01-01", False, body % ("b", ',"xpaths":["//a"]', "")), (6, "2024-01-01", False, raw)]
+    task_file(spark, src, first)
+    spark.createDataFrame([("no message at all",)], "value string").write.mode("append").text(src)
+    tasks = lambda: T.stream_tasks(spark, src, 1000)
+    crawls.stream_crawls(spark, tasks(), pages, out, str(tmp_path / "m"))
+
+    def rows():
+        found = spark.read.parquet(f"{out}/paragraphs").collect()
+        refused = spark.read.parquet(f"{out}/rejected").collect()
+        files = spark.read.parquet(f"{out}/raw").collect()
+        return (
+            sorted((r.spec, r.url, r.content, r.depth) for r in found),
+            sorted((r.msg_id or 0, r.reason) for r in refused),
+            [(r.spec, r.spider, r.filename) for r in files],
+        )
+
+    start = [("http://h.org/", "startano", 0), ("http://h.org/a", "second", 1)]
+    items, refused, files = rows()
+    assert items == sorted([("a", *r) for r in start] + [("b", "http://h.org/", t, 0) for t in ("a", "no")])
+    assert refused == [(0, "malformed message"), (2, "not JSON"), (4, "superseded")]
+    assert files == [("r", "i.org_", "_index.html")]
+    task_file(spark, src, [(7, "2024-01-02", False, body % ("c", "", "")), (1, "2024-01-02", False, body % ("a", "", "")), (8, "2024-01-02", False, '{"name":"d"}')])
+    crawls.stream_crawls(spark, tasks(), pages, out, str(tmp_path / "m"))
+    items, refused, _ = rows()
+    assert [r for r in items if r[0] == "c"] == sorted([("c", *r) for r in start] + [("c", "http://h.org/no", "third", 1)])
+    assert (8, "unknown parser") in refused and len([r for r in items if r[0] == "a"]) == 2
