@@ -87,12 +87,12 @@ def attributes_of(tag: str) -> dict[str, str]:
     return out
 
 
-class _Open:
+class OpenElements:
     """The open elements of a page. Places of each tag are kept, so no search walks over them."""
 
     def __init__(self):
         self.tags: list[str] = []
-        self.kept: list[tuple] = []  # of each: steps met, steps met by elements around, rows of the result to end
+        self.kept: list[tuple] = []  # what the caller keeps with each; ``cut`` needs rows of its result to end last
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
 
@@ -118,23 +118,32 @@ class _Open:
             self.places[tag].pop()
             if tag in BLOCKS:
                 self.blocks.pop()
-            for row in self.kept.pop()[2]:
+            for row in self.kept.pop()[-1]:
                 out[row] = number
 
 
-def _end_implied(tag: str, opened: _Open, number: int, out: list[int]) -> None:
-    """What the start of ``tag`` ends."""
+def ended_by_start(tag: str, opened: OpenElements) -> int:
+    """Place from which the start of ``tag`` ends all open elements; as many as are open: none."""
+    from_here = len(opened.tags)
     if tag in IMPLIED_ENDS:
         ends, scope = IMPLIED_ENDS[tag]
         place = opened.first_above(ends, opened.innermost(scope))
-        if place >= 0:
-            opened.cut(place, number, out)
+        from_here = place if place >= 0 else from_here
     if tag in HEADINGS and opened.blocks and opened.tags[opened.blocks[-1]] in HEADINGS:
-        opened.cut(opened.blocks[-1], number, out)
+        from_here = min(from_here, opened.blocks[-1])
     if tag in _P_ENDS and opened.places.get("p"):
         place = opened.first_above(("p",), opened.innermost(CELLS))
-        if place >= 0:
-            opened.cut(place, number, out)
+        from_here = min(from_here, place) if place >= 0 else from_here
+    return from_here
+
+
+def ended_by_end(tag: str, opened: OpenElements) -> int:
+    """The same of an end tag: an unknown one, or one out of its scope, ends nothing."""
+    if tag in BLOCKS:
+        place, floor = opened.innermost(HEADINGS if tag in HEADINGS else (tag,)), opened.innermost(END_SCOPE.get(tag, CELLS))
+    else:
+        place, floor = opened.innermost((tag,)), opened.blocks[-1] if opened.blocks else -1
+    return place if place > floor else len(opened.tags)
 
 
 _P_ENDS = frozenset(PARAGRAPH_CLOSERS)
@@ -143,7 +152,7 @@ _P_ENDS = frozenset(PARAGRAPH_CLOSERS)
 def intervals(tags: Sequence[str | None], selectors: Sequence[Sequence[Step]]) -> list[int]:
     """selector, position, first tag and last tag of each element that a selector finds, one after another, by
     selector and in document order. An open element ends with the page."""
-    opened, found = _Open(), [[] for _ in selectors]
+    opened, found = OpenElements(), [[] for _ in selectors]
     ends: list[int] = []  # last tag of each found element
     tested = {s.tag for steps in selectors for s in steps if s.tests}
     asks_all = "*" in tested
@@ -151,16 +160,10 @@ def intervals(tags: Sequence[str | None], selectors: Sequence[Sequence[Step]]) -
         if not raw or raw[1:2] in "!?":
             continue
         if raw[1] == "/":
-            tag = raw[2:].lower()
-            if tag in BLOCKS:
-                place, floor = opened.innermost(HEADINGS if tag in HEADINGS else (tag,)), opened.innermost(END_SCOPE.get(tag, CELLS))
-            else:
-                place, floor = opened.innermost((tag,)), opened.blocks[-1] if opened.blocks else -1
-            if place > floor:
-                opened.cut(place, number, ends)
+            opened.cut(ended_by_end(raw[2:].lower(), opened), number, ends)
             continue
         tag = re.match(NAME_PATTERN, raw)[0][1:].lower()
-        _end_implied(tag, opened, number, ends)
+        opened.cut(ended_by_start(tag, opened), number, ends)
         attributes = attributes_of(raw) if asks_all or tag in tested else {}
         met, around, rows = [], [], []
         for k, steps in enumerate(selectors):
