@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 from html import unescape
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import chat, classifier, html_extract, queries, url_filter
@@ -230,5 +232,47 @@ def test_html_named_wrappers_are_read_by_what_they_hold(spark):
 
 
 def test_html_named_inline_elements_do_not_cut_a_paragraph():
-    found = html_extract.blocks("<body><p>one <span class=ad>buy</span> two<span class=share>x</span>, three</p></body>")
+    found = html_extract.parse("<body><p>one <span class=ad>buy</span> two<span class=share>x</span>, three</p></body>").blocks
     assert [b[1] for b in found] == ["one two, three"]
+
+
+def one_page(html):
+    return [b[1] for b in html_extract.parse(html).blocks]
+
+
+def test_html_broken_quotes_leave_no_markup():
+    assert one_page("<p>Hello world.</p><a href='x>link</a><p>Second para.</p>") == ["Hello world.", "link", "Second para."]
+    assert one_page('<p class="a>one</p><p title=\'b>two</p><p>three 5 < 6 <3') == ["one", "two", "three 5 < 6 <3"]
+    assert one_page('<p title="a > b" data-x=\'<i>no</i>\'>yes</p><p don\'t>we</p><p>can\'t "stop"') == ["yes", "we", 'can\'t "stop"']
+    assert one_page('<p title="the hidden gem">kept</p><p hidden>gone</p><p>end<a href="open') == ["kept", "end"]
+
+
+def test_html_words_in_the_class_of_a_paragraph():
+    words = "<p>running words of the story, many of them</p>" * 3
+    found = one_page(f'<article>{words}<p class="hidden-gem">A gem of a place.</p><p id="search">How to search.</p><h2 class="comments-on-life">Life</h2><p class="ad">Buy</p></article>')
+    assert found[3:] == ["A gem of a place.", "How to search.", "Life"]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>x" * 100_000,
+        "<b>x" * 100_000,
+        "<a b " * 100_000 + '"',
+        "<p class='" * 50_001,
+        "<div class=sidebar>x" * 50_000,
+        "<p>" + "<span class=ad>x</span>y" * 50_000,
+        "</div></b></p>" * 50_000,
+        "<td>x<p>y" * 50_000,
+        "<h2>a" * 50_000 + "<article>" * 1000,
+        "<p>" + "word " * 2_000_000,
+        "<a href='x>" * 30_000 + "<p>t",
+    ],
+    ids=range(11),
+)
+def test_html_time_is_linear(html):
+    started = time.perf_counter()
+    page = html_extract.parse(html)
+    html_extract.scores(page)
+    html_extract.path_ids(page)
+    assert time.perf_counter() - started < 8
