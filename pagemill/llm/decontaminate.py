@@ -9,6 +9,7 @@ hide it. Shingles are five words; an item of fewer words is one shingle.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
 
@@ -226,36 +227,49 @@ def contaminations(docs: DataFrame, items: DataFrame, rule: Match = Match(), doc
     their rows; a null doc_id or item_id stays null.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows, result = items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")), None
+    result = None
+    for block in _blocks(items, rule, item_id, item_text):
+        own = _scan(named, block, rule)
+        result = own if result is None else result.unionByName(own)
+    return result
+
+
+def _blocks(items: DataFrame, rule: Match, item_id: str, item_text: str) -> Iterator[Items]:
+    """The items in blocks, with weights counted over all of them; one empty block if there are none."""
+    rows = items.select(F.col(item_id).cast("long"), F.col(item_text).cast("string"))
     every = [(r[0], r[1] or "") for r in rows.toLocalIterator()]
     weights = shingle_weights(every, rule)
     for first in range(0, max(len(every), 1), rule.block_items):
-        own = _scan(named, compile_items(every[first : first + rule.block_items], rule, weights), rule)
-        result = own if result is None else result.unionByName(own)
-    return result
+        yield compile_items(every[first : first + rule.block_items], rule, weights)
+
+
+def _matches(texts: pa.Array, items: Items, rule: Match) -> Iterator[tuple[int, dict[int, tuple[float, int]]]]:
+    """Rows of a batch with the items each meets: similarity and first word of the best window."""
+    has_short = bool((items.n_words < rule.width).any())
+    for first, w, counts, starts, h, at in shingles_of(texts, rule.width):
+        maybe = np.flatnonzero(items.filter[(h % U(_FILTER)).astype(np.int64)])
+        if len(maybe):
+            place = np.searchsorted(items.vocabulary, h[maybe])
+            maybe = maybe[items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] == h[maybe]]
+        row_of = w.row[at]
+        rows = set(np.unique(row_of[maybe]).tolist())
+        for row in sorted(rows | set(range(len(counts))) if has_short else rows):
+            a, b = np.searchsorted(row_of, [row, row + 1])
+            found = search(h[a:b], int(counts[row]), maybe[(maybe >= a) & (maybe < b)] - a, items, rule) if row in rows else {}
+            if has_short:
+                found |= _short_items(w, counts, starts, row, items, rule)
+            if found:
+                yield first + row, found
 
 
 def _scan(docs: DataFrame, items: Items, rule: Match) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    has_short = bool((items.n_words < rule.width).any())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items = shared.value
-        ids = batch.column(0).to_pylist()
+        items, ids = shared.value, batch.column(0).to_pylist()
         out: list[tuple] = []
-        for first, w, counts, starts, h, at in shingles_of(batch.column(1), rule.width):
-            maybe = np.flatnonzero(items.filter[(h % U(_FILTER)).astype(np.int64)])
-            if len(maybe):
-                place = np.searchsorted(items.vocabulary, h[maybe])
-                maybe = maybe[items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] == h[maybe]]
-            row_of = w.row[at]
-            rows = set(np.unique(row_of[maybe]).tolist())
-            for row in sorted(rows | set(range(len(counts))) if has_short else rows):
-                a, b = np.searchsorted(row_of, [row, row + 1])
-                found = search(h[a:b], int(counts[row]), maybe[(maybe >= a) & (maybe < b)] - a, items, rule) if row in rows else {}
-                if has_short:
-                    found |= _short_items(w, counts, starts, row, items, rule)
-                out += [(ids[first + row], items.ids[k], s, start, int(items.n_words[k])) for k, (s, start) in found.items()]
+        for row, found in _matches(batch.column(1), items, rule):
+            out += [(ids[row], items.ids[k], s, start, int(items.n_words[k])) for k, (s, start) in found.items()]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         columns = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -263,9 +277,19 @@ def _scan(docs: DataFrame, items: Items, rule: Match) -> DataFrame:
     return map_batches(docs, run, RESULT)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, rule: Match = Match()) -> DataFrame:
-    """The rows of ``docs`` that meet no item, with all their columns. Rows with a null doc_id stay."""
-    met = contaminations(docs, items, rule).select("doc_id").distinct()
-    return docs.join(met, "doc_id", "left_anti").select(*docs.columns)
+def decontaminated(docs: DataFrame, items: DataFrame, rule: Match = Match(), text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that meet no item, with all their columns. The verdict is made row by row in the scan, one scan
+    after the other for the blocks of items; no join brings it back, so nulls and repeated ids don't matter and no
+    text is shuffled. Null and wordless texts stay."""
+    names, left = docs.columns, docs
+    for block in _blocks(items, rule, "item_id", "text"):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
+        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[row for row, _ in _matches(batch.column(len(names)), shared.value, rule)]] = False
+            rest = batch.select(list(range(len(names)))).filter(pa.array(keep))
+            return rest if rest.num_rows else None
 
+        left = map_batches(left.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("string").alias("_text")), run, docs.schema)
+    return left

@@ -113,20 +113,28 @@ def mix(
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with all their columns; the row at a budget's
-    limit has only its first words, with the white space between them."""
-    plan = mix(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "copies", "part"
-    )
-    same = Window.partitionBy("_id", "_content").orderBy(F.desc("copies"), F.desc("part"))
-    plan = plan.withColumn("_nth", F.row_number().over(same)).where("copies > 0 or part > 0")
-    content = F.xxhash64("text", "source")
-    nth = Window.partitionBy("doc_id", content).orderBy("text")
-    rows = docs.withColumn("_nth_row", F.row_number().over(nth)).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (content == F.col("_content")) & (F.col("_nth_row") == F.col("_nth"))
-    )
-    pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    cut = F.when(F.col("_copy") < F.col("copies"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), ""))
+    """The rows of ``docs`` as often as the mix takes them, with all their columns, whatever their names; the row at a
+    budget's limit has only its first words, with the white space between them.
+
+    Nulls and sizes of 0 are as in :func:`mix`. Rows that share id and content with another take turns at their copies, in an
+    order of their own; only these are numbered, all others meet their copies by id and content alone.
+    """
+    plan = mix(docs, **options).select(F.col("doc_id").alias("id"), "content", "copies", "part")
+    same = Window.partitionBy("id", "content")
+    plan = plan.withColumn("nth", F.row_number().over(same.orderBy(F.desc("copies"), F.desc("part")))).withColumn("n", F.count(F.lit(1)).over(same))
+    plan = plan.select(F.col("id").alias("to"), F.col("content").alias("said"), "nth", "n", "copies", "part").where("copies > 0 or part > 0")
+    plan = materialize(plan, "copies")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text", "source").alias("content"), whole)
+    key = F.col("id").eqNullSafe(F.col("to")) & (F.col("content") == F.col("said"))
+    alone = rows.join(plan.where("n = 1"), key).select("row", "copies", "part")
+    several = plan.where("n > 1")
+    among = rows.join(several.select("to", "said").distinct(), key, "left_semi")
+    among = among.withColumn("place", F.row_number().over(Window.partitionBy("id", "content").orderBy(F.xxhash64("row"))))
+    met = among.join(several, key & (F.col("place") == F.col("nth"))).select("row", "copies", "part")
     total = (F.col("copies") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), total - 1)))
-    return rows.withColumn("text", cut).select(*docs.columns)
+    each = alone.unionByName(met).select("row", "copies", "part", F.explode(F.sequence(F.lit(0), total - 1)).alias("copy"))
+    text = F.col("row")["text"]
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    cut = F.when(F.col("copy") < F.col("copies"), text).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), ""))
+    return each.select(*[(cut if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

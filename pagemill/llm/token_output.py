@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.arrow import forget, remembered, row_groups, text_bytes
@@ -36,13 +36,16 @@ JOINED = 50
 
 
 class Layout(NamedTuple):
-    """``tokenizer``: a file of the tokenizers library. ``cached``: pieces of text that a task remembers."""
+    """``tokenizer``: a file of the tokenizers library. ``cached``: pieces of text that a task remembers.
+    ``literal_specials``: strings of special tokens in a text are ordinary text, so that web text can't write control
+    tokens; by default they are special tokens, as the library has it."""
 
     tokenizer: str
     end_id: int = 2
     length: int = 2048
     batch: int = 64
     cached: int = 400_000
+    literal_specials: bool = False
 
 
 class Encoder:
@@ -50,7 +53,8 @@ class Encoder:
 
     A byte-level tokenizer without normalizer cuts its texts before the last white space of a run, whatever
     else a text holds: the ids of the parts, put together, are the ids of the text. So each distinct part
-    of a group of texts is encoded once. Other tokenizers get the texts as they are.
+    of a group of texts is encoded once. Texts that hold an added token, at which the library cuts first, and those for
+    other tokenizers are given to it as they are.
     """
 
     # What may follow a white space at a cut: not white space, nor a first byte of one beyond ASCII.
@@ -62,7 +66,7 @@ class Encoder:
 
         self.layout = layout
         self.tokenizer = Tokenizer.from_file(layout.tokenizer)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = layout.literal_specials
         with open(layout.tokenizer) as f:
             told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
@@ -72,6 +76,8 @@ class Encoder:
             and not pre.get("add_prefix_space")
             and not told.get("normalizer")
         )
+        added = told.get("added_tokens") or []
+        self.added = [t["content"].encode() for t in added if t["content"] and not (layout.literal_specials and t.get("special"))]
         self.known: dict[int, tuple[int, ...]] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         top = max(max(vocabulary.values()), layout.end_id)
@@ -100,8 +106,36 @@ class Encoder:
             raise ValueError("the tokenizer joins what this encoder cuts")
         return flat, np.diff(ends, prepend=0)
 
+    def _with_added(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Whether each row holds the string of an added token."""
+        out = np.zeros(len(offsets) - 1, bool)
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                out[row] |= at + len(token) <= offsets[row + 1]
+                at = raw.find(token, at + 1 if not out[row] else int(offsets[row + 1]))
+        return out
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after the other, the end id behind each, and how many each row has."""
+        raw = data.tobytes()
+        odd = self._with_added(raw, offsets) if self.cuts else np.zeros(len(offsets) - 1, bool)
+        if not odd.any():
+            return self._ids(data, offsets)
+        lengths = np.diff(offsets)
+        rest = data[~np.repeat(odd, lengths)]
+        flat, n_rest = self._ids(rest, np.concatenate([[0], np.cumsum(lengths[~odd])]))
+        whole = self._encode([raw[offsets[k] : offsets[k + 1]].decode() for k in np.flatnonzero(odd).tolist()])
+        sizes = np.empty(len(odd), np.int64)
+        sizes[~odd], sizes[odd] = n_rest, [len(x) + 1 for x in whole]
+        out = np.empty(sizes.sum(), np.uint32)
+        of_odd = np.repeat(odd, sizes)
+        out[~of_odd] = flat
+        out[of_odd] = np.fromiter(chain.from_iterable([*x, self.layout.end_id] for x in whole), np.uint32)
+        return out, sizes
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         full = np.flatnonzero(np.diff(offsets))
         if not self.cuts:
@@ -155,8 +189,17 @@ def encoder(layout: Layout) -> Encoder:
     return remembered(layout, lambda: Encoder(layout))
 
 
+def resolved(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI, as Spark itself would resolve it: without a scheme it is on Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def _files(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    if "://" not in folder:
+        raise ValueError(f"{folder} has no scheme, so executors could take it for different places")
+    return pafs.FileSystem.from_uri(folder)
 
 
 def _sequence_schema(layout: Layout) -> pa.Schema:
@@ -240,6 +283,7 @@ def write_tokens(docs: DataFrame, folder: str, layout: Layout, doc_id: str = "do
     Documents go in ascending order of doc_id, nulls first, equal ids by text. A null text is empty: just
     the end id. Other columns are left out. An empty table gives an empty manifest.
     """
+    folder = resolved(docs.sparkSession, folder)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     manifest = materialize(ordered.mapInArrow(_write(folder, layout), "shard long, n_docs long, n_tokens long"), "manifest")
@@ -248,7 +292,7 @@ def write_tokens(docs: DataFrame, folder: str, layout: Layout, doc_id: str = "do
 
 
 class Shard:
-    """Random access to one shard; on a local file system through a memory map."""
+    """Random access to one shard of a folder with its scheme; on a local file system through a memory map."""
 
     def __init__(self, folder: str, shard: int):
         files, root = _files(folder)
@@ -275,6 +319,7 @@ class Shard:
 
 def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
+    folder = resolved(manifest.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()

@@ -156,21 +156,56 @@ def test_token_output(docs, rows):
     from tokenizers import Tokenizer
 
     layout = token_output.Layout(queries.tokenizer_path(), length=64, batch=4)
-    tokenizer = Tokenizer.from_file(layout.tokenizer)
-    tokenizer.encode_special_tokens = True
-    expected, start = [], 0
-    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
-        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
-        expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    got = [tuple(r) for r in token_output.token_output(docs, layout).collect()]
-    assert sorted(got, key=lambda r: r[1]) == expected
+    for layout in (layout, layout._replace(literal_specials=True)):
+        tokenizer = Tokenizer.from_file(layout.tokenizer)
+        tokenizer.encode_special_tokens = layout.literal_specials
+        expected, start = [], 0
+        for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
+            ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+            expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        got = [tuple(r) for r in token_output.token_output(docs, layout).collect()]
+        assert sorted(got, key=lambda r: r[1]) == expected
+
+
+def test_special_tokens_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"Hello {end} world", end, f"a  {end}\n\n {end}b", "plain  text \n", "", f"{end}{end} ", f"x{end[:-1]}", "<|endoftext", "|>next", f"é  {end}  é"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    for literal in (False, True):
+        layout = token_output.Layout(queries.tokenizer_path(), literal_specials=literal)
+        tokenizer = Tokenizer.from_file(layout.tokenizer)
+        tokenizer.encode_special_tokens = literal
+        ids, sizes = token_output.Encoder(layout)(data, offsets)
+        expected = [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert sizes.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+        assert literal or sizes[0] == 5
+
+
+def test_token_folder_is_where_spark_has_it(spark, docs, tmp_path):
+    layout = token_output.Layout(queries.tokenizer_path())
+    assert token_output.resolved(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert token_output.resolved(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+    with pytest.raises(ValueError):
+        token_output.Shard(str(tmp_path), 0)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "nowhere://host/")
+    try:
+        with pytest.raises(Exception, match="nowhere"):
+            token_output.write_tokens(docs, str(tmp_path), layout)
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert not list(tmp_path.iterdir())
 
 
 def test_token_files_random_access(docs, tmp_path):
     layout = token_output.Layout(queries.tokenizer_path(), length=32, batch=2)
     manifest = token_output.write_tokens(docs, str(tmp_path), layout).collect()
-    shard = token_output.Shard(str(tmp_path), manifest[0].shard)
+    shard = token_output.Shard(f"file://{tmp_path}", manifest[0].shard)
     n = manifest[0].n_tokens
     whole = np.concatenate(list(shard.ids(0, n)))
     count = -(-n // 32)
@@ -243,7 +278,8 @@ def test_decontamination(spark, docs, rows):
     assert all(s >= 0.8 for s in got.values())
     clean = decontaminate.decontaminated(docs, table)
     assert clean.columns == docs.columns
-    assert {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {k[0] for k in got}
+    met = {text for doc_id, text, *_ in rows if doc_id in {k[0] for k in got}}
+    assert sorted((r.doc_id or -1, r.text or "") for r in clean.collect()) == sorted((r[0] or -1, r[1] or "") for r in rows if r[1] not in met)
 
 
 def test_decontamination_verbatim(spark, sf_dir):

@@ -11,7 +11,7 @@ from html import unescape
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, classifier, html_extract, queries, url_filter
+from pagemill.llm import chat, classifier, html_extract, mixing, queries, url_filter
 
 ARTICLE = "<p>First  paragraph of\n the &amp; article, long enough to count.</p><ul><li>An item<li>Another one</ul><p>Last &eacute; words here"
 
@@ -167,13 +167,68 @@ def test_pipeline(spark, sf_dir, no_docs):
     assert empty.collect() == []
 
 
-def test_pipeline_odd_rows(spark, docs, sf_dir):
+ODD = "doc_id long, text string, lang string, source string, n_chars long, part string, copies string, _id string, _nth string, row string, key string"
+
+
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + width]) for k in range(max(len(words) - width + 1, 1))} if words else set()
+
+
+def test_pipeline_rows_are_decided_for_themselves(spark, sf_dir):
+    """Each stage against brute force on null and repeated ids, under column names that the stages use themselves."""
     import corpus_pipeline
 
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)) + "."
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, leak = prose(60), prose(70), f"{prose(30)} {item} {prose(30)}"
+    near = a.replace(" ", " changed ", 1)
+    tags = ("p", "c", "i", "n", "r", "k")
+    rows = [(3, a), (7, near), (None, a), (7, b), (7, prose(50)), (None, prose(40)), (None, prose(45)), (9, None), (9, ""), (None, None), (4, leak), (None, leak), (5, prose(80)), (5, prose(90))]
+    rows = [(k, t, "en", "s" if k else None, None, *tags) for k, t in rows]
+    rows += [rows[3], rows[9], (8, b, "en", "s", None, *tags)]
+    docs = spark.createDataFrame(rows, ODD)
+    ident = lambda found: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in found)
+    stages = dict(corpus_pipeline.STAGES)
+
+    left = stages["near_duplicates"](spark, docs, sf_dir)
+    assert left.columns == docs.columns
+    distinct = list(dict.fromkeys(rows))
+    sets = [shingles(r[1]) for r in distinct]
+    group = list(range(len(distinct)))
+    for x in range(len(distinct)):
+        for y in range(x):
+            if sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                old, new = group[x], group[y]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for g, r in zip(group, distinct, strict=True):
+        if g not in best or (r[0] is None, r[0] or 0) < (best[g][0] is None, best[g][0] or 0):
+            best[g] = r
+    assert ident(left.collect()) == sorted((r[0] is None, r[0] or 0, r[1] or "") for r in best.values())
+
+    clean = stages["decontamination"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    assert ident(clean.collect()) == sorted((r[0] is None, r[0] or 0, r[1] or "") for r in rows if r[1] != leak)
+
+    taken = stages["mixing"](spark, docs, sf_dir)
+    assert taken.columns == docs.columns
+    plan = mixing.mix(docs).collect()
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    got = taken.collect()
+    assert sum(words(r.text) for r in got) == sum(r.taken for r in plan)
+    assert len(got) == sum(r.copies + (r.part > 0) for r in plan)
+    whole = {(r[0], r[1]) for r in rows}
+    assert all((r.doc_id, r.text) in whole or any(k == r.doc_id and (t or "").startswith(r.text) for k, t in whole) for r in got)
+
+    kept = stages["quality_rules"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns and {r.text for r in kept.collect()} <= {r[1] for r in rows}
     rest = docs
-    for _, stage in corpus_pipeline.STAGES:
+    for _, stage in corpus_pipeline.STAGES[1:]:
         rest = stage(spark, rest, sf_dir)
-    assert rest.count() > 0
+    assert rest.count() == stages["mixing"](spark, stages["decontamination"](spark, left, sf_dir), sf_dir).count()
 
 
 def test_url_scores_are_exact(spark):
