@@ -27,26 +27,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles with a similarity of 0.8: the one
-    with the least id; of repeated rows one. Rows with a null id stay."""
-    found = near_dedup.near_duplicates(docs, near_dedup.Plan())
-    gone = found.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    with the least id, a null id being the greatest; of repeated rows one.
+
+    Rows are told apart by a 64-bit hash of all their columns, so rows that share an id or have none are compared and
+    decided each for itself. Documents without words are in no group: only rows alike in all columns are one."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = rows.select(F.xxhash64("row").alias("key"), "row", F.col("row")["text"].alias("text"))
+    found = near_dedup.near_duplicates(keyed, near_dedup.Plan(), doc_id="key").select(F.col("doc_id").alias("key"), "component_id")
+    ids = keyed.select("key", F.col("row")["doc_id"].alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = found.join(ids, "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("key"))
+    left = keyed.select("key", "row").join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return left.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark, decided row by row; null and wordless texts stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminated(docs, items)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; one without words is taken in whole copies, the one at a source's limit is
+    cut. ``n_chars`` is that of the text as taken. A null source is a source of its own."""
     return mixing.mixed(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and the digest of each document read back from them."""
+    """Token files, and the digest of each document read back from them; a null text is the end id alone."""
     return token_output.token_output(docs, token_output.Layout(tokenizer_path()))
 
 
