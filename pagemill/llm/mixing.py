@@ -129,11 +129,18 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     key = F.col("id").eqNullSafe(F.col("to")) & (F.col("content") == F.col("said"))
     alone = rows.join(plan.where("n = 1"), key).select("row", "copies", "part")
     several = plan.where("n > 1")
+    if several.isEmpty():
+        return _taken(docs, alone)
     among = rows.join(several.select("to", "said").distinct(), key, "left_semi")
     among = among.withColumn("place", F.row_number().over(Window.partitionBy("id", "content").orderBy(F.xxhash64("row"))))
     met = among.join(several, key & (F.col("place") == F.col("nth"))).select("row", "copies", "part")
+    return _taken(docs, alone.unionByName(met))
+
+
+def _taken(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (row, copies, part) as often as they are taken, with the columns of ``docs``."""
     total = (F.col("copies") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
-    each = alone.unionByName(met).select("row", "copies", "part", F.explode(F.sequence(F.lit(0), total - 1)).alias("copy"))
+    each = rows.select("row", "copies", "part", F.explode(F.sequence(F.lit(0), total - 1)).alias("copy"))
     text = F.col("row")["text"]
     pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.when(F.col("copy") < F.col("copies"), text).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), ""))
