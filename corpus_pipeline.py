@@ -33,19 +33,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     decided each for itself. Documents without words are in no group: only rows alike in all columns are one. Texts
     meet thin tables of the keys that go and of those that are there more than once; no text is sorted or grouped
     but those of repeated rows."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = rows.select(F.xxhash64("row").alias("key"), "row", F.col("row")["text"].alias("text"))
-    found = near_dedup.near_duplicates(keyed, near_dedup.Plan(), doc_id="key").select(F.col("doc_id").alias("key"), "component_id")
-    ids = keyed.select("key", F.col("row")["doc_id"].alias("doc_id"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    kept = found.join(ids, "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("key"))
-    gone = materialize(found.select("key").distinct().join(kept, "key", "left_anti"), "gone")
-    repeated = materialize(ids.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
-    left = keyed.select("key", "row").join(gone, "key", "left_anti")
-    once = left.join(repeated, "key", "left_anti")
+    key = "key"
+    while key in docs.columns:
+        key = f"_{key}"
+    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    found = near_dedup.near_duplicates(keyed, near_dedup.Plan(), doc_id=key)
+    found = materialize(found.select(F.col("doc_id").alias(key), "component_id").distinct(), "found")
+    ids = keyed.groupBy(key).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    ids = materialize(ids, "ids")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
+    kept = found.join(ids, key).groupBy("component_id").agg(first).select(F.col(f"first.{key}").alias(key))
+    gone = materialize(found.select(key).join(kept, key, "left_anti"), "gone")
+    repeated = ids.where("n > 1").select(key)
+    left = keyed.join(gone, key, "left_anti")
+    once = left.join(repeated, key, "left_anti")
     if not repeated.isEmpty():
-        once = once.unionByName(left.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
-    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+        once = once.unionByName(left.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
