@@ -25,8 +25,8 @@ def scan_pages(spark: SparkSession, path: str, tasks: int | None = None) -> Data
 
 
 def bucket_pages(pages: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
-    """Write pages bucketed by page_id. Pay this shuffle once: every later join and sum by page_id
-    (language scores, stored bodies) runs without another one."""
+    """Write pages, raw or parsed, bucketed by page_id. Pay this shuffle once: every later join and sum by page_id
+    (language scores of parsed pages, stored bodies) runs without another one."""
     writer = pages.write.mode("overwrite").bucketBy(buckets, "page_id").sortBy("page_id")
     if path:
         writer = writer.option("path", path)

@@ -31,11 +31,11 @@ def test_html_is_read_once_for_paragraph_rows(spark, sf_dir):
 
 
 def test_bucketed_pages_need_no_shuffle(spark, sf_dir):
-    table = bucket_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), "bucketed_pages", 8)
+    table = bucket_pages(parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), "bucketed_pages", 8)
     stored = L.LanguageModel(catalog.model(spark, sf_dir).profile, fx.MODEL_LANGUAGES, catalog.model(spark, sf_dir).grams)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = physical(L.parse_with_languages(parse_pages(table), stored))
+        plan = physical(L.parse_with_languages(table, stored))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
