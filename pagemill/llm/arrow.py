@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,11 +63,20 @@ def remembered(key: object, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def give_back() -> None:
+    """Memory that is free but still with this process goes back to the system, where its C library can do that: an
+    executor's other processes need it while this worker waits."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def forget() -> None:
     """A worker process outlives its tasks: a task of another kind drops what earlier ones kept, and gives
     the memory of their batches back."""
     _kept.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def map_batches(
@@ -76,11 +86,14 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        batch = out = None
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
                 if out is not None:
                     yield out
+        del batch, out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
