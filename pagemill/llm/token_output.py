@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.arrow import forget, remembered, row_groups, text_bytes
+from pagemill.llm.arrow import forget, give_back, remembered, row_groups, text_bytes
 from pagemill.llm.words import WHITE, run_hashes
 from pagemill.session import materialize, scratch_path
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 JOINED = 50
 
 
@@ -78,7 +78,10 @@ class Encoder:
         )
         added = told.get("added_tokens") or []
         self.added = [t["content"].encode() for t in added if t["content"] and not (layout.literal_specials and t.get("special"))]
-        self.known: dict[int, tuple[int, ...]] = {}
+        # parts met before: their hashes in order, where the ids of each begin and how many they are
+        self.known = np.empty(0, np.uint64)
+        self.known_at = self.known_size = np.empty(0, np.int64)
+        self.known_ids = np.empty(0, np.uint32)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         top = max(max(vocabulary.values()), layout.end_id)
         self.kind = pa.uint16() if top < 1 << 16 else pa.uint32()
@@ -135,6 +138,24 @@ class Encoder:
         out[of_odd] = np.fromiter(chain.from_iterable([*x, self.layout.end_id] for x in whole), np.uint32)
         return out, sizes
 
+    def _remembered(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where in the remembered ids those of each part begin, how many they are, and which parts are known at all."""
+        if not len(self.known):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        place = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return self.known_at[place], self.known_size[place], self.known[place] == h
+
+    def _remember(self, h: np.ndarray, missing: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Keep the first of the missing parts, as many as there is room for; ``ids`` has theirs behind the known ones."""
+        new = missing[: max(0, self.layout.cached - len(self.known))]
+        if not len(new):
+            return
+        order = np.argsort(np.concatenate([self.known, h[new]]), kind="stable")
+        self.known = np.concatenate([self.known, h[new]])[order]
+        self.known_at = np.concatenate([self.known_at, at[new]])[order]
+        self.known_size = np.concatenate([self.known_size, size[new]])[order]
+        self.known_ids = ids[: len(self.known_ids) + int(size[new].sum())].copy()
+
     def _ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         full = np.flatnonzero(np.diff(offsets))
@@ -154,25 +175,17 @@ class Encoder:
             part, h = pd.factorize(run_hashes(data, start, end))
             first = np.empty(len(h), np.int64)
             first[part[::-1]] = np.arange(len(part) - 1, -1, -1)
-            keys = h.tolist()
-            found = [self.known.get(k) for k in keys]
-            missing = [k for k, x in enumerate(found) if x is None]
+            h = np.asarray(h, np.uint64)
+            at, each, known = self._remembered(h)
+            missing = np.flatnonzero(~known)
             raw = data.tobytes()
             fresh, count = self._encode_parts(raw, start[first[missing]], end[first[missing]])
-            ids, a = fresh.tolist(), 0
-            room = self.layout.cached - len(self.known)
-            for k, b in zip(missing, np.cumsum(count).tolist(), strict=True):
-                found[k] = ids[a:b]
-                if room > 0:
-                    self.known[keys[k]] = tuple(ids[a:b])
-                    room -= 1
-                a = b
-            each = np.array([len(x) for x in found], np.int64)
-            vocabulary = np.fromiter(chain.from_iterable(found), np.uint32, each.sum())
-            at = np.cumsum(each) - each
+            at[missing], each[missing] = len(self.known_ids) + np.cumsum(count) - count, count
+            ids = np.concatenate([self.known_ids, fresh])
+            self._remember(h, missing, at, each, ids)
             size = each[part]
             begin = np.cumsum(size) - size
-            flat = vocabulary[np.arange(size.sum()) - np.repeat(begin - at[part], size)]
+            flat = ids[np.arange(size.sum()) - np.repeat(begin - at[part], size)]
             row = np.searchsorted(offsets[full], start, "right") - 1
             sizes = np.zeros(n, np.int64)
             sizes[full] = np.bincount(row, size, len(full)).astype(np.int64)
@@ -268,6 +281,7 @@ def _write(folder: str, layout: Layout):
                     n_docs += b - a
             sequences.close()
             rows.close()
+        give_back()
         for draft, name in zip(drafts, names, strict=True):
             files.move(draft, name)
         if n_docs:
