@@ -3,7 +3,8 @@
 Every document has a histogram of character classes and one of the common words of its language. Their
 Jensen-Shannon distance (root of the divergence, base 2: 0 to 1) to the language's reference tells how
 unlike ordinary text it is. References are means over all documents of the language that pass the base
-rules and are long enough, each document weighing the same, so that no long one rules them.
+rules and are long enough, each document weighing the same, so that no long one rules them. Words are counted by
+their 64-bit hashes, for every language, however many there are.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.arrow import grouped, map_batches
@@ -31,9 +32,9 @@ from pagemill.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WIDTH = 8
-BIN_BITS = 14
-N_BINS = 1 << BIN_BITS
 CLASSES = ("lower", "upper", "digit", "space", "line", "punctuation", "symbol", "ascii", "wide")
+#: References of up to so many languages (2 KB each) go to the tasks as a whole; more are joined to the documents.
+SHARED_LANGUAGES = 4096
 _UNIT = 1_000_000  # weights are summed as integers, so that reruns agree to the last digit
 
 
@@ -47,7 +48,6 @@ class Rules(NamedTuple):
     max_char_distance: float = 0.25
     max_word_distance: float = 0.50
     common_words: int = 100
-    max_languages: int = 256
     min_reference: int = 20
 
 
@@ -109,7 +109,7 @@ def measures(data: np.ndarray, offsets: np.ndarray, rules: Rules = Rules()) -> d
     byte_row = np.repeat(np.arange(n) * 10, np.diff(offsets))
     out["chars"] = np.bincount(byte_row + _CLASS[data], minlength=10 * n).reshape(n, 10)[:, :9]
     out["word_row"] = w.row
-    out["bins"] = (w.hash >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    out["word_hash"] = w.hash.view(np.int64)
     return out
 
 
@@ -125,82 +125,109 @@ def distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, out, 1.0)
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> dict:
-    """{language: (character distribution, common word bins, their distribution and the rest's)}.
+class Reference(NamedTuple):
+    """Distribution of the character classes; sorted hashes of the common words, and their distribution in that order
+    with the rest of the words last."""
 
-    Counted over all documents. The ``max_languages`` languages with most documents have their own;
-    ``None`` is the reference of all documents together, for all others. So the result is bounded:
-    languages * (9 + 100 + 1) numbers.
+    chars: np.ndarray
+    words: np.ndarray
+    shares: np.ndarray
+
+
+class References(NamedTuple):
+    """``known``: reference by language, ``None`` for that of all documents. ``table``: the languages' stored rows, where
+    they are too many for ``known``."""
+
+    known: dict[str | None, Reference]
+    table: DataFrame | None = None
+
+
+def _reference(chars: list, words: list, weights: list, total: int) -> Reference:
+    chars, words, weights = np.array(chars, float), np.array(words, np.int64), np.array(weights, float)
+    order = np.argsort(words)
+    shares = np.append(weights[order], total - weights.sum()) / total
+    return Reference(chars / max(chars.sum(), 1), words[order], shares)
+
+
+STORED = ("chars", "words", "weights", "total")
+
+
+def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "text", lang: str = "lang") -> References:
+    """The references of all languages with at least ``min_reference`` judged documents, and that of all documents together.
+
+    Counted over all documents: sums of classes and words combine in the tasks before their shuffle, and the common
+    words of a language are ranked in each task first, so a hot language isn't gathered. Of equally common words
+    those with the lesser hash count.
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, totals = batch.column(1).to_pylist(), {}
+        langs = batch.column(1).to_pylist()
+        out: list[list] = [[], [], [], []]
         for first, last, data, offsets in grouped(batch.column(0)):
             m = measures(data, offsets, rules)
             good = np.flatnonzero(~m["base_failed"] & (m["n_words"] >= rules.min_words_judged))
-            of = np.full(last - first, -1)
             names = sorted({langs[first + i] for i in good.tolist()}, key=lambda x: (x is None, x))
             number = {x: k for k, x in enumerate(names)}
+            of = np.full(last - first, -1)
             of[good] = [number[langs[first + i]] for i in good.tolist()]
             chars = m["chars"] * _UNIT // np.maximum(m["chars"].sum(1, keepdims=True), 1)
-            share = _UNIT // np.maximum(m["n_words"], 1)
+            share = (_UNIT // np.maximum(m["n_words"], 1))[m["word_row"]]
             word_of = of[m["word_row"]]
-            seen = word_of >= 0
-            cells = np.bincount(word_of[seen] * N_BINS + m["bins"][seen], share[m["word_row"]][seen], len(names) * N_BINS)
             for k, name in enumerate(names):
-                total = totals.setdefault(name, np.zeros(10 + N_BINS, np.int64))
-                total[0] += int((of == k).sum())
-                total[1:10] += chars[of == k].sum(0)
-                total[10:] += cells[k * N_BINS : (k + 1) * N_BINS].astype(np.int64)
-        names, cells, values = [], [], []
-        for name, total in totals.items():
-            some = np.flatnonzero(total)
-            names += [name] * len(some)
-            cells.append(some)
-            values.append(total[some])
-        empty = np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array(np.concatenate([empty, *cells])), pa.array(np.concatenate([empty, *values]))],
-            ["lang", "cell", "weight"],
-        )
-
-    own = map_batches(docs.select(F.col(text).cast("string"), F.col(lang).cast("string")), count, "lang string, cell long, weight long")
-    sums = own.groupBy("lang", "cell").agg(F.sum("weight").alias("weight"))
-    stored = materialize(sums, "language-cells")
-    known = (
-        stored.where("cell = 0 and lang is not null")
-        .where(F.col("weight") >= rules.min_reference)
-        .orderBy(F.desc("weight"), "lang")
-        .limit(rules.max_languages)
-        .select("lang")
+                mine = word_of == k
+                hashes, at = np.unique(m["word_hash"][mine], return_inverse=True)
+                sums = np.bincount(at, share[mine], len(hashes)).astype(np.int64)
+                out[0] += [name] * (10 + len(hashes))
+                out[1].append(np.concatenate([[0], np.ones(9, np.int64), np.full(len(hashes), 2)]))
+                out[2].append(np.concatenate([[0], np.arange(9), hashes]))
+                out[3].append(np.concatenate([[(of == k).sum()], chars[of == k].sum(0), sums]))
+        flat = [np.concatenate([np.empty(0, np.int64), *x]) for x in out[1:]]
+        columns = [pa.array(out[0], pa.string()), pa.array(flat[0].astype(np.int32)), pa.array(flat[1]), pa.array(flat[2])]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "kind", "key", "weight"])
+
+    narrow = docs.select(F.col(text).cast("string"), F.col(lang).cast("string"))
+    own = map_batches(narrow, count, "lang string, kind int, key long, weight long")
+    stored = materialize(own.groupBy("lang", "kind", "key").agg(F.sum("weight").alias("weight")), "language-words")
+    listed = stored.where("kind = 0 and lang is not null").where(F.col("weight") >= rules.min_reference).select("lang")
+    pooled = stored.groupBy("kind", "key").agg(F.sum("weight").alias("weight"))
+    rows = stored.join(listed, "lang").unionByName(pooled.withColumn("lang", F.lit(None).cast("string")))
+    order = Window.partitionBy("lang").orderBy(F.desc("weight"), "key")
+    common = rows.where("kind = 2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.common_words)
+    tops = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "key", "weight"))).alias("top"))
+    classes = [F.coalesce(F.sum(F.when(F.expr(f"kind = 1 and key = {k}"), F.col("weight"))), F.lit(0)) for k in range(9)]
+    sums = rows.groupBy("lang").agg(F.array(*classes).alias("chars"), F.sum(F.when(F.expr("kind = 2"), F.col("weight"))).alias("total"))
+    sums = sums.where("total > 0").withColumnRenamed("lang", "_of")
+    table = sums.join(tops, F.col("_of").eqNullSafe(F.col("lang"))).select(
+        "lang", "chars", F.col("top.key").alias("words"), F.col("top.weight").alias("weights"), "total"
     )
-    picked = stored.join(F.broadcast(known), "lang")
-    pooled = stored.groupBy("cell").agg(F.sum("weight").alias("weight")).select(F.lit(None).cast("string").alias("lang"), "cell", "weight")
-    rows = picked.unionByName(pooled)
-    chars = rows.where("cell between 1 and 9")
-    ranked = (
-        rows.where("cell >= 10")
-        .groupBy("lang")
-        .agg(
-            F.sum("weight").alias("total"),
-            F.slice(
-                F.sort_array(F.collect_list(F.struct(F.col("weight").alias("w"), (-F.col("cell")).alias("c"))), asc=False),
-                1,
-                rules.common_words,
-            ).alias("top"),
-        )
-    )
-    out: dict = {}
-    for r in ranked.collect():
-        bins = np.array([-x.c - 10 for x in r.top], np.int64)
-        common = np.array([x.w for x in r.top], float)
-        out[r.lang] = [np.zeros(9), bins, np.append(common, r.total - common.sum()) / r.total]
-    for r in chars.collect():
-        if r.lang in out:
-            out[r.lang][0][r.cell - 1] = r.weight
-    for value in out.values():
-        value[0] = value[0] / max(value[0].sum(), 1)
-    return {k: tuple(v) for k, v in out.items()}
+    table = materialize(table, "references")
+    many = table.count() > SHARED_LANGUAGES
+    sent = table.where("lang is null") if many else table
+    known = {r.lang: _reference(*(r[c] for c in STORED)) for r in sent.collect()}
+    return References(known, table.where("lang is not null") if many else None)
+
+
+def with_reference(docs: DataFrame, references: References, lang: str) -> DataFrame:
+    """``docs``, and in a last column the stored reference of their language where the tasks don't have all of them.
+    The references' table is small beside the documents; where it isn't broadcast, the skew join splits a hot language."""
+    table = references.table
+    taken = {c.lower() for c in docs.columns}
+    of, last = (next(n for n in (f"{'_' * k}{name}" for k in range(1, len(taken) + 2)) if n not in taken) for name in ("of", "reference"))
+    if table is None:
+        return docs.withColumn(last, F.lit(None).cast("int"))
+    return docs.join(table.select(F.col("lang").alias(of), F.struct(*STORED).alias(last)), F.col(lang) == F.col(of), "left").drop(of)
+
+
+def _of_batch(known: dict[str | None, Reference], langs: list, joined: pa.Array) -> dict[str | None, Reference]:
+    """The references a batch needs: those that all tasks have, and one for each language that was joined to it."""
+    if joined.null_count == len(joined):
+        return known
+    out = dict(known)
+    for k in np.flatnonzero(joined.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        if langs[k] not in out:
+            r = joined[k].as_py()
+            out[langs[k]] = _reference(*(r[c] for c in STORED))
+    return out
 
 
 RESULT = (
@@ -220,17 +247,18 @@ def _verdicts(texts: pa.Array, langs: list, references: dict, rules: Rules) -> d
         for name in set(own):
             if name not in references:
                 continue
-            ref_chars, bins, ref_words = references[name]
+            ref = references[name]
             rows = np.flatnonzero([x == name for x in own])
-            char[rows] = distances(m["chars"][rows], ref_chars)
-            place = np.full(N_BINS, len(bins))
-            place[bins] = np.arange(len(bins))
+            char[rows] = distances(m["chars"][rows], ref.chars)
             number = np.full(n, -1)
             number[rows] = np.arange(len(rows))
             mine = number[m["word_row"]]
-            cells = mine * (len(bins) + 1) + place[m["bins"]]
-            counts = np.bincount(cells[mine >= 0], minlength=len(rows) * (len(bins) + 1))
-            word[rows] = distances(counts.reshape(len(rows), -1), ref_words)
+            hashes = m["word_hash"][mine >= 0]
+            place = np.minimum(np.searchsorted(ref.words, hashes), len(ref.words) - 1)
+            place[ref.words[place] != hashes] = len(ref.words)
+            width = len(ref.words) + 1
+            counts = np.bincount(mine[mine >= 0] * width + place, minlength=len(rows) * width)
+            word[rows] = distances(counts.reshape(len(rows), -1), ref.shares)
         char[m["chars"].sum(1) < rules.min_chars_judged] = np.nan
         word[m["n_words"] < rules.min_words_judged] = np.nan
         m["char_distance"], m["word_distance"] = char, word
@@ -241,22 +269,24 @@ def _verdicts(texts: pa.Array, langs: list, references: dict, rules: Rules) -> d
     return {name: np.concatenate(v) for name, v in parts.items()}
 
 
-def judge(docs: DataFrame, references: dict, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, references: References, rules: Rules = Rules(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts, distances and verdict of each row.
 
     A null text has no words and fails the base rules. A null or unlisted language is compared with the
-    reference of all documents; without any reference, or below the minimum lengths, a distance is null
+    reference of all documents, and so is one with too few of them; without any reference, or below the minimum lengths, a distance is null
     and the base rules decide alone. Repeated rows get the same verdict; other columns are left out.
     """
 
+    known = references.known
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = _verdicts(batch.column(1), batch.column(2).to_pylist(), references, rules)
+        langs = batch.column(2).to_pylist()
+        parts = _verdicts(batch.column(1), langs, _of_batch(known, langs, batch.column(3)), rules)
         columns = [pa.array(v, from_pandas=k.endswith("distance")) for k, v in parts.items()]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *parts])
 
-    return map_batches(
-        docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"), F.col(lang).cast("string")), run, RESULT
-    )
+    return map_batches(with_reference(named, references, "lang"), run, RESULT)
 
 
 def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -266,14 +296,19 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def kept_rows(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns. The verdict is made row by row in the
-    scan; no join brings it back, so nulls and repeated ids don't matter and no text is shuffled."""
+    scan; no join brings it back, so nulls and repeated ids don't matter, and no text is shuffled unless the languages are
+    more than the tasks can share."""
     references = language_references(docs, rules)
-    names = docs.columns
-    tagged = docs.select(*names, F.col("text").cast("string").alias("_text"), F.col("lang").cast("string").alias("_lang"))
+    known, n = references.known, len(docs.columns)
+    lang, text = "_lang", "_text"
+    while {lang, text} & {c.lower() for c in docs.columns}:
+        lang, text = f"_{lang}", f"_{text}"
+    tagged = docs.select(*docs.columns, F.col("text").cast("string").alias(text), F.col("lang").cast("string").alias(lang))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep = pa.array(_verdicts(batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), references, rules)["kept"])
-        left = batch.select(list(range(len(names)))).filter(keep)
+        langs = batch.column(n + 1).to_pylist()
+        keep = _verdicts(batch.column(n), langs, _of_batch(known, langs, batch.column(n + 2)), rules)["kept"]
+        left = batch.select(list(range(n))).filter(pa.array(keep))
         return left if left.num_rows else None
 
-    return map_batches(tagged, run, docs.schema)
+    return map_batches(with_reference(tagged, references, lang), run, docs.schema)

@@ -61,6 +61,83 @@ def test_quality_keeps_clean_and_drops_junk(spark, sf_dir):
     assert kept.count() == sum(r.kept for r in quality.quality_rules(docs, rules).collect())
 
 
+def brute_verdicts(rows, rules):
+    """(distances, kept) of rows (text, lang) without hashes but for ties, from Counters and fractions of a million."""
+    name = lambda w: int(quality.measures(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))["word_hash"][0])
+
+    def kind(c):
+        if c in "abcdefghijklmnopqrstuvwxyz":
+            return 0
+        for k, members in ((4, "\n"), (3, "\t\x0b\x0c\r "), (5, ".,;:!?'\"()-"), (6, "#*$%&|<>")):
+            if c in members:
+                return k
+        return 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 7 if ord(c) < 128 else 8
+
+    facts, sums = [], {}
+    for text, lang in rows:
+        w, chars = WORD.findall(text or ""), Counter(map(kind, text or ""))
+        windows = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cover = {k + j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+        facts.append((lang, w, chars, failed))
+        if not failed and len(w) >= rules.min_words_judged:
+            for of in {lang, None}:
+                n, c, v = sums.setdefault(of, [0, Counter(), Counter()])
+                sums[of][0] = n + 1
+                c.update({k: 1_000_000 * x // chars.total() for k, x in chars.items()})
+                v.update({x: 1_000_000 // len(w) * k for x, k in Counter(w).items()})
+
+    def distance(p, q):
+        out = sum(x * math.log2(2 * x / (x + q.get(k, 0))) for k, x in p.items() if x)
+        return math.sqrt(max(0, (out + sum(x * math.log2(2 * x / (x + p.get(k, 0))) for k, x in q.items() if x)) / 2))
+
+    out = []
+    for lang, w, chars, failed in facts:
+        of = sums[lang if lang in sums and sums[lang][0] >= rules.min_reference else None]
+        top = sorted(of[2], key=lambda x: (-of[2][x], name(x)))[: rules.common_words]
+        share = lambda c: {k: x / c.total() for k, x in c.items()}
+        fold = lambda c: Counter({x: c[x] for x in top} | {None: c.total() - sum(c[x] for x in top)})
+        char = distance(share(chars), share(of[1])) if chars.total() >= rules.min_chars_judged else None
+        word = distance(share(fold(Counter(w))), share(fold(of[2]))) if len(w) >= rules.min_words_judged else None
+        out.append((char, word, not failed and (char or 0) <= rules.max_char_distance and (word or 0) <= rules.max_word_distance))
+    return out
+
+
+def test_quality_verdicts_by_brute_force(spark, docs, rows, monkeypatch):
+    rng, made = np.random.default_rng(5), list(rows)
+    for k in range(90):  # three languages with references of their own, one with too few documents, and odd ones out
+        lang = ("la", "lb", "lc", "few")[k % 4 if k < 8 else k % 3]
+        words = [f"{lang if k % 9 else 'zz'}{int(x)}" for x in rng.zipf(1.4, 150) % 300]
+        made.append((1000 + k, " ".join(words), lang, "s", 1, 1, "b", "w"))
+    rules = quality.Rules()
+    table = spark.createDataFrame(made, docs.schema)
+    want = {}
+    for row, verdict in zip(made, brute_verdicts([r[1:3] for r in made], rules), strict=True):
+        want[row[0]] = verdict
+    for shared in (quality.SHARED_LANGUAGES, 1):  # references sent to the tasks, references joined to the documents
+        monkeypatch.setattr(quality, "SHARED_LANGUAGES", shared)
+        references = quality.language_references(table, rules)
+        assert (references.table is not None) == (shared == 1)
+        got = quality.judge(table, references, rules).collect()
+        assert len(got) == len(made)
+        for r in got:
+            if r.doc_id is not None:
+                assert (r.char_distance, r.word_distance) == pytest.approx(want[r.doc_id][:2], abs=1e-6), r.doc_id
+                assert r.kept == want[r.doc_id][2], r.doc_id
+        clashing = table.withColumnsRenamed({"bands": "_reference", "window": "_of", "source": "_lang"})
+        assert quality.kept_rows(clashing, rules).count() == sum(r.kept for r in got)
+    assert {k for k, v in want.items() if k and k >= 1000 and not v[2]}
+
+
+def test_quality_has_a_reference_for_every_language(spark):
+    rules = quality.Rules(min_reference=2)
+    made = [(f"l{k}", " ".join(f"w{k}x{j % 40}" if j % 3 else f"n{k}y{i}z{j}" for j in range(90))) for k in range(300) for i in range(2)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(made)], "doc_id long, text string, lang string")
+    references = quality.language_references(docs, rules)
+    assert len(references.known) == 301
+    assert all(r.kept and r.word_distance < 0.4 for r in quality.judge(docs, references, rules).collect())
+
+
 def test_quality_empty(no_docs):
     assert quality.quality_rules(no_docs).collect() == []
     assert quality.kept_rows(no_docs).collect() == []
