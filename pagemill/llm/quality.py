@@ -188,16 +188,16 @@ def language_references(docs: DataFrame, rules: Rules = Rules(), text: str = "te
     narrow = docs.select(F.col(text).cast("string"), F.col(lang).cast("string"))
     own = map_batches(narrow, count, "lang string, kind int, key long, weight long")
     stored = materialize(own.groupBy("lang", "kind", "key").agg(F.sum("weight").alias("weight")), "language-words")
-    listed = stored.where("kind = 0 and lang is not null").where(F.col("weight") >= rules.min_reference).select("lang")
     pooled = stored.groupBy("kind", "key").agg(F.sum("weight").alias("weight"))
-    rows = stored.join(listed, "lang").unionByName(pooled.withColumn("lang", F.lit(None).cast("string")))
+    rows = stored.where("lang is not null").unionByName(pooled.withColumn("lang", F.lit(None).cast("string")))
     order = Window.partitionBy("lang").orderBy(F.desc("weight"), "key")
     common = rows.where("kind = 2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.common_words)
     tops = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "key", "weight"))).alias("top"))
-    classes = [F.coalesce(F.sum(F.when(F.expr(f"kind = 1 and key = {k}"), F.col("weight"))), F.lit(0)) for k in range(9)]
-    sums = rows.groupBy("lang").agg(F.array(*classes).alias("chars"), F.sum(F.when(F.expr("kind = 2"), F.col("weight"))).alias("total"))
-    sums = sums.where("total > 0").withColumnRenamed("lang", "_of")
-    table = sums.join(tops, F.col("_of").eqNullSafe(F.col("lang"))).select(
+    of_kind = lambda which: F.coalesce(F.sum(F.when(F.expr(which), F.col("weight"))), F.lit(0))
+    classes = F.array(*[of_kind(f"kind = 1 and key = {k}") for k in range(9)])
+    sums = rows.groupBy(F.col("lang").alias("_of")).agg(of_kind("kind = 0").alias("n"), classes.alias("chars"), of_kind("kind = 2").alias("total"))
+    listed = sums.where("total > 0").where(F.col("_of").isNull() | (F.col("n") >= rules.min_reference))
+    table = listed.join(tops, F.col("_of").eqNullSafe(F.col("lang"))).select(
         "lang", "chars", F.col("top.key").alias("words"), F.col("top.weight").alias("weights"), "total"
     )
     table = materialize(table, "references")
