@@ -24,6 +24,9 @@ EXTENSION_SYNONYMS = {
     "": ".txt",
     ".log": ".txt",
 }
+# Generic URI syntax, characters that mean the same escaped or not, and those that may stand unescaped.
+UNRESERVED = r"^[A-Za-z0-9\-._~]$"
+RESERVED = r"^[!$&'()*+,;=:@/?\[\]#]$"
 # File name limit and the mark put in place of the removed middle.
 NAME_LIMIT = 100
 NAME_MARK = "(...)"
@@ -168,12 +171,36 @@ def resolve_url(base: Column, ref: Column) -> Column:
     return resolve_from(url_base(base), ref)
 
 
+def normalized_escapes(text: Column, space: str = "%20") -> Column:
+    """One spelling of percent-escapes, byte by byte.
+
+    Escapes of unreserved characters are undone, other ones have upper-case digits; what may not stand in a URL is
+    escaped as UTF-8, and so is a ``%`` that starts no escape. Reserved characters stay as they are written, since an
+    escaped one means another thing. ``space`` is the spelling of a blank. Null stays null.
+    """
+    # After url_encode the text has only letters, digits and .*_+-%, so "!" is free to mark the escapes that were
+    # written, and "+" is a blank.
+    encoded = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    marked = F.regexp_replace(encoded, "%25([0-9A-Fa-f]{2})", "!$1")
+    pieces = F.regexp_extract_all(marked, F.lit("([!%][0-9A-Fa-f]{2}|[^!%]+)"), F.lit(1))
+
+    def spelled(p: Column) -> Column:
+        digits = F.upper(F.substring(p, 2, 2))
+        char = F.unhex(digits).cast("string")
+        stands = char.rlike(UNRESERVED) | (p.startswith("%") & char.rlike(RESERVED))
+        escape = F.when(digits == "20", F.lit(space)).when(stands, char).otherwise(F.concat(F.lit("%"), digits))
+        return F.when(p.rlike("^[!%]"), escape).otherwise(p)
+
+    spelled_out = F.array_join(F.transform(pieces, spelled), "")
+    return F.when(text.rlike(r"\A[A-Za-z0-9\-._~!$&'()*,;=:@/?]*\z"), text).otherwise(spelled_out)
+
+
 def canonical_url(url: Column) -> Column:
     """Key under which a URL counts as visited: host in lower case, query arguments in order of
-    name and value, no fragment, ``/`` for an empty path;
+    name and value, percent-escapes in one spelling (``+`` for a blank in the query), no fragment, ``/`` for an empty path;
     ``//`` only before a host."""
     arguments = F.transform(
-        F.filter(F.split(url_query(url), "&"), lambda a: a != ""),
+        F.filter(F.split(normalized_escapes(url_query(url), "+"), "&"), lambda a: a != ""),
         lambda a: F.struct(
             F.regexp_extract(a, r"(?s)^([^=]*)=?(.*)$", 1).alias("k"),
             F.regexp_extract(a, r"(?s)^([^=]*)=?(.*)$", 2).alias("v"),
@@ -182,7 +209,7 @@ def canonical_url(url: Column) -> Column:
     query = F.array_join(
         F.transform(F.array_sort(arguments), lambda a: F.concat(a["k"], F.lit("="), a["v"])), "&"
     )
-    path = _part(url, 3)
+    path = normalized_escapes(_part(url, 3))
     return F.concat(
         url_scheme(url),
         F.when(url_netloc(url) == "", F.lit(":")).otherwise(F.concat(F.lit("://"), F.lower(url_netloc(url)))),

@@ -84,9 +84,22 @@ def extension(url: str) -> str:
     return f"lower(regexp_extract({path(url)}, '[^/.][^/]*([.][^./]*)$', 1))"
 
 
+def escapes(text: str, space: str) -> str:
+    """One spelling of escapes: written ones are marked by "!" in the encoded text, pieces are then judged by themselves."""
+    pieces = f"regexp_extract_all(regexp_replace(url_encode({text}), '%25([0-9A-Fa-f]{{2}})', '!\\1', 'g'), '[!%][0-9A-Fa-f]{{2}}|[^!%]+')"
+    one = "url_decode('%' || substr(p, 2))"
+    return (
+        f"array_to_string(list_transform({pieces}, lambda p: case when not regexp_matches(p, '^[!%]') then p "
+        f"when substr(p, 2) = '20' then '{space}' when not regexp_matches(p, '^.[2-7]') then '%' || upper(substr(p, 2)) "
+        f"when regexp_matches({one}, '^[A-Za-z0-9._~-]$') then {one} "
+        f"when p[1] = '%' and contains('!$&''()*+,;=:@/?[]#', {one}) then {one} else '%' || upper(substr(p, 2)) end), '')"
+    )
+
+
 def canonical(url: str) -> str:
     pair = r"(?s)^([^=]*)=?(.*)$"
-    args = f"list_filter(string_split({part(url, 4)}, '&'), lambda a: a <> '')"
+    args = f"list_filter(string_split({escapes(part(url, 4), '+')}, '&'), lambda a: a <> '')"
+    path = escapes(part(url, 3), "%20")
     pairs = (
         f"list_sort(list_transform({args}, lambda a: {{'k': regexp_extract(a, {lit(pair)}, 1), "
         f"'v': regexp_extract(a, {lit(pair)}, 2)}}))"
@@ -94,7 +107,7 @@ def canonical(url: str) -> str:
     query = f"array_to_string(list_transform({pairs}, lambda s: s.k || '=' || s.v), '&')"
     return (
         f"lower({part(url, 1)}) || case when {netloc(url)} = '' then ':' else '://' || lower({netloc(url)}) end || "
-        f"case when {part(url, 3)} = '' then '/' else {part(url, 3)} end || "
+        f"case when {part(url, 3)} = '' then '/' else {path} end || "
         f"case when coalesce({query}, '') = '' then '' else '?' || {query} end"
     )
 

@@ -1,5 +1,6 @@
 import posixpath
-from urllib.parse import urljoin, urlparse
+import re
+from urllib.parse import quote, unquote_to_bytes, urljoin, urlparse
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -86,6 +87,37 @@ def test_canonical_and_domains(spark):
     assert not inside("badexample.com") and not inside("example.com:80") and not inside("")
 
 
+def spelled(text, space="%20"):
+    """The same by urllib: runs of escapes byte by byte, anything else quoted."""
+    out = ""
+    for piece in re.split("(%[0-9A-Fa-f]{2})", text):
+        if re.fullmatch("%[0-9A-Fa-f]{2}", piece):
+            byte = unquote_to_bytes(piece)
+            out += quote(byte, safe="") if byte != b" " else space
+        else:
+            out += quote(piece, safe="!$&'()*+,;=:@/?[]#").replace("%20", space)
+    return out
+
+
+escaped = st.text("aZ0%%%25eEcCaA9/~+ é€|\"!*'[]=&?\n\U0001f600", max_size=14)
+
+
+@quick
+@given(st.lists(escaped, min_size=50, max_size=200))
+def test_escapes_agree_with_urllib(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string")
+    for r in rows.select("t", U.normalized_escapes(F.col("t")).alias("path"), U.normalized_escapes(F.col("t"), "+").alias("query")).collect():
+        assert (r.path, r.query) == ((None, None) if r.t is None else (spelled(r.t), spelled(r.t, "+"))), r.t
+
+
+def test_canonical_escapes(spark):
+    same = [("/%7Eu", "/~u"), ("/%c3%a9", "/é"), ("/a b", "/a%20b"), ("/?q=a+b", "/?q=a%20b"), ("/%é%2f~%zz?b=%&a=é+%7e", "/%25%C3%A9%2F~%25zz?a=%C3%A9+~&b=%25")]
+    other = [("/a%2Fb", "/a/b"), ("/?a=1%262", "/?a=1&2"), ("/%", "/%25x"), ("/?a=%2B", "/?a=+")]
+    rows = spark.createDataFrame([(f"http://h{a}", f"http://h{b}", k < len(same)) for k, (a, b) in enumerate(same + other)], "a string, b string, same boolean")
+    for r in rows.select("*", U.canonical_url(F.col("a")).alias("x"), U.canonical_url(F.col("b")).alias("y")).collect():
+        assert (r.x == r.y) == r.same, r
+
+
 def test_scheme_and_synonyms(spark):
     assert one(spark, U.url_scheme_ok(F.lit("ftp://x")))
     assert not one(spark, U.url_scheme_ok(F.lit("HTTP://x")))
