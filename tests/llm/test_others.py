@@ -8,6 +8,7 @@ import time
 from collections import Counter
 from html import unescape
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,40 @@ def test_classifier_held_out(spark):
     assert all(0 <= r.expected_grade <= 2 and r.p_good <= r.p_not_toxic for r in got.values())
 
 
+def test_classifier_fit_by_brute_force():
+    """The fit's weights and thresholds minimise the weighted likelihood, written out here by its definition."""
+    rng, n, bits = np.random.default_rng(3), 240, 5
+    sizes = rng.integers(0, 6, n)
+    cells = np.concatenate([rng.choice(1 << bits, k, replace=False) for k in sizes])
+    dense = rng.normal(size=(n, 2))
+    latent = dense @ [1.5, -0.5] + np.bincount(np.repeat(np.arange(n), sizes), cells < 8, n) + rng.logistic(size=n)
+    grades = (latent > 0).astype(int) + (latent > 1.5)
+    setup = classifier.Setup(bits=bits, rounds=3000, rate=0.01, decay=1e-2)
+    weights, thresholds = classifier.fit_arrays(cells, sizes, dense, grades, setup)
+    assert thresholds[0] < thresholds[1]
+    x = np.zeros((n, (1 << bits) + 2))
+    np.add.at(x, (np.repeat(np.arange(n), sizes), cells), 1)
+    x[:, 1 << bits :] = dense
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, g in zip(x, grades, strict=True):
+            below = [0.0, *(1 / (1 + math.exp(row @ w - c)) for c in cuts), 1.0]
+            total -= math.log(below[g + 1] - below[g]) / (3 * (grades == g).sum())
+        return total + setup.decay / 2 * (w @ w)
+
+    best = loss(weights.astype(float), thresholds)
+    assert best < loss(np.zeros_like(weights, float), thresholds)
+    for k in [*rng.choice(1 << bits, 6, replace=False), 32, 33]:  # no step along a weight or a threshold is better
+        for step in (-0.02, 0.02):
+            moved = weights.astype(float)
+            moved[k] += step
+            assert loss(moved, thresholds) > best - 1e-6
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            assert loss(weights.astype(float), thresholds + step * (np.arange(2) == k)) > best - 1e-6
+
+
 def test_classifier_edges(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept and r.p_good is None for r in classifier.quality_classifier(docs, none).collect())
