@@ -723,7 +723,8 @@ def drop_redelivered(spark, sf_dir):
 
 
 def _page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = stream_out.stream_pages(spark, sf_dir, "pages.parquet")
+    # A pattern, since the table may be one file or a folder; one batch, so that messages do not depend on which.
+    stream = stream_out.stream_pages(spark, f"{sf_dir}/pages[.]parquet", max_files=None)
     kind = F.col("page_id") % 10
     return stream.withColumn(
         "content_type",

@@ -13,14 +13,11 @@ from pagemill.sinks.messages import send_results
 from pagemill.sources.pages import PAGES_SCHEMA
 
 
-def stream_pages(spark: SparkSession, path: str, glob: str = "*", max_files: int = 1) -> DataFrame:
-    """Captured pages as their files arrive."""
-    return (
-        spark.readStream.schema(PAGES_SCHEMA)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(path)
-    )
+def stream_pages(spark: SparkSession, path: str, glob: str = "*", max_files: int | None = 1) -> DataFrame:
+    """Captured pages as their files arrive; ``path`` is their folder (or a pattern, which may also match single files), and
+    ``max_files`` of None takes all that lie there as one batch."""
+    stream = spark.readStream.schema(PAGES_SCHEMA).option("pathGlobFilter", glob)
+    return (stream.option("maxFilesPerTrigger", max_files) if max_files else stream).parquet(path)
 
 
 def stream_parse(pages: DataFrame, xpaths: Sequence[str] = DEFAULT_XPATHS) -> DataFrame:

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import export
 from pagemill.operators.paragraphs import extract_paragraphs
+from pagemill.plans.catalog import QUERIES
 from pagemill.sinks.messages import read_results
 from pagemill.streaming import crawls
 from pagemill.streaming import results as R
@@ -93,3 +94,16 @@ def test_tasks_drive_crawls(spark, tmp_path):
     items, refused, _ = rows()
     assert [r for r in items if r[0] == "c"] == sorted([("c", *r) for r in start] + [("c", "http://h.org/no", "third", 1)])
     assert (8, "unknown parser") in refused and len([r for r in items if r[0] == "a"]) == 2
+
+
+def test_streamed_results_do_not_depend_on_the_files_of_the_table(spark, tmp_path):
+    """A table of pages that is one file and one that is a folder of files give the same rows and messages."""
+    rows = [(i, f"http://h{i % 3}.org/{i}", f"<p>text {i}</p><td>cell {i}") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(4).write.parquet(str(tmp_path / "many/pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "one/pages.parquet")
+    for name in ("stream_parse", "stream_results"):
+        one, many = (sorted(QUERIES[name](spark, str(tmp_path / d)).collect(), key=repr) for d in ("one", "many"))
+        assert one and one == many
