@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pagemill.functions.grams import characters, explode_grams, letters_only, trigram_parts
+from pagemill.operators.paragraphs import explode_structs
 from pagemill.session import materialize
 
 # The two special entries of allowed_languages, and the defaults.
@@ -315,7 +316,7 @@ def parse_with_languages(
     """
     kept = [c for c in parsed.columns if c not in ("paragraphs", "page_id")]
     if DISABLED in allowed:
-        rows = parsed.select("page_id", *kept, F.inline("paragraphs"))
+        rows = explode_structs(parsed, ["page_id", *kept], "paragraphs", "pos")
         return page_language_filter(rows, allowed).withColumn(
             "par_language", F.lit(None).cast("string")
         )

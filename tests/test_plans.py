@@ -30,6 +30,10 @@ def test_html_is_read_once_for_paragraph_rows(spark, sf_dir):
     assert not [x for x in re.findall(r"ReadSchema: (.*)", plan) if "html" in x]
 
 
+def test_pages_are_parsed_once_without_languages(spark, sf_dir):
+    assert physical(catalog.QUERIES["paragraph_rows_disabled"](spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
 def test_bucketed_pages_need_no_shuffle(spark, sf_dir):
     table = bucket_pages(parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), "bucketed_pages", 8)
     stored = L.LanguageModel(catalog.model(spark, sf_dir).profile, fx.MODEL_LANGUAGES, catalog.model(spark, sf_dir).grams)
