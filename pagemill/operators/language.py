@@ -1,8 +1,10 @@
 """Language scoring with trigram profiles trained by Spark.
 
 A profile gives each kept trigram one integer log weight per language. The score of a text is the sum
-over its trigrams, so it does not depend on row order. Trigrams are exploded, joined to the profile
-and summed by key; the sums combine before the shuffle, so what moves is one small row per text.
+over its trigrams, so it does not depend on row order. A profile that is small enough goes to all tasks,
+which look the trigrams of a batch of texts up at once, and what is shuffled is one small row of sums per
+text. Otherwise, and where a bucketed table must keep its partitions, which Spark's Python functions do
+not, trigrams are exploded, joined to the profile and summed by key.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.functions.grams import characters, explode_grams, letters_only, trigram_parts
+from pagemill.functions.grams import characters, count_grams, explode_grams, gram_weigher, letters_only, trigram_parts
 from pagemill.operators.paragraphs import explode_structs
 from pagemill.session import materialize
 
@@ -70,8 +73,7 @@ def top_grams(counts: DataFrame, k: int = TOP_GRAMS, salts: int = TOP_GRAM_SALTS
 
 
 def gram_counts(documents: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    grams = explode_grams(documents.withColumn("lang", F.col(lang)), ["lang"], text)
-    return grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("cnt"))
+    return count_grams(documents.withColumn("lang", F.col(lang)), "lang", text)
 
 
 def train(
@@ -133,6 +135,21 @@ def profile_rows(model: LanguageModel) -> DataFrame:
     return model.profile.select("gram", F.inline(entries)).select("lang", "gram", "weight")
 
 
+def weigh_texts(units: DataFrame, keys: Sequence[str], model: LanguageModel, letters: Column, inside: Column) -> DataFrame:
+    """Sum the weights of the trigrams of ``letters`` by key: ``s_<language>`` of all, ``i_<language>`` of those within
+    ``inside`` characters; NULL for keys without a trigram of the profile, which must be broadcastable."""
+    stored = model.profile.where(F.length("gram") == 3).select("gram", *model.weight_columns()).toArrow()
+    weights = np.stack([stored.column(c).to_numpy() for c in model.weight_columns()], 1)
+    fn = gram_weigher(stored.column("gram").to_pylist(), weights)
+    weighed = units.select(*keys, fn(letters, inside).alias("_w"))
+    known = F.get("_w", F.lit(0)) > 0
+    sums = [
+        F.sum(F.when(known, F.get("_w", F.lit(1 + k)))).alias(name)
+        for k, name in enumerate(f"{n}_{lang}" for n in ("s", "i") for lang in model.languages)
+    ]
+    return weighed.groupBy(*keys).agg(*sums)
+
+
 def weigh(
     grams: DataFrame,
     keys: Sequence[str],
@@ -170,7 +187,12 @@ def weigh(
 
 def score_texts(texts: DataFrame, keys: Sequence[str], text: str, model: LanguageModel) -> DataFrame:
     """Columns ``s_<language>`` per key; keys whose text has no kept gram are absent."""
-    return weigh(explode_grams(texts, list(keys), text), keys, model, {"s": F.lit(1)})
+    if not model.broadcastable():
+        return weigh(explode_grams(texts, list(keys), text), keys, model, {"s": F.lit(1)})
+    thin = texts.select(*keys, letters_only(F.col(text)).alias("_letters"))
+    scores = weigh_texts(thin, keys, model, F.col("_letters"), F.lit(0))
+    names = [f"s_{lang}" for lang in model.languages]
+    return scores.select(*keys, *names).filter(F.col(names[0]).isNotNull())
 
 
 def top_language(model: LanguageModel, prefix: str = "s") -> Column:
@@ -214,13 +236,31 @@ def detect_texts(texts: DataFrame, keys: Sequence[str], text: str, model: Langua
     )
 
 
-def page_languages(parsed: DataFrame, model: LanguageModel) -> DataFrame:
+def _unit_grams(units: DataFrame) -> DataFrame:
+    """(page_id, idx, gram, inside) of units (page_id, idx, n, letters); one without a trigram has a NULL gram."""
+    exploded = units.select("page_id", "idx", "n", characters(F.col("letters")).alias("_chars"))
+    grams = exploded.select(
+        "page_id",
+        "idx",
+        "n",
+        F.posexplode(trigram_parts(F.col("_chars"))).alias("at", "part"),
+    ).filter(F.col("part.c3").isNotNull() | (F.col("at") == 0))
+    return grams.select(
+        "page_id",
+        "idx",
+        F.concat("part.c1", "part.c2", "part.c3").alias("gram"),
+        (F.col("at") <= F.col("n") - 3).cast("int").alias("inside"),
+    )
+
+
+def page_languages(parsed: DataFrame, model: LanguageModel, bucketed: bool = True) -> DataFrame:
     """Per page_id of :func:`parse_pages` output: ``langs``, its (lang, prob) list, and
     ``par_langs``, the language of each paragraph in array order.
 
     One pass over the trigrams serves both levels. The text of a page is its paragraphs joined by a
     blank, so its trigrams are those of the paragraphs plus one across each joint; that one is taken
-    with the paragraph before the joint and left out of the paragraph's own sum.
+    with the paragraph before the joint and left out of the paragraph's own sum. ``bucketed`` keeps the
+    partitions of a table bucketed by page_id; without it, batches of paragraphs are looked up at once.
     """
     indexed = parsed.select(
         "page_id",
@@ -249,22 +289,10 @@ def page_languages(parsed: DataFrame, model: LanguageModel) -> DataFrame:
         lambda u: F.struct(u["idx"].alias("idx"), u["letters"].alias("letters"), F.lit(2).alias("n")),
     )
     units = split.select("page_id", F.inline(F.concat(joints, silent)))
-    exploded = units.select("page_id", "idx", "n", characters(F.col("letters")).alias("_chars"))
-    grams = exploded.select(
-        "page_id",
-        "idx",
-        "n",
-        F.posexplode(trigram_parts(F.col("_chars"))).alias("at", "part"),
-    ).filter(F.col("part.c3").isNotNull() | (F.col("at") == 0))
-    grams = grams.select(
-        "page_id",
-        "idx",
-        F.concat("part.c1", "part.c2", "part.c3").alias("gram"),
-        (F.col("at") <= F.col("n") - 3).cast("int").alias("inside"),
-    )
-    sums = weigh(
-        grams, ["page_id", "idx"], model, {"i": F.col("inside"), "s": F.lit(1)}, how="left"
-    )
+    if model.broadcastable() and not bucketed:
+        sums = weigh_texts(units, ["page_id", "idx"], model, F.col("letters"), F.col("n"))
+    else:
+        sums = weigh(_unit_grams(units), ["page_id", "idx"], model, {"i": F.col("inside"), "s": F.lit(1)}, how="left")
     totals = [F.sum(f"s_{lang}").alias(f"s_{lang}") for lang in model.languages]
     par_langs = F.array_sort(
         F.collect_list(
@@ -307,6 +335,7 @@ def parse_with_languages(
     model: LanguageModel | None,
     allowed: Sequence[str] = DEFAULT_LANGUAGES,
     keep_errors: bool = True,
+    bucketed: bool = True,
 ) -> DataFrame:
     """Paragraph rows with both languages: the whole paragraph parser after extraction.
 
@@ -320,7 +349,7 @@ def parse_with_languages(
         return page_language_filter(rows, allowed).withColumn(
             "par_language", F.lit(None).cast("string")
         )
-    scored = parsed.join(page_languages(parsed, model), "page_id")
+    scored = parsed.join(page_languages(parsed, model, bucketed), "page_id")
     selected = page_language_filter(scored, allowed, keep_errors)
     pairs = F.zip_with(
         "paragraphs",

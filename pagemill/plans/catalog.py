@@ -93,7 +93,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parsed_rows(spark, sf_dir, allowed, keep_errors) -> DataFrame:
     stored = materialize(_parsed(spark, sf_dir), "parsed")  # html is read and parsed once
-    return language.parse_with_languages(stored, model(spark, sf_dir), allowed, keep_errors)
+    return language.parse_with_languages(stored, model(spark, sf_dir), allowed, keep_errors, bucketed=False)
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +411,7 @@ def restrict_text(spark, sf_dir):
 @query
 def page_language_filter(spark, sf_dir):
     parsed = materialize(paragraphs.parse_pages(fx.pages(spark, sf_dir), ["//p"]), "parsed")
-    scored = language.page_languages(parsed, model(spark, sf_dir)).select("page_id", "langs")
+    scored = language.page_languages(parsed, model(spark, sf_dir), bucketed=False).select("page_id", "langs")
     rows = parsed.select("page_id", "url").join(scored, "page_id", "left")
     return language.page_language_filter(rows, ("fr", "es"), False).drop("langs")
 
@@ -499,7 +499,7 @@ def regex_rule_join(spark, sf_dir):
 @query
 def page_score_join(spark, sf_dir):
     parsed = materialize(_parsed(spark, sf_dir), "parsed")
-    scored = language.page_languages(parsed, model(spark, sf_dir))
+    scored = language.page_languages(parsed, model(spark, sf_dir), bucketed=False)
     top = scored.select("page_id", F.get("langs", F.lit(0))["lang"].alias("page_top"))
     return paragraphs.paragraph_rows(parsed).join(top, "page_id").select(
         "page_id", "xp_idx", "pos", "page_top"
@@ -535,7 +535,7 @@ def page_text(spark, sf_dir):
 
 @query
 def page_language_distribution(spark, sf_dir):
-    scored = language.page_languages(_parsed(spark, sf_dir), model(spark, sf_dir))
+    scored = language.page_languages(_parsed(spark, sf_dir), model(spark, sf_dir), bucketed=False)
     return scored.filter("langs is not null").select(
         "page_id",
         F.size("langs").alias("n_langs"),
@@ -619,7 +619,7 @@ def paragraph_order(spark, sf_dir):
 
 @query
 def langs_by_prob(spark, sf_dir):
-    scored = language.page_languages(_parsed(spark, sf_dir), model(spark, sf_dir))
+    scored = language.page_languages(_parsed(spark, sf_dir), model(spark, sf_dir), bucketed=False)
     return scored.select("page_id", F.posexplode("langs").alias("rank", "e")).select(
         "page_id", "rank", "e.lang", "e.prob"
     )

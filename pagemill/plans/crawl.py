@@ -197,7 +197,7 @@ def run_crawls(
         places = onsite.join(own.select("spec"), "spec")
         wanted = linking.join(places.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "url", "html")
         parsed = materialize(parse_pages(wanted, list(s.xpaths)), "parsed")
-        rows = parse_with_languages(parsed, model, tuple(s.allowed_languages), s.keep_langdetect_errors)
+        rows = parse_with_languages(parsed, model, tuple(s.allowed_languages), s.keep_langdetect_errors, bucketed=False)
         paragraphs = paragraphs.unionByName(rows.join(places, "page_id").select(*paragraphs.columns))
 
     raw = specs.where(F.col("parser") == RAW_PARSER).select(F.col("name").alias("spec"), data["allowed_content_type"].alias("_types"))

@@ -34,6 +34,29 @@ def test_shuffled_profile_gives_the_same_scores(spark, sf_dir, model, parsed):
     assert "Broadcast" not in L.score_texts(turns, keys, "text", far)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_batches_of_texts_give_the_same_scores_without_a_row_for_each_trigram(spark, model):
+    """Texts of all kinds, empty and null ones, letters beyond 16 bits, repeated and null keys, against exploded trigrams."""
+    texts = ["the house", None, "", "12 !", "a", "\U00010400\U00010401\U00010402 is", "été à la plage", "Ünder Straße " * 9, "zzqx"]
+    pairs = [(k, t) for k, t in enumerate(texts)] + [(0, "is mine"), (None, "das ist"), (None, "x")]
+    docs = spark.createDataFrame(pairs, "k long, t string")
+    want = L.weigh(L.explode_grams(docs, ["k"], "t"), ["k"], model, {"s": F.lit(1)})
+    got = L.score_texts(docs, ["k"], "t", model)
+    assert rows(got) == rows(want) and "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    named = docs.withColumn("lang", F.when(F.col("k") != 7, F.lit("en")))
+    want = L.explode_grams(named, ["lang"], "t").groupBy("lang", "gram").count()
+    got = L.gram_counts(named, "t")
+    assert rows(got.select("lang", "gram", F.col("cnt").alias("count"))) == rows(want)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_in_batches_have_the_same_languages(spark, model, parsed):
+    html = ["<p>12</p><p>the house</p><p>...</p><p>is mine</p>", "<p>1 2</p>", None, "<p>a</p><p>b</p>", "<p>und das</p><p>zzqx</p>"]
+    odd = spark.createDataFrame([(k % 4, "u", h) for k, h in enumerate(html)], "page_id long, url string, html string")
+    for pages in (parsed, parse_pages(odd, ["//p"])):
+        got = L.page_languages(pages, model, bucketed=False)
+        assert rows(got.select("page_id", "langs", "par_langs")) == rows(L.page_languages(pages, model))
+
+
 def test_one_pass_equals_scoring_texts_apart(model, parsed):
     whole = L.score_texts(page_text(parsed), ["page_id"], "page_text", model).select(
         "page_id", L.language_list(model).alias("langs")
