@@ -25,6 +25,11 @@ _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _STEP = U(0x9E3779B97F4A7C15)
 _SALT = U(0x632BE59BD9B4E019)
 _CELLS = 1 << 20
+#: A shingle that more rows than this meet by is looked at by differences to a center.
+_CROWD = 64
+#: 64-bit words of the parities by which differences to a center are told apart.
+_PARITIES = 8
+_NAMES = [f"p{k}" for k in range(_PARITIES)]
 
 
 class Plan(NamedTuple):
@@ -157,14 +162,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
-def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (doc_id, root, shingles) with different roots, among them all that can reach
-    the similarity; found by prefix filtering, so unlike ones cost nothing.
+def least_shared(size: int, length: int, center: int, near: bool, percent: int) -> int:
+    """The fewest elements that a set's difference to a center has in common with that of any set it is linked to.
 
-    All sets are put in one order of shingles, rare ones first. Two sets that reach the similarity have a
-    common shingle among the first ``size - ceil(size * percent / 100) + 1`` of each, and behind the first
-    such one enough room for the rest. Frequency comes from a table of fixed size by hash; any order gives
-    the same links, this one gives few candidates.
+    The set has ``size`` elements, its difference ``length``, the center ``center``; ``near``: it is linked to the center,
+    and the other one is not. Linked sets of a and b elements differ in at most (100 - percent) * (a + b) / (100 + percent).
+    """
+    linked, apart = 100 + percent, 100 - percent
+    other = np.arange(-(-size * percent // 100), size * 100 // percent + 1)
+    least = np.maximum(abs(other - center), apart * (other + center) // linked + 1 if near else length - apart * (size + other) // linked)
+    return max(1, int((-(-(linked * (length + least) - apart * (size + other)) // (2 * linked))).min()))
+
+
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, root, size, length, near, token, left) of rows (a, root, size, center, near, elements[, p0, p1, ...]): the elements among
+    which a row and any it is linked to have a common one, rare ones first; ``left``: elements from there on. Parities stay.
+
+    Frequency comes from a table of fixed size by hash; any order gives the same links, this one gives few candidates.
     """
 
     def tally(batches):
@@ -176,35 +190,114 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(cells[some])], ["cell", "n"])
 
     table = np.zeros(_CELLS, np.int64)
-    counted = sets.select("shingles").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counted = rows.select("elements").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     for r in counted.where("n > 1").toLocalIterator():
         table[r.cell] = r.n
     table = table.clip(0, 2**31 - 1).astype(np.int32)
 
-    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, places, lengths, sizes = [], [], [], []
-        for x in batch.column(2):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens, lefts, lengths, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
+        for size, center, near, x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), batch.column(5), strict=True):
             own = np.frombuffer(x.as_buffer(), U)
-            keep = len(own) - -(-len(own) * percent // 100) + 1
+            keep = max(0, len(own) - least_shared(size, len(own), center, near, percent) + 1)
             order = np.lexsort((own, table[(own % U(_CELLS)).astype(np.int64)]))[:keep]
             tokens.append(own[order].view(np.int64))
-            places.append(np.arange(len(order)))
-            lengths.append(len(order))
-            sizes.append(len(own))
-        ids = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths)) for c in (0, 1)]
+            lefts.append(len(own) - np.arange(len(order)))
+            lengths.append(len(own))
+            kept.append(len(order))
+        a, root, size, near, *more = (pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), kept)) for c in (0, 1, 2, 4, *range(6, batch.num_columns)))
+        length = pa.array(np.repeat(np.array(lengths, np.int64), kept))
         return pa.RecordBatch.from_arrays(
-            [*ids, pa.array(np.repeat(np.array(sizes, np.int64), lengths)), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places))],
-            ["a", "root", "size", "token", "place"],
+            [a, root, size, length, near, pa.array(np.concatenate(tokens)), pa.array(np.concatenate(lefts)), *more],
+            ["a", "root", "size", "length", "near", "token", "left", *parities],
         )
 
-    rows = map_batches(sets.select("doc_id", "root", "shingles"), prefixes, "a long, root long, size long, token long, place long")
-    rows = materialize(rows, "prefixes")
-    shared = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    left = rows.join(shared, "token")
-    right = left.select("token", F.col("a").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
-    room = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) - 1
-    enough = (100 + percent) * room >= percent * (F.col("size") + F.col("size_b"))
-    return left.join(right, "token").where((F.col("a") > F.col("b")) & (F.col("root") != F.col("root_b")) & enough).select("a", "b").distinct()
+    parities = [c for c in rows.columns if c in _NAMES]
+    rows = rows.select("a", "root", "size", "center", "near", "elements", *parities)
+    schema = "a long, root long, size long, length long, near boolean, token long, left long"
+    return map_batches(rows, run, ", ".join([schema, *(f"{c} long" for c in parities)]))
+
+
+def differences(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, root, size, center, near, elements, b, root_b, p0, p1, ...) of rows (a, b): the elements that are in only one of the sets
+    of a and of its center b, hashed with b, so those of one center alone can be equal; ``center``: size of b's set.
+    The parities have a bit for each hash of elements, set if an odd number of them has it: two sets differ in at least as
+    many elements as their parities do in bits."""
+    own = sets.select(F.col("doc_id").alias("a"), "root", F.col("shingles").alias("own"))
+    centers = sets.join(listed.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    centers = materialize(centers.select(F.col("doc_id").alias("b"), F.col("root").alias("root_b"), F.col("shingles").alias("other")), "centers")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, others, near, out, bits = [], [], [], [], []
+        for b, x, y in zip(batch.column(2).to_numpy(), batch.column(4), batch.column(5), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            apart = np.setxor1d(x, y, assume_unique=True)
+            sizes.append(len(x))
+            others.append(len(y))
+            near.append((100 + percent) * len(apart) <= (100 - percent) * (len(x) + len(y)))
+            apart = mix(apart + mix(np.array([b]).view(U) + _STEP))
+            out.append(apart.tobytes())
+            odd = np.bincount((apart % U(64 * _PARITIES)).astype(np.int64), minlength=64 * _PARITIES) & 1
+            bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        made = [pa.array(sizes, pa.int64()), pa.array(others, pa.int64()), pa.array(near, pa.bool_()), pa.array(out, pa.binary())]
+        columns = [batch.column(0), batch.column(1), *made, batch.column(2), batch.column(3), *map(pa.array, np.stack(bits, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["a", "root", "size", "center", "near", "elements", "b", "root_b", *_NAMES])
+
+    joined = listed.join(own, "a").join(centers, "b").select("a", "root", "b", "root_b", "own", "other")
+    schema = "a long, root long, size long, center long, near boolean, elements binary, b long, root_b long"
+    return map_batches(joined, run, ", ".join([schema, *(f"{c} long" for c in _NAMES)]))
+
+
+def meeting(rows: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of :func:`prefixes` with one of ``tokens`` in common, with different roots, not both near, with
+    enough elements left from there on, and with parities that don't differ in too many bits."""
+    rows = rows.join(tokens.select("token"), "token")
+    parities = [c for c in rows.columns if c in _NAMES]
+    other = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in ("a", "root", "size", "length", "near", "left", *parities)])
+    room = 2 * (100 + percent) * F.least("left", "left_b")
+    needed = (100 + percent) * (F.col("length") + F.col("length_b")) - (100 - percent) * (F.col("size") + F.col("size_b"))
+    once = F.col("near_b") | (F.col("a") > F.col("a_b"))
+    fits = once & (F.col("root") != F.col("root_b")) & (room >= needed)
+    if parities:
+        differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in parities), F.lit(0))
+        fits = fits & ((100 + percent) * differ <= (100 - percent) * (F.col("size") + F.col("size_b")))
+    met = rows.where(~F.col("near")).join(other, "token").where(fits)
+    return met.select(F.greatest("a", "a_b").alias("a"), F.least("a", "a_b").alias("b"))
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (doc_id, root, shingles) with different roots, among them enough to link all that reach the
+    similarity; found by prefix filtering, so unlike ones cost nothing.
+
+    All sets are put in one order of shingles, rare ones first. Two sets that reach the similarity have a
+    common shingle among the first ``size - ceil(size * percent / 100) + 1`` of each, and behind the first
+    such one enough room for the rest.
+
+    Near copies share frequent shingles too, and all their pairs would meet. So a shingle in more than ``_CROWD`` rows gets
+    a center, the row with most shingles from there on, and its rows are compared by their differences to the center:
+    two sets differ in what their differences don't share. Rows linked to the center are paired with it alone. Of
+    any other two at least one is not linked to it; if they are linked to each other, their differences share an element, and
+    mostly many: they are found by prefix filtering once more. What copies have in common is in no difference. Parities
+    of the differences keep apart what is plainly unlike.
+    """
+    whole = sets.where(F.length("shingles") > 0)
+    size = (F.length("shingles") / 8).cast("long").alias("size")
+    rows = whole.select(F.col("doc_id").alias("a"), "root", size, F.lit(0).cast("long").alias("center"), F.lit(False).alias("near"), F.col("shingles").alias("elements"))
+    rows = materialize(prefixes(rows, percent), "prefixes")
+    fullest = F.min(F.struct((-F.col("left")).alias("left"), "a")).alias("fullest")
+    shared = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), fullest)
+    shared = materialize(shared.where("lo < hi").select("token", "n", F.col("fullest.a").alias("b")), "shared")
+    found = meeting(rows, shared.where(F.col("n") <= _CROWD), percent)
+    crowds = shared.where(F.col("n") > _CROWD)
+    if not crowds.isEmpty():
+        listed = materialize(rows.join(crowds, "token").select("a", "b").distinct(), "crowds")
+        apart = materialize(differences(listed, whole, percent), "differences")
+        central = apart.where(F.col("near") & (F.col("root") != F.col("root_b")))
+        found = found.unionByName(central.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        rows = materialize(prefixes(apart, percent), "prefixes-apart")
+        some = F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("near").alias("near")
+        found = found.unionByName(meeting(rows, rows.groupBy("token").agg(*some).where("lo < hi and not near"), percent))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,9 +307,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id"
     2. Classes that share a band form a bucket. Each member is paired with the bucket's least member.
     3. Pairs of sizes that can reach the similarity are verified on full sets; links form components.
     4. Buckets that still hold several components may hide a link that does not touch their least member.
-       Among the members of all such buckets, prefix filtering finds every pair across components that can
-       reach the similarity; these are verified too. So no link that banding found is lost, and no bucket
-       is expanded into all its pairs.
+       Among the members of all such buckets, prefix filtering finds pairs across components that can reach the
+       similarity, all but those whose two members are linked to a third; they are verified too. So no link that
+       banding found is lost, and no bucket is expanded into all its pairs.
 
     A null or blank text has an empty set and is linked with nothing; a null id is never linked and kept.
     Rows that repeat an id count as one document, with the links of all of them.

@@ -183,6 +183,61 @@ def test_near_duplicates_whole_table(spark, sf_dir):
     assert got == roots
 
 
+def edited_sets(n, seed):
+    """Sets of copies of one text: each shingle is changed or lost, as often as the copy has it."""
+    rng = np.random.default_rng(seed)
+    core, made = rng.integers(1, 2**63, 150).astype(np.uint64), []
+    for k in range(n):
+        gone, lost = rng.random(150) < rng.uniform(0, 0.25), rng.random(150) < (0.05 if k % 3 else 0)
+        own = rng.integers(1, 2**63, (gone & ~lost).sum()).astype(np.uint64)
+        made.append(np.unique(np.concatenate([core[~gone & ~lost], own])))
+    return made
+
+
+def set_frame(spark, made):
+    return spark.createDataFrame([(k, k, s.tobytes()) for k, s in enumerate(made)], "doc_id long, root long, shingles binary")
+
+
+def linked_sets(made, percent):
+    token = {x: k for k, x in enumerate({int(x) for s in made for x in s})}
+    table = np.zeros((len(made), len(token)), np.float32)
+    for k, s in enumerate(made):
+        table[k, [token[int(x)] for x in s]] = 1
+    common, size = table @ table.T, table.sum(1)
+    return 100 * common >= percent * (size[:, None] + size[None] - common)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_of_near_copies_grow_with_the_copies(spark, percent):
+    counts = []
+    for n in (300, 600):
+        made = edited_sets(n, 7)
+        half = n // 2  # a second text, half like the first, has copies of its own
+        made[half:] = [np.unique(np.where(s < np.uint64(2**62), s + np.uint64(5), s)) for s in made[half:]]
+        linked = linked_sets(made, percent)
+        a, b = np.nonzero(np.triu(linked, 1))
+        want = graph.union_find(a.tolist(), b.tolist())
+        assert len(set(want.values())) >= 2 and n - len(want) > n // 10  # large groups, and many that are in none
+        found = [(r.a, r.b) for r in near_dedup.prefix_pairs(set_frame(spark, made), percent).collect()]
+        assert len(found) == len(set(found)) and all(x > y for x, y in found)
+        found_links = [(x, y) for x, y in found if linked[x, y]]
+        assert graph.union_find([x for x, _ in found_links], [y for _, y in found_links]) == want
+        counts.append(len(found))
+    assert counts[1] < 2 * 600, counts  # of 180,000
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_least_shared_is_a_bound(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(3000):
+        c = set(rng.choice(40, rng.integers(1, 30), replace=False).tolist())
+        a, b = ({x for x in c if rng.random() > 0.15} | set(rng.choice(60, rng.integers(0, 6)).tolist()) for _ in range(2))
+        like = lambda x, y: 100 * len(x & y) >= percent * len(x | y)
+        if a and b and like(a, b) and not (like(a, c) and like(b, c)):
+            for x, y in ((a, b), (b, a)):
+                assert 1 <= near_dedup.least_shared(len(x), len(x ^ c), len(c), like(x, c), percent) <= len((x ^ c) & (y ^ c))
+
+
 def test_near_duplicates_empty(no_docs):
     assert near_dedup.near_duplicates(no_docs).collect() == []
 
